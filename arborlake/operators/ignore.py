@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborlake.functions import globs
 from arborlake.functions.globs import ignore_rules
 from arborlake.functions.lines import lines_of
 from arborlake.functions.paths import ancestors_of, match_form, name_of, parent_of
 from arborlake.operators.scratch import lookup, materialize
-from arborlake.schema import COMPILED_RULES
+from arborlake.schema import COMPILED_RULES, LAYERS
+
+# The translation travels with the task, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(globs)
 
 
 @F.pandas_udf(COMPILED_RULES)
@@ -62,7 +67,7 @@ def layers_from_rows(spark: SparkSession, rows: list[tuple[str, str, int, int, s
         )
         for (corpus_id, scope, _), lines in grouped.items()
     ]
-    return spark.createDataFrame(data, f"corpus_id string, scope string, rules {COMPILED_RULES}")
+    return spark.createDataFrame(data, LAYERS)
 
 
 def layers_from_files(entries: DataFrame, extra_root_rules: DataFrame | None = None) -> DataFrame:

@@ -93,7 +93,7 @@ def with_layout(entries: DataFrame, charset: str = "plain") -> DataFrame:
             "is_last": _rank_in_directory() == F.col("last_child"),
             "sort_key": sort_key(path, F.col("is_dir")),
         }
-    ).withColumn("branch", F.when("is_last", last_branch).otherwise(branch)).drop("last_child")
+    ).withColumn("branch", F.when(F.col("is_last"), last_branch).otherwise(branch)).drop("last_child")
 
 
 def tree_lines(entries: DataFrame, charset: str = "plain") -> DataFrame:

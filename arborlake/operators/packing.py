@@ -82,8 +82,8 @@ def folded(text: Column, depth: Column) -> Column:
         markers = F.transform(
             F.arrays_zip(first.alias("a"), last.alias("b")),
             lambda run: F.struct(
-                run["0"].alias("at"),
-                F.format_string("... (%d lines)", run["1"] - run["0"] + 1).alias("line"),
+                run["a"].alias("at"),
+                F.format_string("... (%d lines)", run["b"] - run["a"] + 1).alias("line"),
             ),
         )
         shown = F.filter(
@@ -236,19 +236,20 @@ def budget_steps(files: DataFrame, max_bytes: int, mode: str) -> DataFrame:
     kinds = [("full", F.array(full)), ("head", _head_events(text, max_bytes))]
     if mode == "nest":
         kinds.append(("nest", _nest_events(text)))
-    tagged = [
-        F.transform(
+
+    def tagged(kind: str, steps: Column) -> Column:
+        return F.transform(
             steps,
-            lambda e, kind=kind: F.struct(
+            lambda e: F.struct(
                 F.lit(kind).alias("kind"),
                 e["pos"].cast("int").alias("pos"),
                 e["delta"].alias("delta"),
             ),
         )
-        for kind, steps in kinds
-    ]
+
+    steps = F.concat(*[tagged(kind, rows) for kind, rows in kinds])
     return (
-        files.select("corpus_id", F.explode(F.concat(*tagged)).alias("e"))
+        files.select("corpus_id", F.explode(steps).alias("e"))
         .groupBy("corpus_id", "e.kind", "e.pos")
         .agg(F.sum("e.delta").alias("delta"))
     )

@@ -80,3 +80,9 @@ def lookup(
         .join(salted, [*on, "_salt"], how)
         .drop("_salt")
     )
+
+
+def without_keys(big: DataFrame, dropped: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``big`` whose unique key is not among ``dropped``, a materialized table."""
+    side = F.broadcast(dropped) if _fits_broadcast(dropped) else dropped
+    return big.join(side, on, "left_anti")

@@ -13,7 +13,7 @@ from arborlake.functions.globs import glob_set_regex, normalize_pattern, static_
 from arborlake.functions.paths import ancestors_of, ancestors_or_self, depth_of, extension_of, match_form
 from arborlake.operators.ignore import ignored_entries
 from arborlake.operators.inventory import all_entries, walkable
-from arborlake.operators.scratch import lookup, materialize
+from arborlake.operators.scratch import lookup, materialize, without_keys
 
 # ---------------------------------------------------------------------------
 # The safety preset.
@@ -346,9 +346,21 @@ def _drop_empty_directories(decided: DataFrame, rules: SelectionRules) -> DataFr
     return decided.where(~F.col("is_dir")).unionByName(marked.select(*decided.columns))
 
 
-def kept_files(entries: DataFrame, selected: DataFrame) -> DataFrame:
-    """File rows, content included, that the selection keeps."""
-    keep = selected.where((F.col("decision") == "include") & ~F.col("is_dir"))
-    return walkable(entries).where(~F.col("is_dir")).join(
-        keep.select("corpus_id", "path"), ["corpus_id", "path"], "left_semi"
+def kept_files(entries: DataFrame, selected: DataFrame, rules: SelectionRules) -> DataFrame:
+    """File rows, content included, that the selection keeps.
+
+    The row-local rules filter the content where it is read. What remains is the set
+    of files lost to ignore files and repository boundaries; it is subtracted with a
+    broadcast when its measured size allows, so that content is not shuffled then.
+    """
+    key = ["corpus_id", "path"]
+    local = with_decision(walkable(entries).where(~F.col("is_dir")), rules)
+    lost = with_decision(
+        selected.where(~F.col("is_dir") & (F.col("decision") != "include")).select(*key, "is_dir"),
+        rules,
+    ).where(F.col("decision") == "include")
+    return without_keys(
+        local.where(F.col("decision") == "include").drop("decision", "reason"),
+        materialize(lost.select(*key), "lost"),
+        key,
     )

@@ -121,7 +121,7 @@ def plain_listing(
         rows = rows.unionByName(_stats_rows(listed, options.stats, "ascii"))
     if options.contents:
         sections = pack(
-            kept_files(entries, selected), options.max_bytes, options.contents_mode
+            kept_files(entries, selected, options.rules), options.max_bytes, options.contents_mode
         )
         rows = rows.unionByName(
             sections.select(

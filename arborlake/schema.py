@@ -30,7 +30,23 @@ IGNORE_RULES = T.StructType(
     ]
 )
 
-COMPILED_RULES = "array<struct<regex:string,negated:boolean,dir_only:boolean>>"
+COMPILED_RULES = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("regex", T.StringType()),
+            T.StructField("negated", T.BooleanType()),
+            T.StructField("dir_only", T.BooleanType()),
+        ]
+    )
+)
+
+LAYERS = T.StructType(
+    [
+        T.StructField("corpus_id", T.StringType(), False),
+        T.StructField("scope", T.StringType(), False),
+        T.StructField("rules", COMPILED_RULES),
+    ]
+)
 
 LABELS = "kind string, key string, label string"
 PROFILES = "priority int, ext string, file_type string"
