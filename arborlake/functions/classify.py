@@ -123,8 +123,8 @@ COUNT_LIMIT_BYTES = 10 * 1024 * 1024
 
 def _pick(key: Column, table: dict[str, str]) -> Column:
     """Look a key up in a fixed table; NULL when absent."""
-    pairs = [F.lit(x) for item in table.items() for x in item]
-    return F.element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(f"'{k}', '{v}'" for k, v in table.items())
+    return F.element_at(F.expr(f"map({pairs})"), key)
 
 
 def file_type(path: Column) -> Column:
@@ -139,9 +139,9 @@ def file_type(path: Column) -> Column:
         (name.endswith(".lock") | (name == "package-lock.json"), "Lock"),
         (name.contains("test") | name.contains("spec"), "Test"),
     ]
-    by_ext = [(ext.isin(*exts), kind) for kind, (_, _, exts) in TYPES.items() if exts]
-    chain = reduce(lambda acc, rule: acc.when(rule[0], F.lit(rule[1])), named + by_ext, F)
-    return chain.otherwise(F.lit("Unknown"))
+    by_ext = _pick(ext, {e: kind for kind, (_, _, exts) in TYPES.items() for e in exts})
+    chain = reduce(lambda acc, rule: acc.when(rule[0], F.lit(rule[1])), named, F)
+    return F.coalesce(chain.otherwise(by_ext), F.lit("Unknown"))
 
 
 def type_display_name(kind: Column) -> Column:

@@ -19,17 +19,11 @@ from arborlake.operators.scratch import lookup, materialize
 
 # The text of a folded run is "... (k lines)": 12 bytes and the digits.
 MARKER_BYTES = 12
+# A hidden line takes at least three bytes, so no text holds a run of 10^9 lines.
+MAX_RUN_DIGITS = 9
 FENCE = "```"
 
 
-def bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``.
-
-    A plain column reference can be inlined into a lambda and evaluated per element.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def readable_files(files: DataFrame) -> DataFrame:
     """Files that get a section, with their ``text``: no binary extension, valid UTF-8."""
     text = readable_text(F.col("content"), is_text_column(files))
@@ -53,175 +47,137 @@ def head_omitted(text: Column, n: Column) -> Column:
     return F.greatest(line_count(text) - n, F.lit(0))
 
 
-def _flags(lines: Column, depth: Column) -> Column:
-    """Per line: hidden by folding at this depth."""
-    return F.transform(lines, lambda line: indent_of(line) > depth)
-
-
-def folded(text: Column, depth: Column) -> Column:
-    """Fold runs of lines indented by more than ``depth`` bytes.
+def with_lines(files: DataFrame) -> DataFrame:
+    """Add ``lines``, and ``indents`` with the bytes of leading white space of each.
 
-    Returns ``struct(text, omitted)``. Each run becomes one marker line. Zero-length
-    lines at the very top vanish, because a separator only follows text.
+    Arrays that lambdas use are columns of their own, referenced more than once, so
+    the optimizer does not inline them into a lambda body.
     """
+    return files.withColumn("lines", lines_of(F.col("text"))).withColumn(
+        "indents", F.transform("lines", lambda line: indent_of(line).cast("int"))
+    )
 
-    def build(lines: Column) -> Column:
-        return bind(_flags(lines, depth), lambda hidden: assemble(lines, hidden))
-
-    def assemble(lines: Column, hidden: Column) -> Column:
-        count = F.size(lines)
-        every = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
 
-        def at(flags: Column, i: Column) -> Column:
-            return F.coalesce(F.try_element_at(flags, i), F.lit(False))
+def with_folded(files: DataFrame, depth: str) -> DataFrame:
+    """Add ``fold``: the text with deep runs folded, and the lines left out.
 
-        first = F.filter(
-            every, lambda i: F.element_at(hidden, i) & ((i == 1) | ~at(hidden, F.greatest(i - 1, F.lit(1))))
-        )
-        last = F.filter(every, lambda i: F.element_at(hidden, i) & ~at(hidden, i + 1))
-        markers = F.transform(
-            F.arrays_zip(first.alias("a"), last.alias("b")),
-            lambda run: F.struct(
-                run["a"].alias("at"),
-                F.format_string("... (%d lines)", run["b"] - run["a"] + 1).alias("line"),
+    A run of lines indented by more than the ``depth`` column becomes one marker
+    line. Zero-length lines at the very top vanish, because a separator only follows
+    text. ``fold`` is NULL where ``text`` or ``depth`` is.
+    """
+    marked = files.withColumn("hidden", F.expr(f"transform(indents, d -> d > {depth})"))
+    edges = marked.withColumns(
+        {
+            "first": F.expr(
+                "filter(transform(hidden, (h, i) -> if(h and (i = 0 or not hidden[i - 1]), i, null)),"
+                " i -> i is not null)"
             ),
-        )
-        shown = F.filter(
-            F.transform(
-                lines,
-                lambda line, i: F.struct(
-                    (i + 1).alias("at"),
-                    F.when(~F.element_at(hidden, i + 1), line).alias("line"),
-                ),
+            "last": F.expr(
+                "filter(transform(hidden, (h, i) -> if(h and (i = size(hidden) - 1 or not hidden[i + 1]),"
+                " i, null)), i -> i is not null)"
+            ),
+            "shown": F.expr(
+                "filter(transform(lines, (line, i) -> struct(i as at, if(hidden[i], null, line) as line)),"
+                " row -> row.line is not null)"
+            ),
+        }
+    )
+    markers = (
+        "transform(arrays_zip(first, last), run -> struct(run.first as at,"
+        " concat('... (', run.last - run.first + 1, ' lines)') as line))"
+    )
+    return (
+        edges.withColumn("rows", F.expr(f"array_sort(concat(shown, {markers}))"))
+        .withColumn(
+            "fold",
+            F.expr(
+                "struct(trim(leading char(10) from array_join(rows.line, char(10))) as text,"
+                " size(filter(hidden, h -> h)) as omitted)"
             ),
-            lambda row: row["line"].isNotNull(),
-        )
-        rows = F.array_sort(F.concat(shown, markers))
-        body = F.array_join(F.transform(rows, lambda row: row["line"]), "\n")
-        text_out = F.ltrim(body, F.lit("\n"))
-        return F.struct(
-            text_out.alias("text"),
-            F.size(F.filter(hidden, lambda h: h)).alias("omitted"),
         )
-
-    return bind(lines_of(text), build)
+        .drop("hidden", "first", "last", "shown", "rows")
+    )
 
 
 # -- budget search -----------------------------------------------------------
 
+_NO_STEPS = "cast(array() as array<struct<pos:int,delta:bigint>>)"
 
-def _head_events(text: Column, max_bytes: int) -> Column:
-    """Growth of the head cut at each length, as ``(pos, delta)`` rows.
 
-    Line n adds its bytes and the joining LF; the last length also brings back
-    the bytes that joining loses. Beyond ``max_bytes + 1`` lines the joining LFs
-    alone exceed the budget, so such lengths are never candidates.
-    """
-    count = line_count(text)
-    lost = F.octet_length(text) - F.octet_length(unix_text(text)) + F.when(
-        F.endswith(text, F.lit("\n")), 1
-    ).otherwise(0)
-    steps = F.transform(
-        F.slice(lines_of(text), 1, min(max_bytes + 1, 2**31 - 1)),
-        lambda line, i: F.struct(
-            (i + 1).alias("pos"),
-            (F.octet_length(line) + F.when(i > 0, 1).otherwise(0)).cast("bigint").alias("delta"),
-        ),
-    )
-    tail = F.struct(count.alias("pos"), lost.cast("bigint").alias("delta"))
-    keep_tail = (count > 0) & (lost > 0) & (count <= max_bytes + 1)
-    none = F.array().cast("array<struct<pos:int,delta:bigint>>")
-    return F.concat(steps, F.when(keep_tail, F.array(tail)).otherwise(none))
+def _step(pos: str, delta: str) -> str:
+    return f"struct(cast({pos} as int) as pos, cast({delta} as bigint) as delta)"
 
 
-def _nest_events(text: Column) -> Column:
-    """Size of the folded text as a step function of the depth, ``(pos, delta)``.
+def _head_steps(max_bytes: int) -> str:
+    """Growth of the head cut at each length.
 
-    A line of indent d shows at every depth >= d. A run of hidden lines that starts
-    at line i exists exactly for the depths from the indent of line i-1 up to the
-    indent of line i, and has at least m lines for the depths below the minimum of
-    the m indents from line i. So the marker bytes, one digit per power of ten,
-    are a sum of intervals, and the sum over lines, files and corpora is plain
-    addition: no candidate depth is ever tried out.
+    Line n adds its bytes and the joining LF; the last length also brings back the
+    bytes that joining loses. Beyond ``max_bytes + 1`` lines the joining LFs alone
+    exceed the budget, so such lengths are never candidates.
     """
+    limit = min(max_bytes + 1, 2**31 - 1)
+    grow = _step("i + 1", "octet_length(line) + if(i > 0, 1, 0)")
+    return (
+        f"concat(transform(slice(lines, 1, {limit}), (line, i) -> {grow}),"
+        f" if(lost > 0 and size(lines) <= {limit}, array({_step('size(lines)', 'lost')}), {_NO_STEPS}))"
+    )
 
-    def event(pos: Column, delta: Column) -> Column:
-        return F.struct(pos.cast("int").alias("pos"), delta.cast("bigint").alias("delta"))
-
-    none = F.array().cast("array<struct<pos:int,delta:bigint>>")
 
-    def interval(low: Column, high: Column, amount: int) -> Column:
-        rise, fall = event(low, F.lit(amount)), event(high, F.lit(-amount))
-        return F.when(high > low, F.array(rise, fall)).otherwise(none)
+def _run_steps(minima: str, amount: int) -> str:
+    """Intervals of depths at which a run of hidden lines starts at each line."""
+    above = "if(i = 0, 0, indents[greatest(i - 1, 0)])"
+    rise, fall = _step(above, str(amount)), _step("low", str(-amount))
+    return (
+        f"flatten(transform({minima}, (low, i) -> if(low > {above}, array({rise}, {fall}), {_NO_STEPS})))"
+    )
 
-    def before(indents: Column, i: Column) -> Column:
-        """Indent of the line above the zero-based line i; the top edge counts as 0."""
-        return F.when(i == 0, F.lit(0)).otherwise(F.element_at(indents, F.greatest(i, F.lit(1))))
 
-    def runs(starts: Column, minima: Column, amount: int) -> Column:
-        """Intervals of the runs that last at least as long as the minima look ahead."""
-        return F.flatten(
-            F.transform(minima, lambda low, i: interval(before(starts, i), low, amount))
-        )
+def _with_run_minima(files: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Add, per power of ten m, the smallest of the m indents from each line on.
 
-    def longer(starts: Column, minima: Column, width: int) -> Column:
-        """Extra digit of runs with ten times the lines, as long as any can exist."""
-        if width > 10**8:
-            return none
-        wide = F.when(
-            F.size(minima) > 9 * width,
-            F.transform(
-                F.slice(minima, F.lit(1), F.size(minima) - 9 * width),
-                lambda low, i: F.least(
-                    low, *[F.element_at(minima, i + 1 + step * width) for step in range(1, 10)]
-                ),
-            ),
-        ).otherwise(F.array().cast("array<int>"))
-        tail = bind(
-            wide, lambda w: F.concat(runs(starts, w, 1), longer(starts, w, width * 10))
-        )
-        return F.when(
-            (F.size(minima) > 9 * width) & (F.array_max(minima) > 0), tail
-        ).otherwise(none)
-
-    def from_lines(lines: Column) -> Column:
-        shown = F.filter(
-            F.transform(lines, lambda line, i: F.struct(i.alias("i"), line.alias("line"))),
-            lambda row: row["line"] != "",
-        )
-        # Zero-length lines above the first text are not printed.
-        top = F.coalesce(F.try_element_at(shown, F.lit(1))["i"], F.size(lines))
-
-        def visible(first: Column) -> Column:
-            return F.transform(
-                F.slice(lines, first + 1, F.greatest(F.size(lines) - first, F.lit(0))),
-                lambda line: event(indent_of(line), F.octet_length(line) + 1),
-            )
-
-        def hidden(indents: Column) -> Column:
-            # A shortest marker and its separator; then one byte per further digit.
-            return F.concat(
-                runs(indents, indents, MARKER_BYTES + 2), longer(indents, indents, 1)
-            )
-
-        indents = F.transform(lines, lambda line: indent_of(line).cast("int"))
-        # The first printed line has no separator before it.
-        edge = bind(
-            top,
-            lambda first: F.concat(
-                visible(first),
-                F.when(first < F.size(lines), F.array(event(F.lit(0), F.lit(-1)))).otherwise(
-                    F.array(event(F.lit(0), F.lit(0)))
-                ),
+    Each column looks ten entries ahead in the one before. It is NULL for files too
+    short to hold such a run.
+    """
+    before, columns = "indents", []
+    for exponent in range(1, MAX_RUN_DIGITS):
+        stride = 10 ** (exponent - 1)
+        ahead = ", ".join(f"{before}[i + {step * stride}]" for step in range(1, 10))
+        name = f"minima_{exponent}"
+        files = files.withColumn(
+            name,
+            F.expr(
+                f"case when size({before}) > {9 * stride} and array_max({before}) > 0 then"
+                f" transform(slice({before}, 1, size({before}) - {9 * stride}),"
+                f" (low, i) -> least(low, {ahead})) end"
             ),
         )
-        folds = bind(
-            indents,
-            lambda d: F.when(F.array_max(d) > 0, hidden(d)).otherwise(none),
-        )
-        return F.concat(edge, F.coalesce(folds, none))
+        before = name
+        columns.append(name)
+    return files, columns
 
-    return bind(lines_of(text), from_lines)
+
+def _nest_steps(minima: list[str]) -> str:
+    """Size of the folded text as a step function of the depth.
+
+    A line of indent d shows at every depth >= d. A run of hidden lines that starts
+    at line i exists exactly for the depths from the indent of line i-1 up to the
+    indent of line i, and has at least m lines for the depths below the minimum of
+    the m indents from line i. So the marker bytes, one more per power of ten, are a
+    sum of intervals, and the sum over lines, files and corpora is plain addition:
+    no candidate depth is ever tried out.
+
+    Every line is counted with a separator; the first printed line has none, and
+    zero-length lines at the top are not printed.
+    """
+    shown = _step("indents[i]", "octet_length(line) + 1")
+    parts = [
+        f"transform(lines, (line, i) -> {shown})",
+        f"array({_step('0', '-(top + if(top < size(lines), 1, 0))')})",
+        # The shortest marker and its separator, then a byte per further digit.
+        _run_steps("indents", MARKER_BYTES + 2),
+        *[f"coalesce({_run_steps(name, 1)}, {_NO_STEPS})" for name in minima],
+    ]
+    return f"concat({', '.join(parts)})"
 
 
 def budget_steps(files: DataFrame, max_bytes: int, mode: str) -> DataFrame:
@@ -232,26 +188,29 @@ def budget_steps(files: DataFrame, max_bytes: int, mode: str) -> DataFrame:
     per task, corpus and position.
     """
     text = F.col("text")
-    full = F.struct(F.lit(0).alias("pos"), F.octet_length(text).cast("bigint").alias("delta"))
-    kinds = [("full", F.array(full)), ("head", _head_events(text, max_bytes))]
+    plain = unix_text(text)
+    ended = F.when(F.endswith(text, F.lit("\n")), 1).otherwise(0)
+    frame = with_lines(files.select("corpus_id", "text")).withColumns(
+        {
+            "lost": F.octet_length(text) - F.octet_length(plain) + ended,
+            "top": F.octet_length(plain) - F.octet_length(F.ltrim(plain, F.lit("\n"))),
+        }
+    )
+    kinds = {
+        "full": f"array({_step('0', 'octet_length(text)')})",
+        "head": _head_steps(max_bytes),
+    }
     if mode == "nest":
-        kinds.append(("nest", _nest_events(text)))
-
-    def tagged(kind: str, steps: Column) -> Column:
-        return F.transform(
-            steps,
-            lambda e: F.struct(
-                F.lit(kind).alias("kind"),
-                e["pos"].cast("int").alias("pos"),
-                e["delta"].alias("delta"),
-            ),
-        )
-
-    steps = F.concat(*[tagged(kind, rows) for kind, rows in kinds])
+        frame, minima = _with_run_minima(frame)
+        kinds["nest"] = _nest_steps(minima)
+    tagged = ", ".join(
+        f"transform({steps}, s -> struct('{kind}' as kind, s.pos as pos, s.delta as delta))"
+        for kind, steps in kinds.items()
+    )
     return (
-        files.select("corpus_id", F.explode(steps).alias("e"))
-        .groupBy("corpus_id", "e.kind", "e.pos")
-        .agg(F.sum("e.delta").alias("delta"))
+        frame.select("corpus_id", F.expr(f"explode(concat({tagged}))").alias("step"))
+        .groupBy("corpus_id", "step.kind", "step.pos")
+        .agg(F.sum("step.delta").alias("delta"))
     )
 
 
@@ -341,7 +300,7 @@ def pack(
             F.lit(0).alias("omitted"),
         )
     else:
-        steps = materialize(budget_steps(ready, max_bytes, mode), "budget-steps")
+        steps = budget_steps(ready, max_bytes, mode)
         parameters = materialize(budget_parameters(steps, max_bytes, mode), "budget-parameters")
         joined = lookup(ready, parameters, ["corpus_id"], F.col("path"), "inner")
         whole = F.struct(text.alias("text"), F.lit(0).alias("omitted"))
@@ -351,7 +310,9 @@ def pack(
         )
         result = F.when(F.col("method") == "full", whole)
         if mode == "nest":
-            result = result.when(F.col("method") == "nest", folded(text, F.col("n")))
+            nested = F.when(F.col("method") == "nest", F.col("n"))
+            joined = with_folded(with_lines(joined).withColumn("depth", nested), "depth")
+            result = result.when(F.col("method") == "nest", F.col("fold"))
         cut = joined.withColumn("cut", result.otherwise(head)).select(
             "*", F.col("cut.text").alias("kept"), F.col("cut.omitted").alias("omitted")
         )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only below both bounds; beyond them the join is salted.
@@ -26,16 +26,32 @@ def scratch_folder(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder shared by the whole cluster")
 
 
+def _size_metrics(frame: DataFrame) -> list[Column]:
+    """Row count and an upper estimate of the bytes, as aggregates."""
+    width = sum(
+        (
+            F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) + 16
+            for f in frame.schema.fields
+        ),
+        F.lit(0),
+    )
+    size = F.coalesce(F.sum(width), F.lit(0)).cast("bigint")
+    return [F.count(F.lit(1)).alias("rows"), size.alias("size")]
+
+
 def materialize(frame: DataFrame, label: str) -> DataFrame:
     """Write a narrow intermediate table once and read it back.
 
-    Later consumers scan the written columns instead of recomputing the lineage,
-    a lost executor costs a re-read only, and the planner knows the real size.
+    Later consumers scan the written columns instead of recomputing the lineage, a
+    lost executor costs a re-read only, and the size is measured while writing.
     """
     spark = frame.sparkSession
     target = f"{scratch_folder(spark)}/arborlake/{label}-{uuid.uuid4().hex}"
-    frame.write.parquet(target)
-    return spark.read.schema(frame.schema).parquet(target)
+    seen = Observation(f"{label}-{uuid.uuid4().hex}")
+    frame.observe(seen, *_size_metrics(frame)).write.parquet(target)
+    written = spark.read.schema(frame.schema).parquet(target)
+    written._measured = (seen.get.get("rows") or 0, seen.get.get("size") or 0)
+    return written
 
 
 def spread_small_scan(frame: DataFrame, *keys: str) -> DataFrame:
@@ -51,14 +67,9 @@ def spread_small_scan(frame: DataFrame, *keys: str) -> DataFrame:
 
 
 def _fits_broadcast(small: DataFrame) -> bool:
-    width = sum(
-        (
-            F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) + 16
-            for f in small.schema.fields
-        ),
-        F.lit(0),
-    )
-    rows, size = small.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    """Whether the measured size is within the broadcast bounds."""
+    measured = getattr(small, "_measured", None)
+    rows, size = measured or small.agg(*_size_metrics(small)).first()
     return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 

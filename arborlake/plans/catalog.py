@@ -560,9 +560,9 @@ def pack_nest(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def fold_lines(spark: SparkSession, sf: str) -> DataFrame:
     files = tables.files_from_documents(spark, sf, indent=True)
-    cut = packing.folded(F.col("content"), F.lit(4))
-    return files.withColumn("cut", cut).select(
-        "corpus_id", "path", F.col("cut.text").alias("text"), F.col("cut.omitted").alias("omitted")
+    lined = packing.with_lines(files.withColumn("text", F.col("content")))
+    return packing.with_folded(lined.withColumn("depth", F.lit(4)), "depth").select(
+        "corpus_id", "path", F.col("fold.text").alias("text"), F.col("fold.omitted").alias("omitted")
     )
 
 
