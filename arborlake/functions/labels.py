@@ -30,9 +30,9 @@ _FRACTION_BITS = 1 << 52
 
 
 def one_decimal(value: Column) -> Column:
-    """A non-negative DOUBLE with one decimal, ties to even on the exact value.
+    """A DOUBLE of at least 1 with one decimal, ties to even on the exact value.
 
-    The fraction of a double is a whole number of 2^-52 steps, so scaling it is
+    From 1 on, a fraction is a whole number of 2^-52 steps, so scaling it is
     exact and the rest of the work is whole-number arithmetic.
     """
     whole = F.floor(value)

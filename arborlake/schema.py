@@ -11,22 +11,12 @@ from pyspark.sql import types as T
 
 ENTRIES = T.StructType(
     [
-        T.StructField("corpus_id", T.StringType(), False),
-        T.StructField("path", T.StringType(), False),
-        T.StructField("is_dir", T.BooleanType(), False),
+        T.StructField("corpus_id", T.StringType(), True),
+        T.StructField("path", T.StringType(), True),
+        T.StructField("is_dir", T.BooleanType(), True),
         T.StructField("size_bytes", T.LongType(), True),
         T.StructField("content", T.BinaryType(), True),
-        T.StructField("is_symlink", T.BooleanType(), False),
-    ]
-)
-
-IGNORE_RULES = T.StructType(
-    [
-        T.StructField("corpus_id", T.StringType(), False),
-        T.StructField("scope", T.StringType(), False),
-        T.StructField("layer_seq", T.IntegerType(), False),
-        T.StructField("rule_seq", T.IntegerType(), False),
-        T.StructField("pattern", T.StringType(), False),
+        T.StructField("is_symlink", T.BooleanType(), True),
     ]
 )
 
@@ -47,6 +37,3 @@ LAYERS = T.StructType(
         T.StructField("rules", COMPILED_RULES),
     ]
 )
-
-LABELS = "kind string, key string, label string"
-PROFILES = "priority int, ext string, file_type string"

@@ -32,9 +32,8 @@ def _rows(columns: list[str], data) -> Counter:
     return Counter(tuple(row[i] for i in order) for row in data)
 
 
-def difference(spark, con, query, statement: str, sf_dir: str) -> str | None:
+def difference(frame, con, statement: str) -> str | None:
     """None when the results agree, else a short description."""
-    frame = query(spark, sf_dir)
     got = _rows(frame.columns, [tuple(r) for r in frame.collect()])
     result = con.execute(statement)
     names = [c[0] for c in result.description]
@@ -71,7 +70,7 @@ def main() -> int:
     for name in sys.argv[2:] or registered:
         start = time.time()
         try:
-            found = difference(spark, con, registered[name], statements[name], sf_dir)
+            found = difference(registered[name](spark, sf_dir), con, statements[name])
         except Exception as error:  # noqa: BLE001 - report and go on
             found = f"{type(error).__name__}: {str(error)[:600]}"
         bad += found is not None
