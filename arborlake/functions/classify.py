@@ -254,12 +254,21 @@ def probe_sample(content: Column, is_text: bool) -> Column:
     return F.substring(head, 1, PROBE_BYTES)
 
 
-def looks_binary(sample: Column) -> Column:
-    """NUL anywhere, or more than a tenth (whole division) of control bytes."""
+def looks_binary(content: Column, is_text: bool) -> Column:
+    """NUL anywhere in the sample, or more than a tenth (whole division) control bytes.
+
+    Most files start without any control byte, which one tight scan tells; only the
+    others are counted.
+    """
+    sample = probe_sample(content, is_text)
     latin = F.decode(sample, "ISO-8859-1")
+    if is_text:
+        clean = F.substring(content, 1, PROBE_BYTES).rlike(r"\A[\t\n\r\x20-\x{10FFFF}]*+\z")
+    else:
+        clean = latin.rlike(r"\A[\t\n\r\x20-\xFF]*+\z")
     control = F.regexp_count(latin, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"))
     nul = F.contains(latin, F.lit("\u0000"))
-    return nul | (control > F.floor(F.octet_length(sample) / 10))
+    return F.when(clean, False).otherwise(nul | (control > F.floor(F.octet_length(sample) / 10)))
 
 
 def sample_is_utf8(sample: Column) -> Column:

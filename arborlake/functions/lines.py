@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from arborlake.functions.classify import (
     has_binary_extension,
     looks_binary,
-    probe_sample,
     too_large_to_count,
 )
 
@@ -105,6 +104,6 @@ def lines_of_code(
     return (
         F.when(content.isNull() | too_large_to_count(size_bytes), F.lit(None).cast("bigint"))
         .when(has_binary_extension(path), F.lit(None).cast("bigint"))
-        .when(looks_binary(probe_sample(content, is_text)), F.lit(None).cast("bigint"))
+        .when(looks_binary(content, is_text), F.lit(None).cast("bigint"))
         .otherwise(F.least(counted, F.lit(COUNT_CUTOFF)).cast("bigint"))
     )

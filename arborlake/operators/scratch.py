@@ -7,10 +7,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only below both bounds; beyond them the join is salted.
+# A side is broadcast only below both bounds.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
+# Beyond them, keys with more rows than the floor are joined apart, the largest first.
+HOT_FLOOR = 1_000_000
+HOT_KEYS = 10_000
+SALTS = 64
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -73,24 +76,51 @@ def _fits_broadcast(small: DataFrame) -> bool:
     return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
+def _salted(big: DataFrame, small: DataFrame, on: list[str], spread: Column, how: str) -> DataFrame:
+    """Repeat the small rows once per salt; a large row takes the salt of ``spread``."""
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (
+        big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+        .join(salted, [*on, "_salt"], how)
+        .drop("_salt")
+    )
+
+
+def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
+    """The most frequent keys, at most ``HOT_KEYS`` of them and only above the floor.
+
+    A key outside the list has at most one row in ``HOT_KEYS``. The counts combine on
+    the map side.
+    """
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_FLOOR)
+    return materialize(counts.orderBy(F.desc("_n"), *on).limit(HOT_KEYS).select(*on), "hot-keys")
+
+
 def lookup(
     big: DataFrame, small: DataFrame, on: list[str], spread: Column, how: str = "left"
 ) -> DataFrame:
     """Equi-join a large side, whose keys may be hot, with one small row per key.
 
-    ``small`` must be cheap to scan twice (a materialized table). It is broadcast
-    only when its measured size is within the bounds. Otherwise both sides are
-    shuffled with a salt: each small row is repeated once per salt and a large row
-    takes the salt of ``spread``, so no key lands in a single task.
+    ``small`` must be cheap to scan again (a materialized table). It is broadcast when
+    its measured size is within the bounds. Otherwise the hot keys are found first:
+    their rows, at most ``HOT_KEYS`` on the small side, are broadcast or salted on
+    ``spread``, and all other rows take a plain shuffled join.
     """
     if _fits_broadcast(small):
         return big.join(F.broadcast(small), on, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (
-        big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-        .join(salted, [*on, "_salt"], how)
-        .drop("_salt")
-    )
+    hot = hot_keys(big, on)
+    if hot._measured[0] == 0:
+        return big.join(small, on, how)
+    # Bounded by construction: HOT_KEYS rows of keys.
+    listed = F.broadcast(hot)
+    hot_small = materialize(small.join(listed, on, "left_semi"), "hot-rows")
+    hot_big = big.join(listed, on, "left_semi")
+    if _fits_broadcast(hot_small):
+        hot_rows = hot_big.join(F.broadcast(hot_small), on, how)
+    else:
+        hot_rows = _salted(hot_big, hot_small, on, spread, how)
+    cold_rows = big.join(listed, on, "left_anti").join(small, on, how)
+    return hot_rows.unionByName(cold_rows)
 
 
 def without_keys(big: DataFrame, dropped: DataFrame, on: list[str]) -> DataFrame:

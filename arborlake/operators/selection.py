@@ -9,7 +9,15 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.functions.globs import glob_set_regex, normalize_pattern, static_prefix
+from arborlake.functions.globs import (
+    anchored,
+    anchored_directory,
+    any_ancestor,
+    glob_bodies,
+    glob_set_regex,
+    normalize_pattern,
+    static_prefix,
+)
 from arborlake.functions.paths import ancestors_of, ancestors_or_self, depth_of, extension_of, match_form
 from arborlake.operators.ignore import ignored_entries
 from arborlake.operators.inventory import all_entries, walkable
@@ -73,7 +81,7 @@ class SelectionRules:
     def __post_init__(self) -> None:
         for field in ("include", "exclude", "include_ext"):
             object.__setattr__(self, field, tuple(getattr(self, field)))
-        self._include_regex, self._exclude_regex  # noqa: B018 - fail while planning
+        self._include_regex, self._exclude_bodies  # noqa: B018 - fail while planning
 
     @cached_property
     def include_patterns(self) -> list[str]:
@@ -84,9 +92,12 @@ class SelectionRules:
         return glob_set_regex(self.include_patterns) if self.include else None
 
     @cached_property
-    def _exclude_regex(self) -> str | None:
-        patterns = [normalize_pattern(p) for p in self.exclude]
-        return glob_set_regex(patterns) if patterns else None
+    def _exclude_bodies(self) -> list[str]:
+        return glob_bodies([normalize_pattern(p) for p in self.exclude])
+
+    @cached_property
+    def _safety_bodies(self) -> list[str]:
+        return glob_bodies(SAFETY_PATTERNS, "plain") if self.safety else []
 
     @cached_property
     def _located(self) -> list[str]:
@@ -116,14 +127,6 @@ class SelectionRules:
             return F.lit(False)
         return match_form(path).rlike(glob_set_regex(self._located))
 
-    def _excluded(self, path: Column) -> Column:
-        return match_form(path).rlike(self._exclude_regex) if self._exclude_regex else F.lit(False)
-
-    def _unsafe(self, path: Column) -> Column:
-        if not self.safety:
-            return F.lit(False)
-        return match_form(path).rlike(glob_set_regex(SAFETY_PATTERNS, "plain"))
-
     def holds_located_include(self, directory: Column) -> Column:
         """A located include pattern points into this directory or above it."""
         inside = F.concat(match_form(directory), F.lit("/"))
@@ -149,32 +152,42 @@ class SelectionRules:
         if self._located:
             chain = chain.when(self._located_include(path), "path_include")
         if self.exclude:
-            chain = chain.when(self._excluded(path), "excluded")
+            chain = chain.when(match_form(path).rlike(anchored(self._exclude_bodies)), "excluded")
         if self.has_includes:
             return chain.otherwise("included") if chain is not F else F.lit("included")
         if ignored is not None:
             chain = chain.when(ignored, "ignored")
         if self.safety:
-            chain = chain.when(self._unsafe(path), "unsafe")
+            chain = chain.when(match_form(path).rlike(anchored(self._safety_bodies)), "unsafe")
         return F.lit("default") if chain is F else chain.otherwise("default")
 
     def dir_reason(self, path: Column) -> Column:
         """Name of the first rule, ignore files aside, that decides a directory."""
         form = match_form(path)
-        closed = F.concat(path, F.lit("/"))
+        closed = F.concat(form, F.lit("/"))
         chain = F.when((form == ".git") | form.startswith(".git/"), "repository_data")
         if self._located:
             chain = chain.when(self.holds_located_include(path), "path_include")
         if self.safety:
-            chain = chain.when(self._unsafe(path) | self._unsafe(closed), "unsafe")
+            chain = chain.when(closed.rlike(anchored_directory(self._safety_bodies)), "unsafe")
         if self.has_includes:
             chain = chain.when(self._included(path) | self._may_hold_include(path), "included")
         if self.exclude:
-            chain = chain.when(self._excluded(path) | self._excluded(closed), "excluded")
+            chain = chain.when(closed.rlike(anchored_directory(self._exclude_bodies)), "excluded")
         return chain.otherwise("default")
 
-    def prunes(self, directory: Column) -> Column:
-        return self.dir_reason(directory).isin(*PRUNE_REASONS)
+    def prunes_above(self, path: Column) -> Column:
+        """Some proper ancestor of the path is pruned.
+
+        Without include rules one regex over the path finds it. With them each
+        ancestor is judged, because an include may keep it.
+        """
+        if self.has_includes:
+            return F.exists(
+                ancestors_of(path), lambda d: self.dir_reason(d).isin(*PRUNE_REASONS)
+            )
+        bodies = [r"\.git", *self._safety_bodies, *self._exclude_bodies]
+        return match_form(path).rlike(any_ancestor(bodies))
 
     def within_depth(self, path: Column) -> Column:
         return F.lit(True) if self.max_depth is None else depth_of(path) <= self.max_depth
@@ -188,7 +201,7 @@ def with_decision(entries: DataFrame, rules: SelectionRules) -> DataFrame:
     nested repositories depend on other rows and need :func:`select_entries`.
     """
     path, is_dir = F.col("path"), F.col("is_dir")
-    under = F.exists(ancestors_of(path), rules.prunes)
+    under = rules.prunes_above(path)
     own = F.when(is_dir, rules.dir_reason(path)).otherwise(rules.file_reason(path))
     reason = F.when(~rules.within_depth(path), "too_deep").when(under, "under_pruned_dir")
     return entries.withColumn("reason", reason.otherwise(own)).withColumn("decision", _decision())

@@ -240,7 +240,7 @@ def binary_gate(spark: SparkSession, sf: str) -> DataFrame:
         "corpus_id",
         "path",
         classify.has_binary_extension(F.col("path")).alias("binary_ext"),
-        classify.looks_binary(sample).alias("looks_binary"),
+        classify.looks_binary(content, is_text=True).alias("looks_binary"),
         F.octet_length(sample).alias("sample_bytes"),
         classify.too_large_to_count(F.octet_length(content) * 1000).alias("too_large"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from arborlake.functions.classify import file_type, with_label
 from arborlake.operators import inventory, layout, stats
+from arborlake.operators.ignore import layers_from_files
 from arborlake.operators.selection import SelectionRules
 from arborlake.plans.jobs import Options, annotated_listing, plain_listing
 from arborlake.sources.entries import below_root, read_manifest, read_tree, with_size
@@ -60,19 +61,40 @@ def test_random_trees(tree):
         assert lines(layout.tree_lines(listed(tree, sorted(paths)))) == draw(sorted(paths))
 
 
-def test_salted_joins_give_the_same_rows(tree, monkeypatch):
-    """Beyond the broadcast bounds every lookup is salted; results do not change."""
+@pytest.mark.parametrize(
+    "bounds",
+    [
+        {"BROADCAST_ROWS": -1},  # plain shuffled joins: no key is above the floor
+        {"BROADCAST_ROWS": -1, "HOT_FLOOR": 2},  # hot keys salted
+        {"BROADCAST_ROWS": 3, "HOT_FLOOR": 2, "HOT_KEYS": 2},  # hot keys broadcast
+    ],
+)
+def test_joins_beyond_the_broadcast_bounds_give_the_same_rows(tree, monkeypatch, bounds):
     from arborlake.operators import scratch
+    from arborlake.operators.packing import pack
     from arborlake.operators.selection import select_entries
 
-    files = {f"d{i % 3}/e{i % 2}/f{i}.rs": "x" for i in range(20)} | {"d1/.git": "", "g/x.log": "", "v/": None}
-    entries = tree(files)
-    want = lines(layout.tree_lines(listed(tree, files)))
-    decided = {tuple(r) for r in select_entries(entries, SelectionRules()).collect()}
-    monkeypatch.setattr(scratch, "BROADCAST_ROWS", -1)
-    frame = layout.tree_lines(listed(tree, files))
-    assert lines(frame) == want == draw(files)
-    assert {tuple(r) for r in select_entries(entries, SelectionRules()).collect()} == decided
+    files = {f"d{i % 3}/e{i % 2}/f{i}.rs": "x\ny\n" for i in range(20)}
+    files |= {"d1/.git": "", "d2/lib/.git": "", "g/x.log": "", "v/": None, ".gitignore": "e1/\n*3.rs\n"}
+    entries = tree(files).unionByName(tree({"a/b": "q", "c": "r"}, "other"))
+
+    def results():
+        decided = with_ignore_layers(entries)
+        packed = pack(entries.where("not is_dir"), 30).select("corpus_id", "path", "n", "section")
+        return (
+            lines(layout.tree_lines(listed(tree, files))),
+            sorted(map(tuple, decided.collect())),
+            sorted(map(tuple, packed.collect())),
+        )
+
+    def with_ignore_layers(entries):
+        return select_entries(entries, SelectionRules(), layers=layers_from_files(entries))
+
+    want = results()
+    assert want[0] == draw(files)
+    for name, value in bounds.items():
+        monkeypatch.setattr(scratch, name, value)
+    assert results() == want
 
 
 def test_charsets_and_line_counts(tree):
