@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arborlake.functions.labels import STAR, loc_bar, loc_class, loc_label
 from arborlake.functions.paths import ancestors_or_self, depth_of, name_of, parent_of, sort_key
-from arborlake.operators.scratch import lookup, materialize
+from arborlake.operators.scratch import lookup, materialize, part_of
 from arborlake.operators.stats import with_outlier
 
 # Fixed values: (branch, last branch, continued, finished).
@@ -42,11 +42,11 @@ def _parents(entries: DataFrame, charset: str) -> DataFrame:
         "parents",
     )
     stem = F.when(F.col("parent") == "", F.lit("")).otherwise(F.concat("parent", F.lit("/")))
-    last_dirs = materialize(
+    last_dirs = part_of(
         parents.where(~F.col("last_child.is_file")).select(
             "corpus_id", F.concat(stem, F.col("last_child.name")).alias("ancestor")
         ),
-        "last-dirs",
+        parents,
     )
     chains = parents.where(F.col("parent") != "").select(
         "corpus_id", "parent", F.explode(ancestors_or_self(F.col("parent"))).alias("ancestor")

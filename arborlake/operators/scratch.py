@@ -69,6 +69,18 @@ def spread_small_scan(frame: DataFrame, *keys: str) -> DataFrame:
     return frame.repartition(cores, *keys)
 
 
+def part_of(frame: DataFrame, table: DataFrame) -> DataFrame:
+    """A cheap cut of a materialized table; where the whole fits, so does the cut."""
+    if _fits_broadcast(table):
+        frame._measured = table._measured
+    return frame
+
+
+def is_empty(table: DataFrame) -> bool:
+    """Whether a materialized table has no rows, as counted while writing."""
+    return table._measured[0] == 0
+
+
 def _fits_broadcast(small: DataFrame) -> bool:
     """Whether the measured size is within the broadcast bounds."""
     measured = getattr(small, "_measured", None)
@@ -109,7 +121,7 @@ def lookup(
     if _fits_broadcast(small):
         return big.join(F.broadcast(small), on, how)
     hot = hot_keys(big, on)
-    if hot._measured[0] == 0:
+    if is_empty(hot):
         return big.join(small, on, how)
     # Bounded by construction: HOT_KEYS rows of keys.
     listed = F.broadcast(hot)

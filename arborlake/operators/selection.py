@@ -21,7 +21,7 @@ from arborlake.functions.globs import (
 from arborlake.functions.paths import ancestors_of, ancestors_or_self, depth_of, extension_of, match_form
 from arborlake.operators.ignore import ignored_entries
 from arborlake.operators.inventory import all_entries, walkable
-from arborlake.operators.scratch import lookup, materialize, without_keys
+from arborlake.operators.scratch import is_empty, lookup, materialize, without_keys
 
 # ---------------------------------------------------------------------------
 # The safety preset.
@@ -301,6 +301,8 @@ def _apply_data_rules(
         prune_sets.append(repositories.select(*key, F.lit(2).alias("code")))
     pruned = reduce(DataFrame.unionByName, prune_sets).groupBy(*key).agg(F.max("code").alias("code"))
     pruned = materialize(pruned.withColumnRenamed("path", "ancestor"), "pruned")
+    if is_empty(pruned) and (layers is None or is_empty(ignored)):
+        return decided
 
     chains = live.select(
         *key,
@@ -352,7 +354,10 @@ def _drop_empty_directories(decided: DataFrame, rules: SelectionRules) -> DataFr
             .distinct()
             .withColumn("applies", F.lit(True))
         )
-        dirs = lookup(dirs, materialize(met, "met-repositories"), ["corpus_id"], F.col("path"))
+        met = materialize(met, "met-repositories")
+        if is_empty(met):
+            return decided
+        dirs = lookup(dirs, met, ["corpus_id"], F.col("path"))
         applies = F.coalesce(F.col("applies"), F.lit(False))
     empty = applies & F.col("alive").isNull() & F.col("reason").isin(*KEEP_REASONS)
     marked = dirs.withColumn("reason", F.when(empty, "empty").otherwise(F.col("reason")))

@@ -20,6 +20,7 @@ QUERIES: dict[str, Query] = {}
 
 HEAD_BUDGET = 200_000
 NEST_BUDGET = 450_000
+TIGHT_BUDGET = 120_000
 WIDE_BUDGET = 400_000
 MIXED_RULES = SelectionRules(
     include=("*.rs", "*.md", "src3/**/*.py"), exclude=("docs", "src3/vendor/**", "test_*.rs")
@@ -557,6 +558,29 @@ def pack_nest(spark: SparkSession, sf: str) -> DataFrame:
     return _packed(packing.pack(files, NEST_BUDGET, "nest"))
 
 
+@query
+def pack_nest_tight(spark: SparkSession, sf: str) -> DataFrame:
+    """A budget that some corpora meet by folding and others only by heads."""
+    files = tables.files_from_documents(spark, sf, indent=True)
+    return _packed(packing.pack(files, TIGHT_BUDGET, "nest"))
+
+
+@query
+def nest_parameters(spark: SparkSession, sf: str) -> DataFrame:
+    """Method and parameter per corpus, with runs of a dozen lines and more."""
+    files = tables.files_from_documents(spark, sf)
+    blocks = F.array_join(
+        F.transform(
+            F.split("content", "\n"),
+            lambda line, i: F.concat(F.repeat(F.lit(" "), F.floor(i / 12).cast("int") % 4), line),
+        ),
+        "\n",
+    )
+    ready = packing.readable_files(files.withColumn("content", blocks))
+    steps = packing.budget_steps(ready, NEST_BUDGET, "nest")
+    return packing.budget_parameters(steps, NEST_BUDGET, "nest")
+
+
 @query
 def fold_lines(spark: SparkSession, sf: str) -> DataFrame:
     files = tables.files_from_documents(spark, sf, indent=True)

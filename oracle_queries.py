@@ -6,7 +6,7 @@ candidate, sibling flags come from windows, patterns are spelled out by hand.
 
 from __future__ import annotations
 
-from arborlake.plans.catalog import HEAD_BUDGET, NEST_BUDGET, WIDE_BUDGET
+from arborlake.plans.catalog import HEAD_BUDGET, NEST_BUDGET, TIGHT_BUDGET, WIDE_BUDGET
 
 NL = "chr(10)"
 WS = (
@@ -43,6 +43,12 @@ INDENTED = (
 )
 
 
+BLOCKS = (
+    f"array_to_string(list_transform(string_split(text, {NL}),"
+    f" lambda x, i: repeat(' ', ((i - 1) // 12) % 4) || x), {NL})"
+)
+
+
 def docs(text: str = "text") -> str:
     return (
         f"f AS (SELECT {DOC_FIELDS}, {text} AS content, octet_length(encode({text})) AS size_bytes"
@@ -688,6 +694,11 @@ def _statements() -> dict[str, str]:
     q["pack_fit"] = f"WITH {d}, {packed_head(WIDE_BUDGET)} {PACKED}"
     q["pack_head"] = f"WITH {d}, {packed_head(HEAD_BUDGET)} {PACKED}"
     q["pack_nest"] = f"WITH {docs(INDENTED)}, {packed_nest(NEST_BUDGET)} {PACKED}"
+    q["pack_nest_tight"] = f"WITH {docs(INDENTED)}, {packed_nest(TIGHT_BUDGET)} {PACKED}"
+    q["nest_parameters"] = (
+        f"WITH {docs(BLOCKS)}, {packed_nest(NEST_BUDGET)}"
+        " SELECT corpus_id, any_value(method) AS method, any_value(n) AS n FROM cut GROUP BY 1"
+    )
     q["fold_lines"] = (
         f"WITH {docs(INDENTED)}, rd AS (SELECT *, {lines_of('content')} AS ls FROM f),"
         f" {fold('SELECT corpus_id, path, 4 AS t FROM rd')} SELECT rd.corpus_id, rd.path, coalesce(txt, '') AS text,"
