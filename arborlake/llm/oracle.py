@@ -1,0 +1,5 @@
+"""DuckDB statements of the registered queries that SQL can express."""
+
+from __future__ import annotations
+
+STATEMENTS: dict[str, str] = {}
