@@ -82,6 +82,11 @@ def band_starts(largest: int) -> np.ndarray:
     return np.array(starts, np.int64)
 
 
+def reaching(starts: np.ndarray, size: int) -> np.ndarray:
+    """The same bands, continued as far as a set of this size needs."""
+    return starts if size < starts[-1] else band_starts(2 * size)
+
+
 def tile_keys(codes: np.ndarray, tile: int, width: int) -> np.ndarray:
     """Keys of a set in a tile whose sets are dealt into ``width`` parts."""
     parts = (W.mix(codes ^ _SALT) % np.uint64(width)).astype(np.int64)
@@ -124,29 +129,27 @@ def set_of(text: bytes | None, size: int, codes: W.WordCodes) -> np.ndarray:
 
 
 def signatures(documents: DataFrame, rule: Similarity) -> DataFrame:
-    """``doc_id, n, class, bits, keys`` of every row; the class is a digest of the set."""
+    """``doc_id, n, class, keys`` of every row; the class is a digest of the set."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = W.WordCodes()
         starts = band_starts(1 << 20)
         for batch in batches:
-            sizes, classes, bits, keys = [], [], [], []
+            sizes, classes, keys = [], [], []
             for text in W.as_bytes(batch.column(1)):
                 own = set_of(text, rule.size, codes)
-                if len(own) >= starts[-1]:
-                    starts = band_starts(2 * len(own))
+                starts = reaching(starts, len(own))
                 sizes.append(len(own))
                 classes.append(np.int64(np.uint64(xxh3_64_intdigest(own.tobytes()))) if len(own) else None)
-                bits.append(bitmap(own))
                 keys.append(keys_of(own, starts, rule).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(bits, pa.binary()), W.list_array(keys, pa.int64())],
-                names=["doc_id", "n", "class", "bits", "keys"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), W.list_array(keys, pa.int64())],
+                names=["doc_id", "n", "class", "keys"],
             )
 
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(made, f"doc_id {kind}, n bigint, class bigint, bits binary, keys array<bigint>")
+    return rows.mapInArrow(made, f"doc_id {kind}, n bigint, class bigint, keys array<bigint>")
 
 
 def led(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,49 +241,64 @@ def differing_bits(a: str, b: str) -> Column:
     return counted(a, b)
 
 
-def linked(pairs: DataFrame, sizes: DataFrame, arrays: DataFrame, rule: Similarity) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
     """The pairs ``a, b`` that link, by bounds and then by the exact arrays."""
-    of = lambda side: sizes.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
-    met = pairs.join(of("b"), "b").join(of("a"), "a")
+    of = lambda side, *more: sets.select(F.col("class").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in more))
+    met = pairs.join(of("b", "n", "bits"), "b").join(of("a", "n", "bits"), "a")
     near = met.where(100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b"))
     near = near.withColumn("differ", differing_bits("bits_a", "bits_b")).where(_bounded(rule, "n_a", "n_b", "differ"))
     near = keep(near.select("a", "b"), "near")
-    sets = lambda side: arrays.select(F.col("class").alias(side), F.col("codes").alias(f"codes_{side}"))
-    full = near.join(sets("b"), "b").join(sets("a"), "a")
+    full = near.join(of("b", "codes"), "b").join(of("a", "codes"), "a")
     shared = F.size(F.array_intersect("codes_a", "codes_b"))
     union = F.size("codes_a") + F.size("codes_b") - shared
     return full.where(100 * shared >= rule.percent * union).select("a", "b")
 
 
-def exact_arrays(documents: DataFrame, classes: DataFrame, rule: Similarity) -> DataFrame:
-    """``class, codes`` for the classes listed with the ``doc_id`` and digest of a member."""
+def member_sets(documents: DataFrame, members: DataFrame, rule: Similarity) -> DataFrame:
+    """``class, n, codes, bits, keys`` for the classes listed with the id of one member."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = W.WordCodes()
+        codes, starts = W.WordCodes(), band_starts(1 << 20)
         for batch in batches:
-            owners, sets = [], []
+            owners, sets, bits, keys = [], [], [], []
             for own, text in zip(batch.column(0).to_pylist(), W.as_bytes(batch.column(1)), strict=True):
                 found = set_of(text, rule.size, codes)
                 # rows that repeat an id with another text are not this member
                 if np.int64(np.uint64(xxh3_64_intdigest(found.tobytes()))) == own:
+                    starts = reaching(starts, len(found))
                     owners.append(own)
                     sets.append(found.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), W.list_array(sets, pa.int64())], names=["class", "codes"])
+                    bits.append(bitmap(found))
+                    keys.append(keys_of(found, starts, rule).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(owners, pa.int64()),
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    W.list_array(sets, pa.int64()),
+                    pa.array(bits, pa.binary()),
+                    W.list_array(keys, pa.int64()),
+                ],
+                names=["class", "n", "codes", "bits", "keys"],
+            )
 
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    members = classes.select("class", F.col("member").alias("doc_id"))
-    met = texts.join(members, texts["doc_id"].eqNullSafe(members["doc_id"])).select("class", "text")
-    return met.mapInArrow(made, "class bigint, codes array<bigint>").dropDuplicates(["class"])
+    named = members.select("class", F.col("member").alias("doc_id"))
+    met = texts.join(named, texts["doc_id"].eqNullSafe(named["doc_id"])).select("class", "text")
+    sets = met.mapInArrow(made, "class bigint, n bigint, codes array<bigint>, bits binary, keys array<bigint>")
+    # a class comes once unless its member's row is repeated
+    if members.where(F.col("repeated")).isEmpty():
+        return sets
+    return sets.dropDuplicates(["class"])
 
 
-def cross_pairs(signed: DataFrame, roots: DataFrame, rule: Similarity, ranges: int) -> DataFrame:
+def cross_pairs(sets: DataFrame, roots: DataFrame, rule: Similarity, ranges: int) -> DataFrame:
     """Pairs that share a key and are in different components so far, within the bounds."""
-    tiles = signed.select("class", "n", "bits", "keys").dropDuplicates(["class"]).join(roots, F.col("class") == F.col("node"))
-    rows = tiles.select("class", "root", F.explode("keys").alias("key"))
+    rows = sets.select("class", "keys").join(roots, F.col("class") == F.col("node"))
+    rows = rows.select("class", "root", F.explode("keys").alias("key"))
     mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"))
     open_keys = keep(mixed.where(F.col("low") != F.col("high")).select("key", F.ceil(F.col("rows") / TILE_ROWS).alias("blocks")), "open")
     if open_keys.isEmpty():
-        return signed.sparkSession.createDataFrame([], "a bigint, b bigint")
+        return sets.sparkSession.createDataFrame([], "a bigint, b bigint")
     # a key's rows are cut into blocks; each pair of blocks is a tile of bounded size
     block = F.pmod(F.xxhash64("class"), F.col("blocks"))
     cut = rows.join(open_keys, "key").withColumn("block", block)
@@ -289,8 +307,7 @@ def cross_pairs(signed: DataFrame, roots: DataFrame, rule: Similarity, ranges: i
         "class", "root", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
     tiles = dealt.withColumn("tile", F.xxhash64("key", "low", "high")).withColumn("range", F.pmod(F.col("tile"), F.lit(16 * ranges)))
-    sizes = signed.select("class", "n", "bits").dropDuplicates(["class"])
-    tiles = tiles.select("class", "root", "tile", "range").join(sizes, "class")
+    tiles = tiles.select("class", "root", "tile", "range").join(sets.select("class", "n", "bits"), "class")
 
     def compared(table: pa.Table) -> pa.Table:
         tile, root, own, n = (table[c].to_numpy() for c in ("tile", "root", "class", "n"))
@@ -325,26 +342,29 @@ def similar_groups(documents: DataFrame, rule: Similarity = Similarity()) -> Dat
     ranges = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     signed = keep(signatures(documents, rule), "signatures")
     stars = keep(star_pairs(signed, ranges), "stars")
-    ends = stars.select(F.col("a").alias("class")).unionByName(stars.select(F.col("b").alias("class"))).distinct()
-    met = signed.join(ends, "class", "left_semi")
-    sizes = keep(
-        met.groupBy("class").agg(F.min("doc_id").alias("member"), F.first("n").alias("n"), F.first("bits").alias("bits")), "met"
+    rows = signed.select("doc_id", "n", "class")
+    ends = keep(stars.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "ends")
+    ids = rows.where(F.col("class").isNotNull()).groupBy("class", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    classes = ids.groupBy("class").agg(
+        F.min("doc_id").alias("member"), F.sum("rows").alias("rows"), F.max(F.col("rows") > 1).alias("repeated")
     )
-    arrays = keep(exact_arrays(documents, sizes.select("class", "member"), rule), "arrays")
-    links = keep(linked(stars, sizes, arrays, rule), "links")
+    classes = keep(classes, "classes")
+    members = keep(classes.join(ends, "class", "left_semi"), "members")
+    sets = keep(member_sets(documents, members, rule), "sets")
+    links = keep(linked(stars, sets, rule), "links")
     roots = keep(components(links), "roots")
     alone = ends.join(roots, F.col("class") == F.col("node"), "left_anti")
     every = keep(roots.unionByName(alone.select(F.col("class").alias("node"), F.col("class").alias("root"))), "nodes")
-    crossing = keep(cross_pairs(met, every, rule, ranges), "crossing")
-    more = keep(linked(crossing, sizes, arrays, rule), "links")
+    more = keep(linked(keep(cross_pairs(sets, every, rule, ranges), "crossing"), sets, rule), "links")
     roots = keep(components(links.unionByName(more)), "roots")
-    drop(arrays)
-    rows = signed.select("doc_id", "n", "class")
-    grouped = rows.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
-    grouped = grouped.select("doc_id", "n", "class", "root")
-    least = grouped.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
-    several = least.where(F.col("rows") > 1).select("root", "least")
-    return grouped.join(several, "root", "left").select(
+    drop(sets)
+    # the least id of each component, found on classes; only classes of several rows or
+    # with links have an id to look up
+    rooted = classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
+    several = rooted.where((F.col("rows") > 1) | F.col("node").isNotNull()).select("class", "root", "member")
+    least = several.groupBy("root").agg(F.min("member").alias("least"))
+    named = keep(several.join(least, "root").select("class", "least"), "least")
+    return rows.join(named, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("least", "doc_id").alias("component_id")
     )
 
