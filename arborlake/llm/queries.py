@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm import decontaminate, html_text, mixing, ngram_join, quality, secret_scan, sharding, substring_dedup, toxicity
+from arborlake.llm import decontaminate, html_text, line_dedup, mixing, ngram_join, quality, secret_scan, sharding, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = html_text.page_texts(table(spark, sf_dir, "pages"))
     return texts.withColumn("n_chars", F.length("text").cast("bigint"))
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_secret_scan,
         op6_decontaminate,
         op7_substring_dedup,
+        op8_line_dedup,
         op9_html_text,
         op10_quality,
     )
