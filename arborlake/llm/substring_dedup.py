@@ -44,6 +44,7 @@ BATCH_HASHES = 1 << 20
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
 #: ``known`` rows are decided within the batch; the others are to be compared.
 _SENT = "part bigint, known boolean, ids array<bigint>, texts array<bigint>, counts array<int>, hashes array<bigint>, places array<int>"
+_FOUND = "bucket bigint, ids array<bigint>, texts array<bigint>, counts array<int>, places array<int>"
 _PLACES = "doc_id bigint, text_key bigint, places array<int>"
 
 
@@ -126,33 +127,62 @@ def _groups(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return group, least[group], (least != most)[group]
 
 
-def _met(later_known: bool) -> Callable[[pa.Table], pa.Table]:
-    """Compare the entries of a range: places to go on with, by document."""
+def _by_id(ids: np.ndarray, ranges: int) -> np.ndarray:
+    return (W.mix(ids.view(np.uint64) ^ _SALT) % np.uint64(ranges)).astype(np.int64)
+
+
+def _flat(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table[c].combine_chunks().flatten().to_numpy() for c in names]
+
+
+def _met(later_known: bool, ranges: int) -> Callable[[pa.Table], pa.Table]:
+    """Compare the entries of a range: places to go on with, in one row for a range of ids."""
 
     def compared(table: pa.Table) -> pa.Table:
-        flat = {c: table[c].combine_chunks().flatten().to_numpy() for c in ("ids", "texts", "counts", "hashes", "places")}
-        ids, texts = (np.repeat(flat[c], flat["counts"]) for c in ("ids", "texts"))
-        places = flat["places"]
+        ids, texts, counts, hashes, places = _flat(table, "ids", "texts", "counts", "hashes", "places")
+        ids, texts = np.repeat(ids, counts), np.repeat(texts, counts)
         if not table["known"][0].as_py():
-            order = np.lexsort((ids, flat["hashes"]))
+            order = np.lexsort((ids, hashes))
             ids, texts, places = ids[order], texts[order], places[order]
-            _, least, shared = _groups(flat["hashes"][order], ids)
+            _, least, shared = _groups(hashes[order], ids)
             wanted = ids > least if later_known else shared
             ids, texts, places = ids[wanted], texts[wanted], places[wanted]
-        order = np.lexsort((places, texts, ids))
-        ids, texts, places = ids[order], texts[order], places[order]
-        new = (np.diff(ids) != 0) | (np.diff(texts) != 0)
-        cuts = np.flatnonzero(np.r_[True, new]) if len(ids) else np.empty(0, np.int64)
-        parts = np.split(places, cuts[1:]) if len(ids) else []
-        return pa.table({"doc_id": pa.array(ids[cuts]), "text_key": pa.array(texts[cuts]), "places": W.list_array(parts, pa.int32())})
+        bucket = _by_id(ids, ranges)
+        order = np.lexsort((places, texts, ids, bucket))
+        ids, texts, places, bucket = ids[order], texts[order], places[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        runs = np.flatnonzero(np.r_[True, (np.diff(ids) != 0) | (np.diff(texts) != 0)]) if len(ids) else cuts
+        at = np.searchsorted(runs, cuts)[1:]
+        split = lambda values, where: np.split(values, where) if len(cuts) else []
+        return pa.table(
+            {
+                "bucket": pa.array(bucket[cuts]),
+                "ids": W.list_array(split(ids[runs], at), pa.int64()),
+                "texts": W.list_array(split(texts[runs], at), pa.int64()),
+                "counts": W.list_array(split(np.diff(np.r_[runs, len(ids)]), at), pa.int32()),
+                "places": W.list_array(split(places, cuts[1:]), pa.int32()),
+            }
+        )
 
     return compared
 
 
-def _gathered(sent: DataFrame, later_known: bool) -> DataFrame:
+def _regrouped(table: pa.Table) -> pa.Table:
+    """One row for each document of a range of ids."""
+    ids, texts, counts, places = _flat(table, "ids", "texts", "counts", "places")
+    ids, texts = np.repeat(ids, counts), np.repeat(texts, counts)
+    order = np.lexsort((places, texts, ids))
+    ids, texts, places = ids[order], texts[order], places[order]
+    runs = np.flatnonzero(np.r_[True, (np.diff(ids) != 0) | (np.diff(texts) != 0)])
+    return pa.table(
+        {"doc_id": pa.array(ids[runs]), "text_key": pa.array(texts[runs]), "places": W.list_array(np.split(places, runs[1:]), pa.int32())}
+    )
+
+
+def _gathered(sent: DataFrame, later_known: bool, ranges: int) -> DataFrame:
     """All places of each document in one row; no more than it has words."""
-    met = sent.groupBy("part").applyInArrow(_met(later_known), _PLACES)
-    return met.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("places")).alias("places"))
+    met = sent.groupBy("part").applyInArrow(_met(later_known, ranges), _FOUND)
+    return met.groupBy("bucket").applyInArrow(_regrouped, _PLACES)
 
 
 def removed_places(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -188,9 +218,9 @@ def removed_places(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
                     yield from sender.flush(True)
         yield from sender.flush(True)
 
-    shared = _gathered(rows.mapInArrow(anchors, _SENT), False)
+    shared = _gathered(rows.mapInArrow(anchors, _SENT), False, ranges)
     near = rows.join(shared, ["doc_id", "text_key"], "left")
-    removed = _gathered(near.select("doc_id", "text_key", "text", "places").mapInArrow(extended, _SENT), True)
+    removed = _gathered(near.select("doc_id", "text_key", "text", "places").mapInArrow(extended, _SENT), True, ranges)
     return rows, removed
 
 
