@@ -89,8 +89,8 @@ class Sender:
         of_least = ids[owner] == least
         known = ~of_least if later_known else shared
         yield from self._rows(ids, texts, hashes, owner, places, known, True)
-        # of a hash, the places of its least id are sent; where any place will do, the first
-        send = of_least if later_known else np.r_[True, hashes[1:] != hashes[:-1]]
+        # of a hash, the places of its least id are sent; one will do where all are known
+        send = of_least if later_known else ~shared | np.r_[True, hashes[1:] != hashes[:-1]]
         yield from self._rows(ids, texts, hashes, owner, places, send, False)
 
     def _rows(self, ids, texts, hashes, owner, places, rows, known) -> Iterator[pa.RecordBatch]:
