@@ -51,7 +51,7 @@ from arborlake.llm.store import drop, keep
 
 BAND_GROWTH = 1.4
 SPARE = 2
-BITS = 2048
+BITS = 1024
 #: Rows of one key that are compared with each other in one block.
 TILE_ROWS = 2048
 #: Keys that a batch gathers before it hands them on; bounds the memory of a task.
@@ -283,7 +283,8 @@ def member_sets(documents: DataFrame, members: DataFrame, rule: Similarity) -> D
 
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     named = members.select("class", F.col("member").alias("doc_id"))
-    met = texts.join(named, texts["doc_id"].eqNullSafe(named["doc_id"])).select("class", "text")
+    # the ids grow with the documents, so they are never broadcast
+    met = texts.join(named.hint("merge"), texts["doc_id"].eqNullSafe(named["doc_id"])).select("class", "text")
     sets = met.mapInArrow(made, "class bigint, n bigint, codes array<bigint>, bits binary, keys array<bigint>")
     # a class comes once unless its member's row is repeated
     if members.where(F.col("repeated")).isEmpty():
@@ -303,14 +304,18 @@ def cross_pairs(sets: DataFrame, roots: DataFrame, rule: Similarity, ranges: int
     block = F.pmod(F.xxhash64("class"), F.col("blocks"))
     cut = rows.join(open_keys, "key").withColumn("block", block)
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        "class", "root", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    tile = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    tiles = dealt.select(
+        "class", "root", "key", tile.alias("tile"), F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).alias("side")
     )
-    tiles = dealt.withColumn("tile", F.xxhash64("key", "low", "high")).withColumn("range", F.pmod(F.col("tile"), F.lit(16 * ranges)))
-    tiles = tiles.select("class", "root", "tile", "range").join(sets.select("class", "n", "bits"), "class")
+    short = F.transform("keys", lambda k: F.pmod(k, F.lit(1 << 31)).cast("int"))
+    about = sets.select("class", "n", "bits", short.alias("keys"))
+    tiles = tiles.withColumn("range", F.pmod(F.col("tile"), F.lit(16 * ranges))).join(about, "class")
 
     def compared(table: pa.Table) -> pa.Table:
-        tile, root, own, n = (table[c].to_numpy() for c in ("tile", "root", "class", "n"))
+        tile, side, key, root, own, n = (table[c].to_numpy() for c in ("tile", "side", "key", "root", "class", "n"))
+        key = key % (1 << 31)
+        keys = table["keys"].combine_chunks()
         bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(tile), -1)
         order = np.argsort(tile, kind="stable")
         cuts = np.flatnonzero(np.diff(tile[order], prepend=tile[order][0] - 1 if len(tile) else 0))
@@ -318,13 +323,18 @@ def cross_pairs(sets: DataFrame, roots: DataFrame, rule: Similarity, ranges: int
         for rows in np.split(order, cuts[1:]):
             for k in range(len(rows) - 1):
                 one, rest = rows[k], rows[k + 1 :]
-                rest = rest[root[rest] != root[one]]
+                # rows of one block meet in the tile of that block alone
+                rest = rest[(root[rest] != root[one]) & ((side[rest] != side[one]) | (side[one] < 0))]
                 low, high = np.minimum(n[rest], n[one]), np.maximum(n[rest], n[one])
                 rest = rest[100 * low >= rule.percent * high]
                 if not len(rest):
                     continue
                 differ = np.bitwise_count(bits[rest] ^ bits[one]).sum(axis=1).astype(np.int64)
                 rest = rest[differ * (100 + rule.percent) <= (n[rest] + n[one]) * (100 - rule.percent)]
+                # a pair that shares several keys is listed for two of them, by 31 bits of the
+                # key; linked sets share at least three, so one chance collision loses none
+                first = [key[one] in np.intersect1d(keys[i].values, keys[one].values)[:2] for i in rest.tolist()]
+                rest = rest[np.array(first, bool)]
                 if len(rest):
                     found.append(np.stack([np.minimum(own[rest], own[one]), np.maximum(own[rest], own[one])], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
