@@ -175,7 +175,7 @@ def fitted(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
             [pa.array(list(model), pa.string()), pa.array(list(model.values()), pa.float64())], names=["name", "weight"]
         )
 
-    model = labelled_sample(documents, labels, rows).coalesce(1).mapInArrow(train, "name string, weight double")
+    model = labelled_sample(documents, labels, rows).repartition(1).mapInArrow(train, "name string, weight double")
     return {r["name"]: r["weight"] for r in model.collect()}
 
 
