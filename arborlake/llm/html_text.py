@@ -223,8 +223,10 @@ def learned(pages: DataFrame, rows: int = SAMPLE_PAGES) -> dict[str, float]:
             names=["name", "inside", "n"],
         )
 
-    drawn = pages.select("page_id", F.col("html").cast("string").alias("html"))
-    drawn = drawn.orderBy(F.xxhash64("page_id"), "page_id").limit(rows).select("html")
+    # at most ``rows`` ids, chosen before any page is read
+    chosen = pages.select("page_id").where(F.col("page_id").isNotNull()).distinct()
+    chosen = F.broadcast(chosen.orderBy(F.xxhash64("page_id"), "page_id").limit(rows))
+    drawn = pages.join(chosen, "page_id", "left_semi").select(F.col("html").cast("string").alias("html"))
     counts = drawn.mapInArrow(count, "name string, inside boolean, n bigint").groupBy("name", "inside").agg(F.sum("n").alias("n"))
     rows_ = counts.orderBy(F.desc("n"), "name", "inside").limit(MOST_WEIGHTS).collect()
     return weights_from({(r["name"], r["inside"]): r["n"] for r in rows_})
