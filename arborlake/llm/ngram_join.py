@@ -14,10 +14,12 @@ sets are equal. A part's digest is a key; documents of a tile meet only where th
 key. Empty parts are no keys unless a set has more than ``SPARE`` of them, which keeps the
 argument whole: of the equal parts at least one is not empty, or both sets list theirs.
 
-Verification. Pairs that meet are first bounded by sizes and by parity bitmaps of
-``BITS`` bits: every bit in which two bitmaps differ stands for a shingle that only one set
-has, so the bit count of their difference bounds the overlap from above. Pairs that remain
-are decided on the exact arrays of shingles.
+Verification. Pairs that meet are first bounded by sizes and by parity bitmaps: every bit
+in which two bitmaps differ stands for a shingle that only one set has, so the bit count of
+their difference bounds the overlap from above. A bitmap has at least as many bits as its
+set has shingles, so it does not fill up in the bands of long texts; a wider one is folded
+to the width of the other. Only for pairs that remain are the texts read again, and those
+pairs are decided on the exact arrays of shingles.
 
 Hot keys. Documents of a group of copies share most of their keys. A batch lists a key
 once, for its least class, and links its other classes to that one; the same is done for
@@ -51,6 +53,7 @@ from arborlake.llm.store import drop, keep
 
 BAND_GROWTH = 1.4
 SPARE = 2
+#: Bits of the narrowest bitmap, and of all bitmaps in the tiles of open keys.
 BITS = 1024
 #: Rows of one key that are compared with each other in one block.
 TILE_ROWS = 2048
@@ -120,8 +123,22 @@ def keys_of(codes: np.ndarray, starts: np.ndarray, rule: Similarity) -> np.ndarr
 
 def bitmap(codes: np.ndarray) -> bytes:
     """Parity bitmap: a bit is the number of shingles that fall on it, modulo two."""
-    at = (W.mix(codes ^ _BITMAP) % np.uint64(BITS)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=BITS).astype(np.uint8) & 1).tobytes()
+    width = max(BITS, 1 << max(len(codes) - 1, 0).bit_length())
+    at = (W.mix(codes ^ _BITMAP) % np.uint64(width)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=width).astype(np.uint8) & 1).tobytes()
+
+
+def folded(bits: bytes, width: int) -> bytes:
+    """The parity bitmap of the same set in ``width`` bytes."""
+    if len(bits) == width:
+        return bits
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, width), axis=0).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits that differ, at the width of the narrower bitmap."""
+    width = min(len(a), len(b))
+    return (int.from_bytes(folded(a, width)) ^ int.from_bytes(folded(b, width))).bit_count()
 
 
 def set_of(text: bytes | None, size: int, codes: W.WordCodes) -> np.ndarray:
@@ -129,27 +146,37 @@ def set_of(text: bytes | None, size: int, codes: W.WordCodes) -> np.ndarray:
 
 
 def signatures(documents: DataFrame, rule: Similarity) -> DataFrame:
-    """``doc_id, n, class, keys`` of every row; the class is a digest of the set."""
+    """``doc_id, n, class, keys, bits, short`` of every row; the class is a digest of the set,
+    ``short`` the bitmap in its least width."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = W.WordCodes()
         starts = band_starts(1 << 20)
         for batch in batches:
-            sizes, classes, keys = [], [], []
+            sizes, classes, keys, bits = [], [], [], []
             for text in W.as_bytes(batch.column(1)):
                 own = set_of(text, rule.size, codes)
                 starts = reaching(starts, len(own))
                 sizes.append(len(own))
                 classes.append(np.int64(np.uint64(xxh3_64_intdigest(own.tobytes()))) if len(own) else None)
                 keys.append(keys_of(own, starts, rule).view(np.int64))
+                bits.append(bitmap(own) if len(own) else None)
+            short = [x and folded(x, BITS // 8) for x in bits]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), W.list_array(keys, pa.int64())],
-                names=["doc_id", "n", "class", "keys"],
+                [
+                    batch.column(0),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(classes, pa.int64()),
+                    W.list_array(keys, pa.int64()),
+                    pa.array(bits, pa.binary()),
+                    pa.array(short, pa.binary()),
+                ],
+                names=["doc_id", "n", "class", "keys", "bits", "short"],
             )
 
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(made, f"doc_id {kind}, n bigint, class bigint, keys array<bigint>")
+    return rows.mapInArrow(made, f"doc_id {kind}, n bigint, class bigint, keys array<bigint>, bits binary, short binary")
 
 
 def led(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,88 +262,89 @@ def differing_bits(a: str, b: str) -> Column:
 
     @F.arrow_udf("bigint")
     def counted(a: pa.Array, b: pa.Array) -> pa.Array:
-        left, right = (np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(len(x), BITS // 64) for x in (a, b))
-        return pa.array(np.bitwise_count(left ^ right).sum(axis=1).astype(np.int64))
+        return pa.array(map(differing, a.to_pylist(), b.to_pylist()), pa.int64())
 
     return counted(a, b)
 
 
-def linked(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
-    """The pairs ``a, b`` that link, by bounds and then by the exact arrays."""
-    of = lambda side, *more: sets.select(F.col("class").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in more))
-    met = pairs.join(of("b", "n", "bits"), "b").join(of("a", "n", "bits"), "a")
+def _side(table: DataFrame, side: str, *columns: str) -> DataFrame:
+    return table.select(F.col("class").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
+
+
+def near_pairs(pairs: DataFrame, about: DataFrame, rule: Similarity) -> DataFrame:
+    """The pairs ``a, b`` that sizes and bitmaps allow to link."""
+    met = pairs.join(_side(about, "b", "n", "bits"), "b").join(_side(about, "a", "n", "bits"), "a")
     near = met.where(100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b"))
-    near = near.withColumn("differ", differing_bits("bits_a", "bits_b")).where(_bounded(rule, "n_a", "n_b", "differ"))
-    near = keep(near.select("a", "b"), "near")
-    full = near.join(of("b", "codes"), "b").join(of("a", "codes"), "a")
+    return near.withColumn("differ", differing_bits("bits_a", "bits_b")).where(_bounded(rule, "n_a", "n_b", "differ")).select("a", "b")
+
+
+def linked(near: DataFrame, documents: DataFrame, members: DataFrame, rule: Similarity) -> DataFrame:
+    """The pairs ``a, b`` that link by the exact arrays of their shingles."""
+    ends = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sets = keep(member_sets(documents, members.join(ends, "class", "left_semi"), rule), "sets")
+    full = near.join(_side(sets, "b", "codes"), "b").join(_side(sets, "a", "codes"), "a")
     shared = F.size(F.array_intersect("codes_a", "codes_b"))
     union = F.size("codes_a") + F.size("codes_b") - shared
-    return full.where(100 * shared >= rule.percent * union).select("a", "b")
+    links = keep(full.where(100 * shared >= rule.percent * union).select("a", "b"), "links")
+    drop(sets)
+    return links
+
+
+def once_each(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """One row a class: a class comes once unless its member's row is repeated."""
+    return rows if members.where(F.col("repeated")).isEmpty() else rows.dropDuplicates(["class"])
 
 
 def member_sets(documents: DataFrame, members: DataFrame, rule: Similarity) -> DataFrame:
-    """``class, n, codes, bits, keys`` for the classes listed with the id of one member."""
+    """``class, codes`` for the classes listed with the id of one member."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, starts = W.WordCodes(), band_starts(1 << 20)
+        codes = W.WordCodes()
         for batch in batches:
-            owners, sets, bits, keys = [], [], [], []
+            owners, sets = [], []
             for own, text in zip(batch.column(0).to_pylist(), W.as_bytes(batch.column(1)), strict=True):
                 found = set_of(text, rule.size, codes)
                 # rows that repeat an id with another text are not this member
                 if np.int64(np.uint64(xxh3_64_intdigest(found.tobytes()))) == own:
-                    starts = reaching(starts, len(found))
                     owners.append(own)
                     sets.append(found.view(np.int64))
-                    bits.append(bitmap(found))
-                    keys.append(keys_of(found, starts, rule).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(owners, pa.int64()),
-                    pa.array([len(x) for x in sets], pa.int64()),
-                    W.list_array(sets, pa.int64()),
-                    pa.array(bits, pa.binary()),
-                    W.list_array(keys, pa.int64()),
-                ],
-                names=["class", "n", "codes", "bits", "keys"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), W.list_array(sets, pa.int64())], names=["class", "codes"])
 
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     named = members.select("class", F.col("member").alias("doc_id"))
     # the ids grow with the documents, so they are never broadcast
     met = texts.join(named.hint("merge"), texts["doc_id"].eqNullSafe(named["doc_id"])).select("class", "text")
-    sets = met.mapInArrow(made, "class bigint, n bigint, codes array<bigint>, bits binary, keys array<bigint>")
-    # a class comes once unless its member's row is repeated
-    if members.where(F.col("repeated")).isEmpty():
-        return sets
-    return sets.dropDuplicates(["class"])
+    return once_each(met.mapInArrow(made, "class bigint, codes array<bigint>"), members)
 
 
-def cross_pairs(sets: DataFrame, roots: DataFrame, rule: Similarity, ranges: int) -> DataFrame:
+def member_rows(signed: DataFrame, members: DataFrame) -> DataFrame:
+    """``class, n, keys, bits, short`` for the listed classes."""
+    named = members.select(F.col("class").alias("owner"), "member")
+    met = signed.join(named, (F.col("class") == F.col("owner")) & F.col("doc_id").eqNullSafe(F.col("member")))
+    return once_each(met.select("class", "n", "keys", "bits", "short"), members)
+
+
+def cross_pairs(about: DataFrame, roots: DataFrame, rule: Similarity, ranges: int) -> DataFrame:
     """Pairs that share a key and are in different components so far, within the bounds."""
-    rows = sets.select("class", "keys").join(roots, F.col("class") == F.col("node"))
+    rows = about.select("class", "keys").join(roots, F.col("class") == F.col("node"))
     rows = rows.select("class", "root", F.explode("keys").alias("key"))
     mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"))
     open_keys = keep(mixed.where(F.col("low") != F.col("high")).select("key", F.ceil(F.col("rows") / TILE_ROWS).alias("blocks")), "open")
     if open_keys.isEmpty():
-        return sets.sparkSession.createDataFrame([], "a bigint, b bigint")
+        return about.sparkSession.createDataFrame([], "a bigint, b bigint")
     # a key's rows are cut into blocks; each pair of blocks is a tile of bounded size
     block = F.pmod(F.xxhash64("class"), F.col("blocks"))
     cut = rows.join(open_keys, "key").withColumn("block", block)
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     tile = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
     tiles = dealt.select(
-        "class", "root", "key", tile.alias("tile"), F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).alias("side")
+        "class", "root", tile.alias("tile"), F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).alias("side")
     )
-    short = F.transform("keys", lambda k: F.pmod(k, F.lit(1 << 31)).cast("int"))
-    about = sets.select("class", "n", "bits", short.alias("keys"))
-    tiles = tiles.withColumn("range", F.pmod(F.col("tile"), F.lit(16 * ranges))).join(about, "class")
+    tiles = tiles.withColumn("range", F.pmod(F.col("tile"), F.lit(16 * ranges))).join(about.select("class", "n", "short"), "class")
 
     def compared(table: pa.Table) -> pa.Table:
-        tile, side, key, root, own, n = (table[c].to_numpy() for c in ("tile", "side", "key", "root", "class", "n"))
-        key = key % (1 << 31)
-        keys = table["keys"].combine_chunks()
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(tile), -1)
+        tile, side, root, own, n = (table[c].to_numpy() for c in ("tile", "side", "root", "class", "n"))
+        bits = np.frombuffer(b"".join(table["short"].to_pylist()), np.uint64).reshape(len(tile), -1)
         order = np.argsort(tile, kind="stable")
         cuts = np.flatnonzero(np.diff(tile[order], prepend=tile[order][0] - 1 if len(tile) else 0))
         found = []
@@ -331,10 +359,6 @@ def cross_pairs(sets: DataFrame, roots: DataFrame, rule: Similarity, ranges: int
                     continue
                 differ = np.bitwise_count(bits[rest] ^ bits[one]).sum(axis=1).astype(np.int64)
                 rest = rest[differ * (100 + rule.percent) <= (n[rest] + n[one]) * (100 - rule.percent)]
-                # a pair that shares several keys is listed for two of them, by 31 bits of the
-                # key; linked sets share at least three, so one chance collision loses none
-                first = [key[one] in np.intersect1d(keys[i].values, keys[one].values)[:2] for i in rest.tolist()]
-                rest = rest[np.array(first, bool)]
                 if len(rest):
                     found.append(np.stack([np.minimum(own[rest], own[one]), np.maximum(own[rest], own[one])], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
@@ -351,8 +375,8 @@ def similar_groups(documents: DataFrame, rule: Similarity = Similarity()) -> Dat
     """
     ranges = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     signed = keep(signatures(documents, rule), "signatures")
+    rows = keep(signed.select("doc_id", "n", "class"), "rows")
     stars = keep(star_pairs(signed, ranges), "stars")
-    rows = signed.select("doc_id", "n", "class")
     ends = keep(stars.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "ends")
     ids = rows.where(F.col("class").isNotNull()).groupBy("class", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
     classes = ids.groupBy("class").agg(
@@ -360,14 +384,17 @@ def similar_groups(documents: DataFrame, rule: Similarity = Similarity()) -> Dat
     )
     classes = keep(classes, "classes")
     members = keep(classes.join(ends, "class", "left_semi"), "members")
-    sets = keep(member_sets(documents, members, rule), "sets")
-    links = keep(linked(stars, sets, rule), "links")
+    about = keep(member_rows(signed, members), "about")
+    drop(signed)
+    links = linked(keep(near_pairs(stars, about, rule), "near"), documents, members, rule)
     roots = keep(components(links), "roots")
     alone = ends.join(roots, F.col("class") == F.col("node"), "left_anti")
     every = keep(roots.unionByName(alone.select(F.col("class").alias("node"), F.col("class").alias("root"))), "nodes")
-    more = keep(linked(keep(cross_pairs(sets, every, rule, ranges), "crossing"), sets, rule), "links")
-    roots = keep(components(links.unionByName(more)), "roots")
-    drop(sets)
+    near = keep(near_pairs(cross_pairs(about, every, rule, ranges), about, rule), "near")
+    drop(about)
+    if not near.isEmpty():
+        links = links.unionByName(linked(near, documents, members, rule))
+        roots = keep(components(links), "roots")
     # the least id of each component, found on classes; only classes of several rows or
     # with links have an id to look up
     rooted = classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))

@@ -25,6 +25,9 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return the written table."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/{name}"
+    # what earlier steps have shuffled and nothing refers to any more is deleted once the
+    # driver collects garbage, which a driver with much memory does too rarely
+    spark._jvm.System.gc()
     df.write.parquet(path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     table = spark.read.schema(df.schema).parquet(path)

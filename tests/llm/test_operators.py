@@ -97,6 +97,18 @@ def test_tile_keys_meet_for_every_linked_pair():
                 assert len(np.intersect1d(ngram_join.keys_of(a, starts, rule), ngram_join.keys_of(b, starts, rule)))
 
 
+def test_differing_bits_never_exceed_the_shingles_that_differ():
+    rng = np.random.default_rng(2)
+    for size in (1, 5, 900, 1100, 5000):
+        a = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        b = np.r_[a[: size - size // 10], rng.integers(0, 1 << 63, size // 5).astype(np.uint64)]
+        apart = len(np.setxor1d(a, b))
+        at_a, at_b = ngram_join.bitmap(a), ngram_join.bitmap(b)
+        assert ngram_join.differing(at_a, at_b) <= apart
+        assert ngram_join.differing(at_a, ngram_join.bitmap(rng.permutation(a))) == 0
+        assert len(ngram_join.folded(at_a, ngram_join.BITS // 8)) == ngram_join.BITS // 8
+
+
 def test_components_of_a_chain_and_a_star(llm_spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)]
     found = dict(rows_of(components.components(llm_spark.createDataFrame(links, "a bigint, b bigint")), "node", "root"))
