@@ -70,36 +70,45 @@ def layers_from_rows(spark: SparkSession, rows: list[tuple[str, str, int, int, s
     return spark.createDataFrame(data, LAYERS)
 
 
+#: Order of the sources of the root layer.
+_ROOT, _ANCESTOR, _EXCLUDE, _GLOBAL = range(4)
+
+
+def _place(source: Column, rule_seq: Column) -> Column:
+    return F.struct(source.alias("source"), rule_seq.cast("bigint").alias("rule")).alias("seq")
+
+
 def layers_from_files(entries: DataFrame, extra_root_rules: DataFrame | None = None) -> DataFrame:
     """Layers of the ignore files that the entries themselves contain.
 
     The root layer is the root ``.gitignore``, then ``extra_root_rules``
-    ``(corpus_id, rule_seq, pattern)`` for the ancestors, then
-    ``.git/info/exclude``, then extra rules with ``rule_seq`` of 1000 and more for
-    the global file. The last match wins, so a later source overrules an earlier
-    one. Every other ``.gitignore`` outside ``.git`` is a layer of its own.
+    ``(corpus_id, rule_seq, pattern)`` of the ancestors, then
+    ``.git/info/exclude``, then the extra rules whose optional column ``source`` is
+    ``global``; any other source is an ancestor. The last match wins, so a later
+    source overrules an earlier one. Every other ``.gitignore`` outside ``.git`` is a layer of its own.
     """
     path = F.col("path")
     in_git_dir = path.rlike(r"(\A|/)\.git/")
     exclude_file = path == ".git/info/exclude"
     text = F.col("content").cast("string")
     sources = entries.where(
-        ~F.col("is_dir") & (((name_of(path) == ".gitignore") & ~in_git_dir) | exclude_file)
+        ~F.coalesce("is_dir", F.lit(False)) & (((name_of(path) == ".gitignore") & ~in_git_dir) | exclude_file)
     ).select(
         "corpus_id",
         F.when(exclude_file, F.lit("")).otherwise(parent_of(path)).alias("scope"),
         F.lit(0).alias("layer_seq"),
-        F.when(exclude_file, F.lit(1000)).otherwise(F.lit(-1)).alias("seq"),
+        _place(F.when(exclude_file, F.lit(_EXCLUDE)).otherwise(F.lit(_ROOT)), F.lit(0)),
         lines_of(text).alias("lines"),
     )
     if extra_root_rules is not None:
-        after = F.when(F.col("rule_seq") >= 1000, F.col("rule_seq") + 1)
+        outermost = F.col("source") == "global" if "source" in extra_root_rules.columns else F.lit(False)
+        source = F.when(outermost, F.lit(_GLOBAL)).otherwise(F.lit(_ANCESTOR))
         sources = sources.unionByName(
             extra_root_rules.select(
                 "corpus_id",
                 F.lit("").alias("scope"),
                 F.lit(0).alias("layer_seq"),
-                F.coalesce(after, F.col("rule_seq")).alias("seq"),
+                _place(source, F.col("rule_seq")),
                 F.array("pattern").alias("lines"),
             )
         )

@@ -38,16 +38,26 @@ def _acceptable() -> Column:
     return F.is_valid_utf8(F.col("path")) & (F.col("path") != "")
 
 
+def _flag(entries: DataFrame, name: str) -> Column:
+    """A flag that is false where it is NULL or the column is absent."""
+    return F.coalesce(F.col(name), F.lit(False)) if name in entries.columns else F.lit(False)
+
+
 def walkable(entries: DataFrame) -> DataFrame:
     """Entries a walk visits: no symlinks, no undecodable paths."""
-    kept = entries.where(_acceptable())
-    return kept.where(~F.col("is_symlink")) if "is_symlink" in entries.columns else kept
+    kept = entries.where(_acceptable() & ~_flag(entries, "is_symlink"))
+    return kept.withColumn("is_dir", _flag(kept, "is_dir")) if "is_dir" in entries.columns else kept
 
 
 def rejected_entries(entries: DataFrame) -> DataFrame:
     """Entries a walk skips, with the reason."""
-    symlink = F.col("is_symlink") if "is_symlink" in entries.columns else F.lit(False)
-    reason = F.when(~F.is_valid_utf8(F.col("path")), "path_not_utf8").when(symlink, "symlink")
+    path = F.col("path")
+    reason = (
+        F.when(path.isNull(), "path_missing")
+        .when(path == "", "path_empty")
+        .when(~F.is_valid_utf8(path), "path_not_utf8")
+        .when(_flag(entries, "is_symlink"), "symlink")
+    )
     return entries.withColumn("reject_reason", reason).where(F.col("reject_reason").isNotNull())
 
 
@@ -77,7 +87,7 @@ def directories(entries: DataFrame) -> DataFrame:
 
 def all_entries(entries: DataFrame) -> DataFrame:
     """Files and directories ``(corpus_id, path, is_dir)``, each once."""
-    files = entries.where(~F.col("is_dir")).select("corpus_id", "path", "is_dir")
+    files = entries.withColumn("is_dir", _flag(entries, "is_dir")).where("not is_dir").select("corpus_id", "path", "is_dir")
     return files.unionByName(directories(entries).withColumn("is_dir", F.lit(True)))
 
 

@@ -53,22 +53,13 @@ def materialize(frame: DataFrame, label: str) -> DataFrame:
     seen = Observation(f"{label}-{uuid.uuid4().hex}")
     frame.observe(seen, *_size_metrics(frame)).write.parquet(target)
     written = spark.read.schema(frame.schema).parquet(target)
-    written._measured = (seen.get.get("rows") or 0, seen.get.get("size") or 0)
+    metrics = seen.get
+    if metrics.get("rows") is None or metrics.get("size") is None:
+        metrics = written.agg(*_size_metrics(written)).first().asDict()
+    written._measured = (metrics["rows"], metrics["size"])
     return written
 
 
-def spread_small_scan(frame: DataFrame, *keys: str) -> DataFrame:
-    """Use every core when the scan has fewer splits than there are cores.
-
-    Such input is small by definition (fewer splits than cores), so the exchange
-    is too; a large table has more splits than cores and is left alone.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    if frame.isStreaming or frame.rdd.getNumPartitions() >= cores:
-        return frame
-    return frame.repartition(cores, *keys)
-
-
 def part_of(frame: DataFrame, table: DataFrame) -> DataFrame:
     """A cheap cut of a materialized table; where the whole fits, so does the cut."""
     if _fits_broadcast(table):

@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.operators.scratch import spread_small_scan
-
 DIRECTORIES = (
     "src", "src/core", "src/util", "tests", "docs", "target/debug", "node_modules/pkg",
     "vendor/lib", "third_party/dep", ".cache", "config", "build",
@@ -52,9 +50,7 @@ def indented(text: Column) -> Column:
 def files_from_documents(spark: SparkSession, sf_dir: str, indent: bool = False) -> DataFrame:
     """One corpus per language, one file per document."""
     text = indented(F.col("text")) if indent else F.col("text")
-    return spread_small_scan(
-        spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id"
-    ).select(
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         F.col("lang").alias("corpus_id"),
         document_path().alias("path"),
         F.lit(False).alias("is_dir"),
@@ -83,20 +79,28 @@ def with_repository_marks(files: DataFrame) -> DataFrame:
 
 
 def files_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One corpus per host; the lowest page of equal paths wins.
+    """One corpus per host, one file per page.
 
-    The winner is found on narrow columns and the content joins it by page.
+    A path that is empty or ends with ``/`` is the page ``index`` in that directory. Of
+    equal paths the lowest page keeps the name; the others carry ``~`` and their id before
+    the extension. These are found on narrow columns and meet the content by page.
     """
-    pages = spread_small_scan(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id")
-    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
-    path = F.regexp_extract("url", "^https?://[^/?#]+/([^?#]*)", 1)
-    located = pages.select(
+    url = F.coalesce("url", F.lit(""))
+    path = F.regexp_extract(url, "^https?://[^/?#]+/([^?#]*)", 1)
+    stem = F.regexp_replace(path, r"/+\z", "")
+    named = F.when(stem == "", "index").when(stem != path, F.concat(stem, F.lit("/index"))).otherwise(stem)
+    located = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
         "page_id",
-        host.alias("corpus_id"),
-        F.regexp_replace(path, r"/+\z", "").alias("path"),
+        F.regexp_extract(url, "^https?://([^/?#]+)", 1).alias("corpus_id"),
+        named.alias("path"),
         F.lit(False).alias("is_dir"),
         F.octet_length("html").cast("bigint").alias("size_bytes"),
         F.col("html").alias("content"),
-    ).where(F.col("path") != "")
-    first = located.groupBy("corpus_id", "path").agg(F.min("page_id").alias("page_id"))
-    return located.join(first.select("page_id"), "page_id", "left_semi").drop("page_id")
+    )
+    place = ["corpus_id", "path"]
+    first = located.groupBy(*place).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("pages")).where("pages > 1")
+    later = located.select("page_id", *place).join(first, place).where("page_id > first").select("page_id", F.lit(True).alias("later"))
+    ext = F.regexp_extract("path", r"[^/](\.[^./]*)\z", 1)
+    apart = F.concat(F.left("path", F.length("path") - F.length(ext)), F.lit("~"), F.col("page_id").cast("string"), ext)
+    joined = located.join(later.distinct(), "page_id", "left")
+    return joined.withColumn("path", F.when(F.col("later"), apart).otherwise(F.col("path"))).drop("page_id", "later")

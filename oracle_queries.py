@@ -56,14 +56,20 @@ def docs(text: str = "text") -> str:
     )
 
 
-PAGES = """f AS (
-  SELECT corpus_id, path, size_bytes FROM (
-    SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS corpus_id,
-      rtrim(regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1), '/') AS path,
-      octet_length(encode(html)) AS size_bytes
-    FROM pages)
-  WHERE path <> ''
-  QUALIFY row_number() OVER (PARTITION BY corpus_id, path ORDER BY page_id) = 1)"""
+PAGES = r"""f AS (
+  SELECT corpus_id, CASE WHEN turn = 1 THEN path
+      ELSE left(path, length(path) - length(ext)) || '~' || CAST(page_id AS VARCHAR) || ext END AS path, size_bytes
+  FROM (
+    SELECT *, regexp_extract(path, '[^/](\.[^./]*)$', 1) AS ext,
+      row_number() OVER (PARTITION BY corpus_id, path ORDER BY page_id) AS turn
+    FROM (
+      SELECT page_id, corpus_id, size_bytes,
+        CASE WHEN rtrim(p, '/') = '' THEN 'index' WHEN rtrim(p, '/') <> p THEN rtrim(p, '/') || '/index' ELSE p END AS path
+      FROM (
+        SELECT page_id, regexp_extract(coalesce(url, ''), '^https?://([^/?#]+)', 1) AS corpus_id,
+          regexp_extract(coalesce(url, ''), '^https?://[^/?#]+/([^?#]*)', 1) AS p,
+          octet_length(encode(html)) AS size_bytes
+        FROM pages))))"""
 
 NAME = "split_part(path, '/', -1)"
 
@@ -306,7 +312,7 @@ def tree(branch: str, last: str, on: str, off: str, src: str = "e") -> str:
       row_number() OVER (PARTITION BY corpus_id, {PARENT} ORDER BY (NOT is_dir) DESC, {NAME} DESC) = 1 AS is_last
       FROM {src}),
     chain AS (SELECT c.corpus_id, c.path, string_agg(CASE WHEN p.is_last THEN '{off}' ELSE '{on}' END, '' ORDER BY c.i) AS prefix
-      FROM (SELECT corpus_id, path, i, array_to_string(string_split(path, '/')[1:i], '/') AS a
+      FROM (SELECT DISTINCT corpus_id, path, i, array_to_string(string_split(path, '/')[1:i], '/') AS a
             FROM {src}, UNNEST(range(1, len(string_split(path, '/')))) u(i)) c
       JOIN flag p ON p.corpus_id = c.corpus_id AND p.path = c.a AND p.is_dir
       GROUP BY 1, 2),

@@ -16,7 +16,7 @@ from arborlake.functions.globs import (
     static_prefix,
 )
 from arborlake.operators import ignore
-from arborlake.operators.inventory import rejected_entries, walkable
+from arborlake.operators.inventory import all_entries, rejected_entries, walkable
 from arborlake.operators.selection import (
     SAFETY_PATTERNS,
     SelectionRules,
@@ -260,10 +260,25 @@ def test_info_exclude_and_global_rules_win_last(tree, spark):
     entries = tree(
         {".git/info/exclude": ".worktrees/\nscratch/\n", ".worktrees/a": "", "scratch/b": "", ".gitignore": "!g.txt\n*.up\n", "g.txt": "", "c": "", "d.up": ""}
     )
-    extra = spark.createDataFrame([("c", 0, "!d.up"), ("c", 1000, "g.txt")], "corpus_id string, rule_seq int, pattern string")
+    extra = spark.createDataFrame([("c", 0, "!d.up", "ancestor"), ("c", 0, "g.txt", "global")], "corpus_id string, rule_seq int, pattern string, source string")
     assert kept(with_ignore(entries, "auto", extra=extra)) == {".gitignore", "c", "d.up"}
 
 
+def test_ancestor_rules_of_any_number_precede_the_exclude_file(tree, spark):
+    entries = tree({".git/info/exclude": "!keep.txt\n", "keep.txt": "", "a": ""})
+    for number in (5, 1500):
+        extra = spark.createDataFrame([("c", number, "keep.txt")], "corpus_id string, rule_seq int, pattern string")
+        assert "keep.txt" in kept(with_ignore(entries, extra=extra))
+
+
+def test_rows_with_unknown_flags_are_plain_files(spark):
+    rows = [("c", "a", None, None), ("c", "l", False, True), ("c", "", False, False), ("c", None, False, False)]
+    entries = spark.createDataFrame(rows, "corpus_id string, path string, is_dir boolean, is_symlink boolean")
+    assert [(r.path, r.is_dir) for r in all_entries(walkable(entries)).collect()] == [("a", False)]
+    found = {(r.path, r.reject_reason) for r in rejected_entries(entries).collect()}
+    assert found == {("l", "symlink"), ("", "path_empty"), (None, "path_missing")}
+
+
 def test_ignore_modes(tree, spark):
     bare = tree({".gitignore": "*.o\n", "a.o": "", "b": ""})
     repo = tree({".gitignore": "*.o\n", "a.o": "", "b": "", ".git/HEAD": ""})
