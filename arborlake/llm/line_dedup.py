@@ -4,19 +4,24 @@ A line is the set of its lower-case words. A line is removed if an earlier line,
 then by place, is similar: ``100 * |A & B| >= percent * |A | B|``. Lines are judged on the
 input, not on what is left.
 
-Lines with equal sets form a class, which joins once, by its earliest line; copies combine
-before the shuffle. The words of a class are ordered by rarity. Similar sets of sizes
-``m <= n`` share a word within their first ``n - ceil(n * percent / 100) + 1`` words, so
-only these prefixes are joined, under the length filter (``100 * m >= percent * n``) and
-the positional filter (what may still follow a shared word bounds the overlap). Pairs that
-pass are decided on their whole sets.
+Lines with equal sets form a class, which joins once; copies combine before the shuffle. The
+words of a class are ordered by rarity. Similar sets of sizes ``m <= n`` share a word within
+the first ``n - ceil(n * p) + 1`` words of the larger and the first ``m - ceil(m * 2p / (1 +
+p)) + 1`` words of the smaller one (``p`` is the least similarity), so only these prefixes
+are joined, under the length filter (``100 * m >= percent * n``), the positional filter
+(what may still follow a shared word bounds the overlap) and a parity bitmap of 64 bits
+(every bit that differs stands for a word that only one set has). Pairs that pass are
+decided on their whole sets. The join meets on 31 bits of a word, which adds pairs to be
+decided and loses none.
 
 Rarity only has to be one order for all lines. It is taken from a table of fixed size: the
-words of all classes are counted by a hash of ``SKETCH_BITS`` bits, and the logarithm of
+words of all lines are counted by a hash of ``SKETCH_BITS`` bits, and the logarithm of
 the count, one byte per entry, orders the words, ties by their hash. The table does not
 grow with the data. Words are 63-bit codes of the hash, so sets are compared exactly but
 for a chance of about 2 ** -56 per pair of words.
 
+Lines are split, and their class found, once; later steps read the written table.
+
 Defined results: NULL and empty texts have no lines; lines without words are never removed
 and match nothing; rows that repeat an id are told apart by nothing but their lines, so
 their equal lines are at the same place and stay; rows without an id come last, and their
@@ -25,13 +30,16 @@ lines are removed if similar to one of a row with an id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.store import keep
+from arborlake.llm.store import drop, keep
 
 PERCENT = 80
-SKETCH_BITS = 16
+SKETCH_BITS = 18
+_SPACE = " \t\n\v\f\r"
 _SPACES = r"[\x20\x09-\x0D]+"
 _RANK_BITS = 7
 #: Where ids are NULL: after all others.
@@ -39,27 +47,31 @@ _LAST = (1 << 63) - 1
 
 
 def line_words(line: Column) -> Column:
-    """Codes of the distinct lower-case words."""
-    words = F.filter(F.split(F.lower(line), _SPACES), lambda w: w != "")
+    """Codes of the distinct lower-case words of a line that has one."""
+    words = F.split(F.btrim(F.lower(line), F.lit(_SPACE)), _SPACES)
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
-    """``at`` (id and place), ``line`` and ``class`` of every line with words."""
+    """``doc_id, place, line, class`` of every line with words."""
     text = F.col("text").cast("string")
     exploded = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    at = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.col("place"))
     worded = exploded.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    return worded.select("doc_id", "place", at.alias("at"), "line", F.xxhash64(F.array_sort(line_words(F.col("line")))).alias("class"))
+    return worded.withColumn("class", F.xxhash64(F.array_sort(line_words(F.col("line")))))
+
 
+def placed() -> Column:
+    """Id and place of a line; orders lines."""
+    return F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.col("place"))
 
-def rarity(classes: DataFrame) -> Column:
+
+def rarity(lines: DataFrame) -> Callable[[Column], Column]:
     """A function of word codes to their rank, as one byte: 0 is rarest."""
     size = 1 << SKETCH_BITS
-    entry = F.explode(F.transform(line_words(F.col("line")), lambda w: F.pmod(w, F.lit(size)))).alias("entry")
-    counted = classes.select(entry).groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
-    ranks = bytearray(b"\x01" * size)
+    word = lines.select(F.explode(line_words(F.col("line"))).alias("word"))
+    counted = word.groupBy(F.pmod("word", F.lit(size)).alias("entry")).agg(F.count(F.lit(1)).alias("n"))
     top = (1 << _RANK_BITS) - 1
+    ranks = bytearray(b"\x01" * size)
     # at most ``size`` rows
     for row in counted.select("entry", F.least(F.lit(top), F.greatest(F.lit(1), F.floor(F.log2("n") * 4))).cast("int").alias("rank")).toLocalIterator():
         ranks[row["entry"]] = row["rank"]
@@ -67,59 +79,97 @@ def rarity(classes: DataFrame) -> Column:
     return lambda w: F.ascii(F.substring(table, F.pmod(w, F.lit(size)).cast("int") + 1, 1).cast("string"))
 
 
-def ordered_words(line: Column, rank) -> Column:
+def ordered_words(line: Column, rank: Callable[[Column], Column]) -> Column:
     """Word codes that sort by rarity."""
     low = (1 << (63 - _RANK_BITS)) - 1
     code = lambda w: F.shiftleft(rank(w).cast("bigint"), 63 - _RANK_BITS).bitwiseOR(w.bitwiseAND(F.lit(low)))
     return F.array_sort(F.transform(line_words(line), code))
 
 
+def parity(words: Column) -> Column:
+    """Parity bitmap: a bit is the number of words that fall on it, modulo two."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(w, 20).bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda held, w: held.bitwiseXOR(bit(w)))
+
+
 def prefix_length(n: Column, percent: int) -> Column:
+    """Leading words of a set among which one is shared with any similar set of at most its size."""
     return n - F.floor((n * percent + 99) / 100).cast("int") + 1
 
 
-def similar_classes(classes: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` of similar classes."""
-    rank = rarity(classes)
-    sets = classes.select("class", ordered_words(F.col("line"), rank).alias("words"))
-    sized = sets.withColumn("n", F.size("words"))
-    first = F.slice("words", F.lit(1), prefix_length(F.col("n"), percent))
-    prefixes = sized.select("class", "n", F.posexplode(first).alias("place", "word"))
-    a, b = (prefixes.select("word", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "place"))) for s in "ab")
+def short_prefix_length(n: Column, percent: int) -> Column:
+    """The same for similar sets of at least its size."""
+    return n - F.ceil(n * (2 * percent) / (100 + percent) - 1e-9).cast("int") + 1
+
+
+def classes_of(lines: DataFrame, rank: Callable[[Column], Column], percent: int) -> DataFrame:
+    """``class, at, rows, n, bits, prefix``: earliest place, lines, and words of each class."""
+    worded = lines.select("class", placed().alias("at"), ordered_words(F.col("line"), rank).alias("words"))
+    cut = worded.select(
+        "class",
+        "at",
+        F.size("words").alias("n"),
+        parity(F.col("words")).alias("bits"),
+        F.slice("words", F.lit(1), prefix_length(F.size("words"), percent)).alias("prefix"),
+    )
+    same = (F.first(c).alias(c) for c in ("n", "bits", "prefix"))
+    return cut.groupBy("class").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("rows"), *same)
+
+
+def near_classes(classes: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of classes that the filters let pass, ``a`` the smaller."""
+
+    def side(of: str, prefix: Column) -> DataFrame:
+        rows = classes.select("class", "n", "bits", F.posexplode(prefix).alias("place", "word"))
+        low = F.col("word").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+        return rows.select(low.alias("word"), *(F.col(c).alias(f"{c}_{of}") for c in ("class", "n", "bits", "place")))
+
+    short = F.slice("prefix", F.lit(1), short_prefix_length(F.col("n"), percent))
     after = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    needed = (F.col("n_a") + F.col("n_b")) * percent
-    met = a.join(b, "word").where(
-        (F.col("class_a") < F.col("class_b"))
-        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        & (after * (100 + percent) >= needed)
+    both = F.col("n_a") + F.col("n_b")
+    met = side("a", short).join(side("b", F.col("prefix")), "word").where(
+        ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("class_a") < F.col("class_b"))))
+        & (100 * F.col("n_a") >= percent * F.col("n_b"))
+        & (after * (100 + percent) >= both * percent)
+        & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) * (100 + percent) <= both * (100 - percent))
     )
-    pairs = keep(met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct(), "line_pairs")
+    return met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+
+
+def similar_classes(lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of similar classes."""
+    pairs = keep(near_classes(classes, percent), "line_pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    few = keep(sets.join(ends, "class", "left_semi"), "line_sets")
+    firsts = classes.join(ends, "class", "left_semi").select(F.col("class").alias("owner"), "at")
+    chosen = lines.join(firsts, (F.col("class") == F.col("owner")) & (placed() == F.col("at"))).select("class", "line")
+    few = keep(chosen.dropDuplicates(["class"]).select("class", line_words(F.col("line")).alias("words")), "line_sets")
     of = lambda s: few.select(F.col("class").alias(s), F.col("words").alias(f"words_{s}"))
     full = pairs.join(of("b"), "b").join(of("a"), "a")
     shared = F.size(F.array_intersect("words_a", "words_b"))
-    return full.where(100 * shared >= percent * (F.size("words_a") + F.size("words_b") - shared)).select("a", "b")
+    links = keep(full.where(100 * shared >= percent * (F.size("words_a") + F.size("words_b") - shared)).select("a", "b"), "line_links")
+    drop(few)
+    return links
 
 
 def earliest_matches(lines: DataFrame, percent: int) -> DataFrame:
     """``class, least``: the earliest line that is similar to a class or in it."""
-    classes = lines.groupBy("class").agg(F.min(F.struct("at", "line")).alias("first"), F.count(F.lit(1)).alias("rows"))
-    classes = keep(classes.select("class", "first.at", "first.line", "rows"), "line_classes")
-    links = keep(similar_classes(classes, percent), "line_links")
+    classes = keep(classes_of(lines, rarity(lines), percent), "line_classes")
+    links = similar_classes(lines, classes, percent)
     both = links.unionByName(links.select(F.col("a").alias("b"), F.col("b").alias("a")))
     places = classes.select(F.col("class").alias("b"), "at")
     others = both.join(places, "b").groupBy(F.col("a").alias("class")).agg(F.min("at").alias("other"))
-    least = classes.join(others, "class", "left").where((F.col("rows") > 1) | F.col("other").isNotNull())
-    return keep(least.select("class", F.least("at", F.coalesce("other", "at")).alias("least")), "line_least")
+    least = classes.select("class", "at", "rows").join(others, "class", "left").where((F.col("rows") > 1) | F.col("other").isNotNull())
+    least = keep(least.select("class", F.least("at", F.coalesce("other", "at")).alias("least")), "line_least")
+    drop(classes)
+    return least
 
 
 def removed_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_lines, n_removed, removed`` (places) of every document with lines of words."""
-    lines = lines_of(documents)
+    lines = keep(lines_of(documents), "lines")
     least = earliest_matches(lines, percent)
-    judged = lines.select("doc_id", "place", "at", "class").join(least, "class", "left")
-    gone = F.coalesce(F.col("at") > F.col("least"), F.lit(False))
+    judged = lines.select("doc_id", "place", "class").join(least, "class", "left")
+    gone = F.coalesce(placed() > F.col("least"), F.lit(False))
     return judged.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count(F.when(gone, 1)).alias("n_removed"),
