@@ -46,10 +46,14 @@ _RANK_BITS = 7
 _LAST = (1 << 63) - 1
 
 
+def split_words(line: Column) -> Column:
+    """Lower-case words of a line that has one."""
+    return F.split(F.btrim(F.lower(line), F.lit(_SPACE)), _SPACES)
+
+
 def line_words(line: Column) -> Column:
     """Codes of the distinct lower-case words of a line that has one."""
-    words = F.split(F.btrim(F.lower(line), F.lit(_SPACE)), _SPACES)
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w)))
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
@@ -68,13 +72,16 @@ def placed() -> Column:
 def rarity(lines: DataFrame) -> Callable[[Column], Column]:
     """A function of word codes to their rank, as one byte: 0 is rarest."""
     size = 1 << SKETCH_BITS
-    word = lines.select(F.explode(line_words(F.col("line"))).alias("word"))
-    counted = word.groupBy(F.pmod("word", F.lit(size)).alias("entry")).agg(F.count(F.lit(1)).alias("n"))
     top = (1 << _RANK_BITS) - 1
+    word = lines.select(F.explode(split_words(F.col("line"))).alias("word"))
+    counted = word.groupBy(F.pmod(F.xxhash64("word"), F.lit(size)).alias("entry")).agg(F.count(F.lit(1)).alias("n"))
+    rank = F.least(F.lit(top), F.greatest(F.lit(1), F.floor(F.log2("n") * 4)))
+    coded = counted.select("entry", (F.col("entry") * (top + 1) + rank).cast("int").alias("coded"))
     ranks = bytearray(b"\x01" * size)
-    # at most ``size`` rows
-    for row in counted.select("entry", F.least(F.lit(top), F.greatest(F.lit(1), F.floor(F.log2("n") * 4))).cast("int").alias("rank")).toLocalIterator():
-        ranks[row["entry"]] = row["rank"]
+    # at most ``size`` numbers, in rows of at most 1024
+    for row in coded.groupBy(F.shiftright("entry", 10).alias("block")).agg(F.collect_list("coded").alias("coded")).toLocalIterator():
+        for entry, held in (divmod(c, top + 1) for c in row["coded"]):
+            ranks[entry] = held
     table = F.lit(bytes(ranks))
     return lambda w: F.ascii(F.substring(table, F.pmod(w, F.lit(size)).cast("int") + 1, 1).cast("string"))
 
