@@ -14,6 +14,12 @@ are joined, under the length filter (``100 * m >= percent * n``), the positional
 decided on their whole sets. The join meets on 31 bits of a word, which adds pairs to be
 decided and loses none.
 
+Groups of near copies. Each class is first compared with the earliest class that has its least
+or its greatest code, which most near copies share. A class that is similar to an earlier one
+is decided; the prefixes then bring together only pairs with a class that is still open, so
+a large group of near copies does not form its pairs, and no line that has an earlier match
+is missed.
+
 Rarity only has to be one order for all lines. It is taken from a table of fixed size: the
 words of all lines are counted by a hash of ``SKETCH_BITS`` bits, and the logarithm of
 the count, one byte per entry, orders the words, ties by their hash. The table does not
@@ -57,11 +63,14 @@ def line_words(line: Column) -> Column:
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
-    """``doc_id, place, line, class`` of every line with words."""
+    """``doc_id, place, line, class`` of every line with words; ``low`` and ``high``, its least
+    and greatest code, are equal in most pairs of near copies."""
     text = F.col("text").cast("string")
     exploded = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
     worded = exploded.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    return worded.withColumn("class", F.xxhash64(F.array_sort(line_words(F.col("line")))))
+    sets = worded.withColumn("words", F.array_sort(line_words(F.col("line"))))
+    ends = (F.xxhash64("words").alias("class"), F.array_min("words").alias("low"), F.array_max("words").alias("high"))
+    return sets.select("doc_id", "place", "line", *ends)
 
 
 def placed() -> Column:
@@ -110,42 +119,64 @@ def short_prefix_length(n: Column, percent: int) -> Column:
 
 
 def classes_of(lines: DataFrame, rank: Callable[[Column], Column], percent: int) -> DataFrame:
-    """``class, at, rows, n, bits, prefix``: earliest place, lines, and words of each class."""
-    worded = lines.select("class", placed().alias("at"), ordered_words(F.col("line"), rank).alias("words"))
+    """``class, at, rows, n, bits, low, high, prefix``: earliest place, lines, and words of each class."""
+    worded = lines.select("class", "low", "high", placed().alias("at"), ordered_words(F.col("line"), rank).alias("words"))
     cut = worded.select(
         "class",
         "at",
+        "low",
+        "high",
         F.size("words").alias("n"),
         parity(F.col("words")).alias("bits"),
         F.slice("words", F.lit(1), prefix_length(F.size("words"), percent)).alias("prefix"),
     )
-    same = (F.first(c).alias(c) for c in ("n", "bits", "prefix"))
+    same = (F.first(c).alias(c) for c in ("n", "bits", "low", "high", "prefix"))
     return cut.groupBy("class").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("rows"), *same)
 
 
+def _bounded(percent: int) -> Column:
+    """Whether sizes and bitmaps allow the sets of ``a`` and ``b`` to be similar."""
+    both = F.col("n_a") + F.col("n_b")
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (
+        F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) * (100 + percent) <= both * (100 - percent)
+    )
+
+
+def led_classes(classes: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs that the filters let pass of a class ``a`` with the earliest class ``b``
+    that has its least or its greatest code; as many as classes at most, and twice."""
+    coded = classes.select("class", "at", "n", "bits", F.explode(F.array("low", "high")).alias("code"))
+    first = coded.groupBy("code").agg(F.min(F.struct("at", "class", "n", "bits")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    first = first.where(F.col("rows") > 1).select("code", *(F.col(f"first.{c}").alias(f"{c}_b") for c in ("class", "n", "bits")))
+    member = coded.select("code", *(F.col(c).alias(f"{c}_a") for c in ("class", "n", "bits")))
+    met = member.join(first, "code").where((F.col("class_a") != F.col("class_b")) & _bounded(percent))
+    return met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+
+
 def near_classes(classes: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: pairs of classes that the filters let pass, ``a`` the smaller."""
+    """``a, b``: pairs of classes that the filters let pass, ``a`` the smaller, and of which
+    one at least is ``open``."""
 
     def side(of: str, prefix: Column) -> DataFrame:
-        rows = classes.select("class", "n", "bits", F.posexplode(prefix).alias("place", "word"))
+        rows = classes.select("class", "n", "bits", "open", F.posexplode(prefix).alias("place", "word"))
         low = F.col("word").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
-        return rows.select(low.alias("word"), *(F.col(c).alias(f"{c}_{of}") for c in ("class", "n", "bits", "place")))
+        return rows.select(low.alias("word"), *(F.col(c).alias(f"{c}_{of}") for c in ("class", "n", "bits", "open", "place")))
 
     short = F.slice("prefix", F.lit(1), short_prefix_length(F.col("n"), percent))
     after = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     both = F.col("n_a") + F.col("n_b")
     met = side("a", short).join(side("b", F.col("prefix")), "word").where(
         ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("class_a") < F.col("class_b"))))
-        & (100 * F.col("n_a") >= percent * F.col("n_b"))
+        & (F.col("open_a") | F.col("open_b"))
         & (after * (100 + percent) >= both * percent)
-        & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) * (100 + percent) <= both * (100 - percent))
+        & _bounded(percent)
     )
     return met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
-def similar_classes(lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` of similar classes."""
-    pairs = keep(near_classes(classes, percent), "line_pairs")
+def similar_classes(lines: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose whole sets are similar."""
+    pairs = keep(pairs, "line_pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     firsts = classes.join(ends, "class", "left_semi").select(F.col("class").alias("owner"), "at")
     chosen = lines.join(firsts, (F.col("class") == F.col("owner")) & (placed() == F.col("at"))).select("class", "line")
@@ -159,12 +190,19 @@ def similar_classes(lines: DataFrame, classes: DataFrame, percent: int) -> DataF
 
 
 def earliest_matches(lines: DataFrame, percent: int) -> DataFrame:
-    """``class, least``: the earliest line that is similar to a class or in it."""
+    """``class, least``: a line that is similar to a class or in it, earlier than the class if
+    any such line is; classes without another line are left out."""
     classes = keep(classes_of(lines, rarity(lines), percent), "line_classes")
-    links = similar_classes(lines, classes, percent)
+    # classes that are similar to an earlier one are decided, whatever else they resemble
+    led = similar_classes(lines, classes, led_classes(classes, percent), percent)
+    place = lambda side: classes.select(F.col("class").alias(side), F.col("at").alias(f"at_{side}"))
+    led = led.join(place("a"), "a").join(place("b"), "b").where(F.col("at_b") < F.col("at_a"))
+    led = keep(led.groupBy(F.col("a").alias("class")).agg(F.min("at_b").alias("other")), "line_led")
+    marked = classes.join(led, "class", "left").withColumn("open", F.col("other").isNull())
+    links = similar_classes(lines, classes, near_classes(marked, percent), percent)
     both = links.unionByName(links.select(F.col("a").alias("b"), F.col("b").alias("a")))
-    places = classes.select(F.col("class").alias("b"), "at")
-    others = both.join(places, "b").groupBy(F.col("a").alias("class")).agg(F.min("at").alias("other"))
+    met = both.join(place("b"), "b").select(F.col("a").alias("class"), F.col("at_b").alias("other")).unionByName(led)
+    others = met.groupBy("class").agg(F.min("other").alias("other"))
     least = classes.select("class", "at", "rows").join(others, "class", "left").where((F.col("rows") > 1) | F.col("other").isNotNull())
     least = keep(least.select("class", F.least("at", F.coalesce("other", "at")).alias("least")), "line_least")
     drop(classes)
