@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -274,6 +275,27 @@ def test_lines_equal_brute_force(llm_spark, odd, none):
     assert line_dedup.removed_lines(none).count() == 0
 
 
+def test_groups_of_near_lines_equal_brute_force(llm_spark):
+    draw = random.Random(5)
+    word = lambda: f"w{draw.randrange(60)}"
+    bases = [[word() for _ in range(draw.randrange(1, 30))] for _ in range(12)]
+    rows = []
+    for i in range(40):
+        lines = []
+        for _ in range(5):
+            line = list(draw.choice(bases))
+            for _ in range(draw.randrange(4)):
+                line[draw.randrange(len(line))] = word()
+            lines.append(draw.choice([" ", "  ", "\t"]).join(line))
+        rows.append((i, "\n".join(lines)))
+    found = line_dedup.removed_lines(llm_spark.createDataFrame(rows, "doc_id bigint, text string"))
+    lines = [(i, k, frozenset(line.split())) for i, t in rows for k, line in enumerate(t.split("\n"))]
+    expected = defaultdict(list)
+    for n, (i, k, own) in enumerate(lines):
+        expected[i] += [k] if any(100 * len(own & o) >= 80 * len(own | o) for _, _, o in lines[:n]) else []
+    assert {r.doc_id: r.removed for r in found.collect()} == expected
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><div id="sidebar"><p>Side words here</p></div>
 <article><h1>Tit&eacute;l</h1><p>One &amp; two <b>three</b>   four<p>Five<div class="ad">Buy now</div><ul><li>item a</li><li>item b</li></ul></article>
