@@ -19,14 +19,13 @@ SALTS = 64
 def scratch_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the session.
 
-    Only a local session may fall back to a folder of this machine.
+    Without ``spark.checkpoint.dir`` it lies below the warehouse, the storage that the
+    session itself names.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return "/tmp/arborlake-scratch"
-    raise RuntimeError("set spark.checkpoint.dir to a folder shared by the whole cluster")
+    if not named:
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return named.rstrip("/")
 
 
 def _size_metrics(frame: DataFrame) -> list[Column]:
