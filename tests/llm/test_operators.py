@@ -201,6 +201,28 @@ def test_outliers_of_a_contaminated_group(llm_spark):
     assert sum(kept[k] for k in kept if k < 1000) >= 398
 
 
+def prose(rng, words, length=(3, 9)):
+    """Lines of ten random words."""
+    drawn = ["".join(rng.choice(list("abcdefghij"), rng.integers(*length))) for _ in range(words)]
+    return "\n".join(" ".join(drawn[k : k + 10]) for k in range(0, words, 10))
+
+
+def judged_quality(llm_spark, rows):
+    found = quality.judged(llm_spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"))
+    return {r.doc_id: r.kept for r in found.collect()}
+
+
+def test_junk_copies_that_make_two_fifths_of_a_group(llm_spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, prose(rng, rng.integers(80, 400)), "en", "s") for k in range(240)]
+    for k in range(160):
+        own = prose(rng, 100 + k).split("\n")
+        rows.append((1000 + k, "\n".join([x.replace(" ", "# ") for x in own] + [own[0]] * 20), "en", "s"))
+    kept = judged_quality(llm_spark, rows)
+    assert not any(kept[k] for k in kept if k >= 1000)
+    assert sum(kept[k] for k in kept if k < 1000) >= 235
+
+
 def test_mix_meets_its_targets(llm_spark):
     rows = queries.op3_mixing(llm_spark, SMALL)
     source = llm_spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "source")
