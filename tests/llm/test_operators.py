@@ -223,6 +223,22 @@ def test_junk_copies_that_make_two_fifths_of_a_group(llm_spark):
     assert sum(kept[k] for k in kept if k < 1000) >= 235
 
 
+def test_outliers_of_counts_that_are_mostly_constant(llm_spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, prose(rng, rng.integers(80, 400)), "en", "s") for k in range(400)]
+    lines = prose(rng, 200).split("\n")
+    repeated = " ".join(lines[:6]).split()
+    junk = [
+        "\n".join(lines[:5] + [prose(rng, 10)] * 16),
+        prose(rng, 200, (10, 15)),
+        " ".join(lines) + " # # # # # #",
+        " ".join(repeated[:30] + lines[10].split() + repeated[:30] + prose(rng, 130).split()),
+    ]
+    kept = judged_quality(llm_spark, rows + [(1000 + k, t, "en", "s") for k, t in enumerate(junk)])
+    assert [kept[1000 + k] for k in range(len(junk))] == [False] * len(junk)
+    assert sum(kept[k] for k in kept if k < 1000) >= 392
+
+
 def test_mix_meets_its_targets(llm_spark):
     rows = queries.op3_mixing(llm_spark, SMALL)
     source = llm_spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "source")
