@@ -239,6 +239,19 @@ def test_outliers_of_counts_that_are_mostly_constant(llm_spark):
     assert sum(kept[k] for k in kept if k < 1000) >= 392
 
 
+def test_small_groups_are_judged_by_their_own_estimate(llm_spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, prose(rng, rng.integers(80, 400)), "en", "s") for k in range(400)]
+    rows += [(1000 + k, prose(rng, rng.integers(80, 400), (17, 24)), "ja", "s") for k in range(30)]
+    rows += [(2000 + k, prose(rng, rng.integers(80, 400)), "ja", "s") for k in range(2)]
+    rows += [(3000, prose(rng, 200, (17, 24)), "km", "s")]
+    kept = judged_quality(llm_spark, rows)
+    assert sum(kept[k] for k in kept if 1000 <= k < 2000) >= 29
+    assert not kept[2000] and not kept[2001]
+    assert kept[3000]
+    assert sum(kept[k] for k in kept if k < 1000) >= 392
+
+
 def test_mix_meets_its_targets(llm_spark):
     rows = queries.op3_mixing(llm_spark, SMALL)
     source = llm_spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "source")
