@@ -7,9 +7,12 @@ distance to the end of a pattern, an unknown block the whole window but one word
 of a text jumps by these shifts; where the shift is 0, the bucket of the block that ends
 there gives the patterns to compare word by word.
 
-The benchmark is read in blocks of items, each checked to hold at most ``BLOCK_BYTES`` of
-text before it is broadcast; every block is searched in every text. The work on a document
-needs nothing but its own row, so there is no shuffle of texts and no hot group.
+A benchmark of at most ``BROADCAST_BYTES`` of text, measured before any of it is read, goes
+to every task by broadcast: the work on a document needs nothing but its own row, so there is
+no shuffle of texts and no hot group. A larger one never passes through the driver: the
+windows of items and of documents become rows with a digest of 128 bits, streamed in batches
+of bounded size, and meet in a join by digest. Documents are known there by the digest of
+their text, so copies of a text are searched once; results join back by that digest.
 
 Defined results: a NULL or empty text has no words, no hits and is not contaminated; NULL
 or empty items have no windows; items without an id count as hits but are not named;
@@ -18,21 +21,23 @@ repeated rows are judged one by one; other columns are not looked at.
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlake.llm import words as W
-from arborlake.llm.store import fresh_name
+from arborlake.llm.store import fresh_name, keep
 
 WINDOW = 13
-#: Text of the items that one broadcast block may hold.
-BLOCK_BYTES = 16 << 20
+#: Most text of a benchmark that is broadcast. A task's tables take about 1 KB for each word.
+BROADCAST_BYTES = 1 << 20
+#: Windows in one batch of rows.
+BATCH_ROWS = 1 << 14
 #: A document is contaminated if its hit words are at least one of so many.
 SHARE = 20
 
@@ -116,17 +121,17 @@ def search_words(words: list[bytes], sets: list[PatternSet]) -> tuple[list[tuple
     return spans, items
 
 
-def search_column(text: Column, blocks: list) -> Column:
-    """Struct of word count, hit words and occurring items; ``blocks`` are broadcasts."""
+def search_column(text: Column, items) -> Column:
+    """Struct of word count, hit words and occurring items; ``items`` is a broadcast."""
 
     @F.arrow_udf(RESULT)
     def searched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        sets = [s for b in blocks for s in pattern_sets(b.value)]
+        sets = pattern_sets(items.value)
         for batch in batches:
             counts, hits, names = [], [], []
             for value in W.as_bytes(batch):
                 words = folded_words(value)
-                spans, items = search_words(words, sets)
+                spans, found = search_words(words, sets)
                 counts.append(len(words))
                 hit = 0
                 if spans:
@@ -135,7 +140,7 @@ def search_column(text: Column, blocks: list) -> Column:
                         marks[start:end] = True
                     hit = int(marks.sum())
                 hits.append(hit)
-                names.append(sorted(items))
+                names.append(sorted(found))
             yield pa.StructArray.from_arrays(
                 [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(names, pa.list_(pa.string()))],
                 names=["n_words", "n_hit", "items"],
@@ -144,25 +149,88 @@ def search_column(text: Column, blocks: list) -> Column:
     return searched(text)
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list:
-    """The items as broadcasts, in blocks of a checked size."""
-    spark = benchmark.sparkSession
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    rows = rows.where(F.col("text").isNotNull())
-    total = rows.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"] or 0
-    count = max(1, math.ceil(2 * total / block_bytes))
-    numbered = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(count)))
-    blocks = []
-    for k in range(count):
-        part = [(r["item"], r["text"]) for r in numbered.where(F.col("block") == k).select("item", "text").toLocalIterator()]
-        blocks.append(spark.sparkContext.broadcast(part))
-    return blocks
+    return rows.where(F.col("text").isNotNull())
+
+
+def fits_broadcast(items: DataFrame) -> bool:
+    held = F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)) + 64
+    return (items.agg(F.sum(held).alias("n")).first()["n"] or 0) <= BROADCAST_BYTES
+
+
+def window_rows(rows: DataFrame, key: str, sizes: tuple[int, ...] | None = None) -> DataFrame:
+    """``key, n_words, start, size, code``: the windows of ``sizes`` words of each text, or of an
+    item's own size, as rows; a text without windows has none."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), W.as_bytes(batch.column(1)), strict=True):
+                words = folded_words(text)
+                for size in (min(WINDOW, len(words)),) if sizes is None else sizes:
+                    for low in range(0, len(words) - size + 1 if size else 0, BATCH_ROWS):
+                        starts = range(low, min(low + BATCH_ROWS, len(words) - size + 1))
+                        codes = [hashlib.md5(b" ".join(words[k : k + size])).digest() for k in starts]
+                        n = len(codes)
+                        columns = [pa.array([name] * n, pa.string()), pa.array([len(words)] * n, pa.int64())]
+                        columns += [pa.array(starts, pa.int64()), pa.array([size] * n, pa.int64()), pa.array(codes, pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, names=[key, "n_words", "start", "size", "code"])
+
+    schema = f"`{key}` string, n_words bigint, start bigint, size bigint, code binary"
+    return rows.select(F.col(key).cast("string"), "text").mapInArrow(cut, schema)
+
+
+def text_digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
+def joined_hits(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """``digest, n_hit, items`` of every text with hits, by a join of windows."""
+    named = keep(window_rows(items, "item").select("item", "size", "code").distinct(), "item_windows")
+    sizes = tuple(sorted(r["size"] for r in named.select("size").distinct().collect()))  # at most WINDOW
+    texts = documents.select(text_digest(F.col("text")).alias("digest"), F.col("text").cast("string").alias("text"))
+    texts = texts.where(F.col("text").isNotNull()).groupBy("digest").agg(F.first("text").alias("text"))
+    wanted = named.select("size", "code").distinct()
+    hits = keep(window_rows(texts, "digest", sizes).join(wanted, ["size", "code"], "left_semi"), "hits")
+    # the words of a text that hits cover: each run begins past the greatest end so far
+    ordered = Window.partitionBy("digest").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("start") + F.col("size")
+    fresh = F.greatest(F.lit(0), end - F.greatest("start", F.coalesce(F.max(end).over(ordered), F.lit(0))))
+    counted = hits.withColumn("fresh", fresh).groupBy("digest").agg(F.sum("fresh").alias("n_hit"))
+    pairs = hits.select("digest", "size", "code").distinct().join(named.where(F.col("item").isNotNull()), ["size", "code"])
+    held = pairs.select("digest", "item").distinct().groupBy("digest").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return keep(counted.join(held, "digest", "left"), "text_hits")
+
+
+def word_count(text: Column) -> Column:
+    @F.arrow_udf("bigint")
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([len(folded_words(t)) for t in W.as_bytes(batch)], pa.int64())
+
+    return counted(text)
+
+
+def with_hits(documents: DataFrame, benchmark: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """``columns`` of every row, and the struct ``name`` of ``n_words, n_hit, items``."""
+    items = benchmark_items(benchmark)
+    if fits_broadcast(items):
+        rows = [(r["item"], r["text"]) for r in items.collect()]  # within BROADCAST_BYTES
+        found = search_column(F.col("text").cast("string"), documents.sparkSession.sparkContext.broadcast(rows))
+        return documents.select(*columns, found.alias(name))
+    hits = joined_hits(documents, items).select(F.col("digest").alias(f"{name}_digest"), F.struct("n_hit", "items").alias(f"{name}_hits"))
+    keyed = documents.select(*columns, text_digest(F.col("text")).alias(f"{name}_digest"), word_count(F.col("text").cast("string")).alias(f"{name}_n"))
+    found = F.struct(
+        F.col(f"{name}_n").alias("n_words"),
+        F.coalesce(F.col(f"{name}_hits.n_hit"), F.lit(0)).cast("bigint").alias("n_hit"),
+        F.coalesce(F.col(f"{name}_hits.items"), F.array().cast("array<string>")).alias("items"),
+    )
+    return keyed.join(hits, f"{name}_digest", "left").select(*columns, found.alias(name))
 
 
 def hit_report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_hit, items`` of every row."""
-    found = search_column(F.col("text").cast("string"), benchmark_blocks(benchmark))
-    return documents.select("doc_id", found.alias("found")).select("doc_id", "found.*")
+    return with_hits(documents, benchmark, "found", ["doc_id"]).select("doc_id", "found.*")
 
 
 def contaminated(n_hit: Column, n_words: Column, share: int = SHARE) -> Column:
@@ -172,8 +240,7 @@ def contaminated(n_hit: Column, n_words: Column, share: int = SHARE) -> Column:
 def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that are not contaminated, with all their columns."""
     name = fresh_name(documents, stem="found")
-    found = search_column(F.col("text").cast("string"), benchmark_blocks(benchmark))
-    tested = documents.withColumn(name, found)
+    tested = with_hits(documents, benchmark, name, [f"`{c}`" for c in documents.columns])
     return tested.where(~contaminated(F.col(f"{name}.n_hit"), F.col(f"{name}.n_words"))).drop(name)
 
 

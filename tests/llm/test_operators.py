@@ -133,6 +133,20 @@ def test_contamination_of_short_and_odd_items(llm_spark, odd, odd_rows, none):
     assert decontaminate.hit_report(odd, benchmark.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_contamination_beyond_the_broadcast_bound(llm_spark, small, odd, odd_rows, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(decontaminate, "BATCH_ROWS", 7)
+    monkeypatch.setattr(decontaminate, "search_column", None)
+    items = [(r.item_id, r.text) for r in llm_spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    found = rows_of(queries.op6_decontaminate(llm_spark, SMALL), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert found == sorted(brute.contamination(small, items))
+    items = [(1, "w1 w2 w3"), (2, "SOLO"), (3, None), (4, ""), (None, "one two"), (5, " ".join(f"w{k}" for k in range(10, 24)))]
+    benchmark = llm_spark.createDataFrame(items, "item_id bigint, text string")
+    expected = Counter((i, w, h) for i, w, h, *_ in brute.contamination([(r[0], r[1]) for r in odd_rows], items))
+    assert Counter((r.doc_id, r.n_words, r.n_hit) for r in decontaminate.hit_report(odd, benchmark).collect()) == expected
+    assert decontaminate.without_contaminated(odd, benchmark).columns == odd.columns
+
+
 def test_removed_passages_equal_brute_force(llm_spark, small):
     found = rows_of(queries.op7_substring_dedup(llm_spark, SMALL), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert found == sorted(brute.removed(small))
