@@ -3,7 +3,9 @@
 A page is a sequence of words and tags. Words score positive and tags negative; the weight
 of a word depends on the element that it stands in, the weight of a tag on its name. A
 linear scan finds the contiguous region with the greatest sum, and the words of the region
-that stand in an element of the page's frame are left out.
+that stand in an element of the page's frame are left out. A frame element inside an element
+that is content by weight or name counts nothing, words and tags, so it does not break the
+region around it.
 
 Weights come from labelled pages: pages that mark their article themselves (``article``,
 ``main`` or ``role=main``) label each of their words as content or frame. On a bounded
@@ -50,6 +52,8 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody "
     "td tfoot th thead tr ul".split()
 )
+#: Elements that may stand in a head; any other begins the body.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 #: Elements that decide whether their words are content.
 CONTAINERS = frozenset("article aside body details dialog div figure footer form header main menu nav search section span table td ul ol dl".split())
 #: Names of elements, classes, ids and roles of a page's frame.
@@ -89,7 +93,7 @@ def named(names: list[str], among: frozenset[str]) -> bool:
 
 
 class Element:
-    __slots__ = ("name", "names", "hidden", "weight", "article", "container")
+    __slots__ = ("name", "names", "hidden", "weight", "article", "container", "content", "inset")
 
     def __init__(self, name: str, names: list[str], parent: Element | None, weights: dict[str, float]):
         self.name, self.names = name, names
@@ -98,17 +102,23 @@ class Element:
         marks = named(names, frozenset(("article", "main"))) and name in CONTAINERS
         self.article = marks or (parent is not None and parent.article)
         self.weight = parent.weight if parent else 1.0
+        # whether an element around says that it is content, and whether a frame element lies between
+        self.content = parent is not None and parent.content
+        self.inset = parent is not None and parent.inset
         if self.container:
             own = [weights[n] for n in names if n in weights]
             if name == "header" and parent is not None and parent.article:
                 return  # the heading of an article
             if named(names, FRAME_NAMES):
                 own.append(-1.0)
-            elif named(names, CONTENT_NAMES) and not own:
-                own.append(1.0)
+            elif named(names, CONTENT_NAMES) and not any(n in weights for n in names[1:]):
+                own = [1.0]  # a name for content says more than the weight of all elements of its kind
             if own:
                 low, high = min(own), max(own)
                 self.weight = low if low < 0 else high
+                self.inset |= self.content and self.weight <= 0
+                # body holds the frame as well, so it says nothing about what stands in it
+                self.content |= self.weight > 0 and name != "body"
 
 
 def tokens(page: str, weights: dict[str, float]) -> Iterator[tuple[str, str, Element]]:
@@ -118,6 +128,8 @@ def tokens(page: str, weights: dict[str, float]) -> Iterator[tuple[str, str, Ele
     while at < end:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else end]
+        if text and stack[-1].name == "head" and not text.isspace():
+            stack.pop()  # text begins the body
         if text:
             yield "text", html.unescape(text), stack[-1]
         if not m:
@@ -131,7 +143,11 @@ def tokens(page: str, weights: dict[str, float]) -> Iterator[tuple[str, str, Ele
                 if stack[k].name == name:
                     del stack[k:]
                     break
-        elif name not in VOID and not m["more"].endswith("/"):
+            yield "tag", name, stack[-1]
+            continue
+        if name not in IN_HEAD and stack[-1].name == "head":
+            stack.pop()  # the end of head may be left out
+        if name not in VOID and not m["more"].endswith("/"):
             if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack[-1].name == name:
                 stack.pop()
             stack.append(Element(name, names_of(name, m["more"]), stack[-1], weights))
@@ -184,14 +200,14 @@ def main_text(page: str, weights: dict[str, float]) -> str:
         if kind == "tag":
             score = 0.0 if element.hidden else weights.get("</" + value, -0.5)
             # inside an article tags cost next to nothing
-            score = max(score, -0.05) if element.article else score
+            score = max(score, -0.05) if element.article else 0.0 if element.inset else score
             text, keep = ("\n" if value in BLOCKS else " " if value == "br" else ""), True
         else:
             if element.hidden:
                 continue
             keep = element.weight > 0
             score = len(value.split()) * element.weight
-            if element.article:
+            if element.article or element.inset:
                 score = max(score, 0.0)
             text = " ".join(value.split())
             if text:

@@ -375,6 +375,17 @@ def test_page_text():
     assert html_text.main_text(PAGE, learned) == "Titél\nOne & two three four\nFive\nitem a\nitem b"
 
 
+def test_advert_inside_a_post_and_open_head():
+    words = lambda stem, n: " ".join(f"{stem}{k}" for k in range(n))
+    for inner in ("newsletter", "ad"):
+        post = f"<p>{words('a', 20)}</p><div class={inner}><p>{words('n', 60)}</p></div><p>{words('b', 30)}</p>"
+        page = f"<html><head><title>T</title></head><body><nav>Home</nav><div class=post>{post}</div><footer>me</footer></body>"
+        for weights in ({}, {"div": -4.0, f"div.{inner}": -4.0, "p": 4.0, "</p": -0.1, "</div": -1.1}):
+            assert html_text.main_text(page, weights) == words("a", 20) + "\n" + words("b", 30)
+    for body in ("<body><p>One two</p>", "<p>One two</p>", "One two"):
+        assert html_text.main_text(f"<html><head><title>T</title><meta charset=utf-8><script>x</script>{body}", {}) == "One two"
+
+
 def test_pages_of_the_small_table(llm_spark):
     found = queries.op9_html_text(llm_spark, SMALL).collect()
     assert len(found) == llm_spark.read.parquet(f"{SMALL}/pages.parquet").count()
