@@ -49,7 +49,7 @@ from xxhash import xxh3_64_intdigest
 
 from arborlake.llm import words as W
 from arborlake.llm.components import components
-from arborlake.llm.store import drop, keep
+from arborlake.llm.store import drop, fresh_name, keep
 
 BAND_GROWTH = 1.4
 SPARE = 2
@@ -158,7 +158,7 @@ def signatures(documents: DataFrame, rule: Similarity) -> DataFrame:
                 own = set_of(text, rule.size, codes)
                 starts = reaching(starts, len(own))
                 sizes.append(len(own))
-                classes.append(np.int64(np.uint64(xxh3_64_intdigest(own.tobytes()))) if len(own) else None)
+                classes.append(class_of(own))
                 keys.append(keys_of(own, starts, rule).view(np.int64))
                 bits.append(bitmap(own) if len(own) else None)
             short = [x and folded(x, BITS // 8) for x in bits]
@@ -179,6 +179,22 @@ def signatures(documents: DataFrame, rule: Similarity) -> DataFrame:
     return rows.mapInArrow(made, f"doc_id {kind}, n bigint, class bigint, keys array<bigint>, bits binary, short binary")
 
 
+def class_of(codes: np.ndarray) -> np.int64 | None:
+    return np.int64(np.uint64(xxh3_64_intdigest(codes.tobytes()))) if len(codes) else None
+
+
+def class_column(text: Column, rule: Similarity) -> Column:
+    """The class of each text."""
+
+    @F.arrow_udf("bigint")
+    def classed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codes = W.WordCodes()
+        for batch in batches:
+            yield pa.array([class_of(set_of(t, rule.size, codes)) for t in W.as_bytes(batch)], pa.int64())
+
+    return classed(text)
+
+
 def led(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row its class, the least class of its key, and whether it is the first."""
     order = np.lexsort((classes, keys))
@@ -373,6 +389,11 @@ def similar_groups(documents: DataFrame, rule: Similarity = Similarity()) -> Dat
     ``class`` is equal for equal sets; ``component_id`` is the least id that is reachable
     by links, the row's own included.
     """
+    return rooted_groups(documents, rule).drop("root")
+
+
+def rooted_groups(documents: DataFrame, rule: Similarity) -> DataFrame:
+    """:func:`similar_groups` with ``root``, which tells groups with the same least id apart."""
     ranges = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     signed = keep(signatures(documents, rule), "signatures")
     rows = keep(signed.select("doc_id", "n", "class"), "rows")
@@ -400,24 +421,38 @@ def similar_groups(documents: DataFrame, rule: Similarity = Similarity()) -> Dat
     rooted = classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
     several = rooted.where((F.col("rows") > 1) | F.col("node").isNotNull()).select("class", "root", "member")
     least = several.groupBy("root").agg(F.min("member").alias("least"))
-    named = keep(several.join(least, "root").select("class", "least"), "least")
+    named = keep(several.join(least, "root").select("class", "least", "root"), "least")
     return rows.join(named, "class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("least", "doc_id").alias("component_id")
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        "class",
+        F.coalesce("least", "doc_id").alias("component_id"),
+        F.coalesce("root", "class").alias("root"),
     )
 
 
 def one_of_each_group(documents: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
     """The row whose id is the least of its group, with all its columns.
 
-    Repeats of that id in the same class go too; rows without an id cannot be told apart
-    and stay.
+    An id may occur with several texts: each is decided by its own group, and of the texts of
+    one id in one group one stays. Texts without shingles are known by the text; rows without
+    an id cannot be told apart and stay.
     """
-    groups = keep(similar_groups(documents, rule), "groups")
+    groups = keep(rooted_groups(documents, rule), "groups")
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    counted = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    again = keep(counted.where(F.col("rows") > 1).select("doc_id"), "again")
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    rest = documents.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns))
-    again = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
-    again = keep(again.select("doc_id"), "again")
     if again.isEmpty():
-        return rest
-    once = rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(again, "doc_id", "left_anti").unionByName(once)
+        return documents.join(gone, "doc_id", "left_anti").select(*columns)
+    # an id that repeats is decided by the classes of its texts
+    gone = gone.unionByName(again).distinct()
+    rest = documents.join(gone, "doc_id", "left_anti").select(*columns)
+    own = groups.join(again, "doc_id", "left_semi").where((F.col("doc_id") == F.col("component_id")) & F.col("class").isNotNull())
+    chosen = own.groupBy("doc_id", "root").agg(F.min("class").alias("class"))
+    key, other = fresh_name(documents, stem="class"), fresh_name(documents, stem="text_key")
+    text = F.col("text").cast("string")
+    keyed = documents.join(again, "doc_id", "left_semi").select(*columns, class_column(text, rule).alias(key))
+    known = keyed.join(chosen.select("doc_id", F.col("class").alias(key)), ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+    bare = keyed.where(F.col(key).isNull()).withColumn(other, F.sha2(F.coalesce(text, F.lit("")), 256)).dropDuplicates(["doc_id", other])
+    return rest.unionByName(known.select(*columns)).unionByName(bare.select(*columns))

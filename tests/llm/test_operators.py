@@ -85,6 +85,20 @@ def test_groups_of_odd_rows(odd, none):
     assert Counter(r.doc_id for r in kept.collect() if r.doc_id is not None).most_common(1)[0][1] == 1
 
 
+def test_one_id_with_two_texts(llm_spark):
+    words = lambda stem, n=60: " ".join(f"{stem}{k}" for k in range(n))
+    rows = [
+        (1, words("a")), (5, words("a")), (5, words("b")),  # a copy of a smaller id, and a text of its own
+        (7, words("c")), (7, words("d")), (7, words("d")),  # two unrelated texts, one of them twice
+        (8, words("e")), (8, words("e") + " tail"), (9, words("e")),  # two texts of one group
+        (10, None), (10, ""), (10, words("f")),
+    ]
+    kept = ngram_join.one_of_each_group(llm_spark.createDataFrame(rows, "doc_id bigint, text string"))
+    found = Counter((r.doc_id, r.text and r.text[0]) for r in kept.collect() if r.text)
+    assert found == Counter([(1, "a"), (5, "b"), (7, "c"), (7, "d"), (8, "e"), (10, "f")])
+    assert sum(not r.text for r in kept.collect()) == 1
+
+
 def test_tile_keys_meet_for_every_linked_pair():
     rule, rng = ngram_join.Similarity(3, 90), np.random.default_rng(1)
     starts = ngram_join.band_starts(4000)
