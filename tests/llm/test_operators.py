@@ -203,6 +203,13 @@ def test_secrets_in_odd_texts(llm_spark):
     assert found[6] == [("code_host", 0, 40)]
 
 
+def test_long_logins_in_urls(llm_spark):
+    texts = [f"see https://{'u' * n}:{'p' * m}@host/x" for n, m in ((5, 300), (300, 5), (64, 64), (5, 2))]
+    df = llm_spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.secret_report(df).collect()}
+    assert [found[k] for k in range(4)] == [[("url_login", 4, t.index("@") + 1)] for t in texts[:3]] + [[]]
+
+
 def test_trigram_queries_are_necessary():
     assert secret_scan.trigram_query(secret_scan.BASE_RULES[2].pattern) is None
     assert secret_scan.trigrams_of(secret_scan.trigram_query(r"AKIA[A-Z0-9]+")) == {"aki", "kia"}
