@@ -69,8 +69,64 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+_TAKEN = "len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _clustering(clusters: int = 16, dims: int = 64, rounds: int = 3, seed: int = 1) -> str:
+    """Rounds written out: assignment, then sums of each component."""
+    near = f"""
+  SELECT p.*, c.k, list_sum(list_transform(range(1, {dims} + 1), lambda d: (p.v[d] - c.v[d]) * (p.v[d] - c.v[d]))) AS dist
+  FROM p JOIN c{{0}} c ON true QUALIFY row_number() OVER (PARTITION BY p.place ORDER BY dist, c.k) = 1"""
+    steps = [
+        f"""p AS MATERIALIZED (
+  SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE {_TAKEN.format(dims=dims)}
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v FROM (
+    SELECT sha256('{seed}:' || vec_id) AS h, v FROM p WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {clusters})
+)"""
+    ]
+    for k in range(rounds):
+        steps.append(f"""a{k} AS MATERIALIZED ({near.format(k)}
+), m{k} AS (
+  SELECT k, d, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x
+  FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM a{k}) GROUP BY k, d
+), c{k + 1} AS MATERIALIZED (
+  SELECT c.k, coalesce(n.v, c.v) AS v FROM c{k} c LEFT JOIN (SELECT k, list(x ORDER BY d) AS v FROM m{k} GROUP BY k) n ON n.k = c.k
+)""")
+    return f"""
+WITH {", ".join(steps)}, a AS MATERIALIZED ({near.format(rounds)}
+)
+SELECT a.vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(dist AS BIGINT) AS distance,
+  CAST(sum(dist) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(dist) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a JOIN c{rounds} c ON c.k = a.k
+"""
+
+
+_NEGATIVES = f"""
+WITH p AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_TAKEN.format(dims=64)}
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    CAST(list_sum(list_transform(range(1, 65), lambda d: a.v[d] * b.v[d])) AS BIGINT) AS score
+  FROM p a JOIN p b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), near AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM near JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
 STATEMENTS: dict[str, str] = {
     "op4_ngram_join": _NGRAMS,
     "op6_decontaminate": _CONTAMINATION,
     "op7_substring_dedup": _PASSAGES,
+    "op11_clustering": _clustering(),
+    "op13_negatives": _NEGATIVES,
 }
