@@ -8,10 +8,10 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as contract
+from arborlake.plans.catalog import QUERIES as REGISTERED
+from oracle_queries import STATEMENTS
 
 SF_DIR = "/root/testdata/sf0.001"
-REGISTERED = contract.queries()
-STATEMENTS = contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +23,11 @@ def test_every_query_has_a_statement():
     assert set(STATEMENTS) == set(REGISTERED)
 
 
+def test_all_are_registered():
+    assert set(REGISTERED) <= set(contract.queries())
+    assert set(STATEMENTS) <= set(contract.oracle_sql()) <= set(contract.queries())
+
+
 def test_entry(spark):
     frame = contract.entry(spark)
     assert frame.columns == ["corpus_id", "rank", "file_type", "type_name", "n_files", "share"]
