@@ -24,10 +24,12 @@ pairs are decided on the exact arrays of shingles.
 Hot keys. Documents of a group of copies share most of their keys. A batch lists a key
 once, for its least class, and links its other classes to that one; the same is done for
 the batches of a key range. So each member is compared with the leader of its key, not
-with each other member, and verified links grow with the members. Then keys whose classes
-are still in different components are looked at again, in blocks of at most
-``TILE_ROWS`` rows of a key, and only pairs of different components are compared, so no
-link between different texts is lost and pairs within a found group are not formed.
+with each other member, and verified links grow with the members. A link names its key, so
+the links are also the list of all keys that several classes share; a key of one class, as
+nearly all are, is seen once and never again. Then keys whose classes are still in different
+components are looked at again, in blocks of at most ``TILE_ROWS`` rows of a key, and only
+pairs of different components are compared, so no link between different texts is lost and
+pairs within a found group are not formed.
 
 Defined results: texts without words have an empty set, link with nothing and are their own
 component; a text with fewer words than a shingle is one shingle; repeated rows are in the
@@ -57,6 +59,8 @@ SPARE = 2
 BITS = 1024
 #: Rows of one key that are compared with each other in one block.
 TILE_ROWS = 2048
+#: Ids that are broadcast to the scan of the texts; with more of them the texts are shuffled.
+BROADCAST_IDS = 500_000
 #: Keys that a batch gathers before it hands them on; bounds the memory of a task.
 BATCH_KEYS = 1 << 20
 
@@ -145,38 +149,84 @@ def set_of(text: bytes | None, size: int, codes: W.WordCodes) -> np.ndarray:
     return W.shingles(codes.of((text or b"").lower().split()), size)
 
 
-def signatures(documents: DataFrame, rule: Similarity) -> DataFrame:
-    """``doc_id, n, class, keys, bits, short`` of every row; the class is a digest of the set,
-    ``short`` the bitmap in its least width."""
+#: Rows of texts have the first columns, rows of key lists the last; see :func:`signatures`.
+SIGNED = "n bigint, class bigint, bits binary, short binary, place bigint, leaders array<bigint>, classes array<bigint>, keys array<bigint>"
+
+
+def signatures(documents: DataFrame, rule: Similarity, ranges: int) -> DataFrame:
+    """Signatures of the texts and lists of their keys, from one pass.
+
+    A row of a text is ``doc_id, n, class, bits, short``; the class is a digest of the set,
+    ``short`` the bitmap in its least width. A row with a ``place`` is a list: for a range of
+    keys the least class of each key in a batch, or, at the place -1, the keys that classes
+    of the batch share with their leaders.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = W.WordCodes()
         starts = band_starts(1 << 20)
+        owners, lists, held = [], [], 0
         for batch in batches:
-            sizes, classes, keys, bits = [], [], [], []
+            sizes, classes, bits = [], [], []
             for text in W.as_bytes(batch.column(1)):
                 own = set_of(text, rule.size, codes)
                 starts = reaching(starts, len(own))
                 sizes.append(len(own))
                 classes.append(class_of(own))
-                keys.append(keys_of(own, starts, rule).view(np.int64))
                 bits.append(bitmap(own) if len(own) else None)
-            short = [x and folded(x, BITS // 8) for x in bits]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(classes, pa.int64()),
-                    W.list_array(keys, pa.int64()),
-                    pa.array(bits, pa.binary()),
-                    pa.array(short, pa.binary()),
-                ],
-                names=["doc_id", "n", "class", "keys", "bits", "short"],
+                keys = keys_of(own, starts, rule).view(np.int64)
+                if len(keys):
+                    owners.append(classes[-1])
+                    lists.append(keys)
+                    held += len(keys)
+                if held >= BATCH_KEYS:
+                    yield _listed(owners, lists, ranges, batch.schema.field(0).type)
+                    owners, lists, held = [], [], 0
+            yield _signed(
+                batch.column(0),
+                n=pa.array(sizes, pa.int64()),
+                **{"class": pa.array(classes, pa.int64())},
+                bits=pa.array(bits, pa.binary()),
+                short=pa.array([x and folded(x, BITS // 8) for x in bits], pa.binary()),
             )
+            kind = batch.schema.field(0).type
+        if lists:
+            yield _listed(owners, lists, ranges, kind)
 
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(made, f"doc_id {kind}, n bigint, class bigint, keys array<bigint>, bits binary, short binary")
+    return rows.mapInArrow(made, f"doc_id {kind}, {SIGNED}")
+
+
+def _signed(ids: pa.Array, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch of the columns of :func:`signatures`; those not given are NULL."""
+    kinds = {"n": pa.int64(), "class": pa.int64(), "bits": pa.binary(), "short": pa.binary(), "place": pa.int64()}
+    kinds |= dict.fromkeys(("leaders", "classes", "keys"), pa.list_(pa.int64()))
+    parts = [columns.get(name, pa.nulls(len(ids), kind)) for name, kind in kinds.items()]
+    return pa.RecordBatch.from_arrays([ids, *parts], names=["doc_id", *kinds])
+
+
+def _listed(owners: list, lists: list, ranges: int, kind: pa.DataType) -> pa.RecordBatch:
+    """The key lists of some classes: shared keys with leader and class, others by range."""
+    owner = np.repeat(np.array(owners, np.int64), [len(k) for k in lists])
+    keys = np.concatenate(lists)
+    order, leaders, first = led(keys, owner)
+    keys, owner = keys[order], owner[order]
+    apart = leaders != owner
+    shared = np.unique(np.stack([leaders[apart], owner[apart], keys[apart]]), axis=1)
+    keys, owner = keys[first], owner[first]
+    place = (W.mix(keys.view(np.uint64) ^ _SALT) % np.uint64(ranges)).astype(np.int64)
+    by = np.lexsort((owner, place))
+    keys, owner, place = keys[by], owner[by], place[by]
+    cuts = np.flatnonzero(np.diff(place, prepend=-1))
+    ids = pa.nulls(len(cuts) + 1, kind)
+    return _signed(
+        ids,
+        place=pa.array([-1, *place[cuts].tolist()], pa.int64()),
+        leaders=W.list_array([shared[0], *[shared[0][:0]] * len(cuts)], pa.int64()),
+        classes=W.list_array([shared[1], *np.split(owner, cuts[1:])], pa.int64()),
+        keys=W.list_array([shared[2], *np.split(keys, cuts[1:])], pa.int64()),
+    )
 
 
 def class_of(codes: np.ndarray) -> np.int64 | None:
@@ -204,65 +254,22 @@ def led(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order, leaders, first
 
 
-def _pairs(leaders: np.ndarray, members: np.ndarray) -> np.ndarray:
-    apart = leaders != members
-    return np.unique(np.stack([leaders[apart], members[apart]], axis=1), axis=0)
-
-
-def star_pairs(signed: DataFrame, ranges: int) -> DataFrame:
-    """``a, b``: each class with the leader of each key that it shares."""
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(classes: list, keys: list) -> Iterator[pa.RecordBatch]:
-            if not keys:
-                return
-            owner = np.repeat(np.array(classes, np.int64), [len(k) for k in keys])
-            flat = np.concatenate(keys)
-            order, leaders, first = led(flat, owner)
-            flat, owner = flat[order], owner[order]
-            pairs = _pairs(leaders, owner)
-            flat, owner = flat[first], owner[first]
-            place = (W.mix(flat.view(np.uint64) ^ _SALT) % np.uint64(ranges)).astype(np.int64)
-            by = np.lexsort((owner, place))
-            flat, owner, place = flat[by], owner[by], place[by]
-            cuts = np.flatnonzero(np.diff(place, prepend=-1)) if len(place) else np.empty(0, np.int64)
-            columns = [
-                pa.array(place[cuts].tolist() + [-1] * (len(pairs) > 0), pa.int64()),
-                W.list_array([*np.split(owner, cuts[1:])] + ([pairs[:, 0]] if len(pairs) else []), pa.int64()),
-                W.list_array([*np.split(flat, cuts[1:])] + ([pairs[:, 1]] if len(pairs) else []), pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["place", "classes", "keys"])
-
-        classes, keys, held = [], [], 0
-        for batch in batches:
-            values = batch.column(1)
-            flat, ends = values.flatten().to_numpy(), np.cumsum(pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False))
-            for k, own in enumerate(batch.column(0).to_pylist()):
-                part = flat[ends[k - 1] if k else 0 : ends[k]]
-                if own is None or not len(part):
-                    continue
-                classes.append(own)
-                keys.append(part)
-                held += len(part)
-                if held >= BATCH_KEYS:
-                    yield from flush(classes, keys)
-                    classes, keys, held = [], [], 0
-        yield from flush(classes, keys)
+def shared_keys(signed: DataFrame) -> DataFrame:
+    """``a, b, key``: each class ``b`` with the leader ``a`` of each key that it shares."""
 
     def joined(table: pa.Table) -> pa.Table:
         classes = table["classes"].combine_chunks().flatten().to_numpy()
         keys = table["keys"].combine_chunks().flatten().to_numpy()
-        if table["place"][0].as_py() >= 0:
-            order, leaders, _ = led(keys, classes)
-            pairs = _pairs(leaders, classes[order])
-        else:
-            pairs = np.unique(np.stack([classes, keys], axis=1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        order, leaders, _ = led(keys, classes)
+        keys, classes = keys[order], classes[order]
+        apart = leaders != classes
+        found = np.unique(np.stack([leaders[apart], classes[apart], keys[apart]]), axis=1)
+        return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1]), "key": pa.array(found[2])})
 
-    rows = signed.select("class", "keys").mapInArrow(listed, "place bigint, classes array<bigint>, keys array<bigint>")
-    # pairs found within a batch need no meeting; they are spread evenly
-    spread = rows.withColumn("part", F.when(F.col("place") < 0, -1 - F.pmod(F.xxhash64("classes"), F.lit(ranges))).otherwise(F.col("place")))
-    return spread.groupBy("part").applyInArrow(lambda t: joined(t.drop_columns(["part"])), "a bigint, b bigint").distinct()
+    lists = signed.where("place >= 0").select("place", "classes", "keys")
+    across = lists.groupBy("place").applyInArrow(joined, "a bigint, b bigint, key bigint")
+    within = signed.where("place < 0").select(F.inline(F.arrays_zip("leaders", "classes", "keys")))
+    return within.toDF("a", "b", "key").unionByName(across)
 
 
 def _bounded(rule: Similarity, n_a: str, n_b: str, differ: str):
@@ -294,15 +301,34 @@ def near_pairs(pairs: DataFrame, about: DataFrame, rule: Similarity) -> DataFram
     return near.withColumn("differ", differing_bits("bits_a", "bits_b")).where(_bounded(rule, "n_a", "n_b", "differ")).select("a", "b")
 
 
+def shared_shingles(a: str, b: str) -> Column:
+    """Size of the intersection of two sorted arrays."""
+
+    @F.arrow_udf("bigint")
+    def counted(a: pa.Array, b: pa.Array) -> pa.Array:
+        found = []
+        for one, two in zip(a, b, strict=True):
+            one, two = one.values.to_numpy().view(np.uint64), two.values.to_numpy().view(np.uint64)
+            if len(one) > len(two):
+                one, two = two, one
+            at = np.searchsorted(two, one)
+            at[at == len(two)] = 0
+            found.append(int((two[at] == one).sum()) if len(two) else 0)
+        return pa.array(found, pa.int64())
+
+    return counted(a, b)
+
+
 def linked(near: DataFrame, documents: DataFrame, members: DataFrame, rule: Similarity) -> DataFrame:
     """The pairs ``a, b`` that link by the exact arrays of their shingles."""
     ends = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    sets = keep(member_sets(documents, members.join(ends, "class", "left_semi"), rule), "sets")
+    named = keep(members.join(ends, "class", "left_semi"), "ends")
+    sets = keep(member_sets(documents, named, rule), "sets")
     full = near.join(_side(sets, "b", "codes"), "b").join(_side(sets, "a", "codes"), "a")
-    shared = F.size(F.array_intersect("codes_a", "codes_b"))
-    union = F.size("codes_a") + F.size("codes_b") - shared
-    links = keep(full.where(100 * shared >= rule.percent * union).select("a", "b"), "links")
+    shared = full.select("a", "b", F.size("codes_a").alias("n_a"), F.size("codes_b").alias("n_b"), shared_shingles("codes_a", "codes_b").alias("both"))
+    links = keep(shared.where(100 * F.col("both") >= rule.percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"), "links")
     drop(sets)
+    drop(named)
     return links
 
 
@@ -327,30 +353,42 @@ def member_sets(documents: DataFrame, members: DataFrame, rule: Similarity) -> D
             yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), W.list_array(sets, pa.int64())], names=["class", "codes"])
 
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    named = members.select("class", F.col("member").alias("doc_id"))
-    # the ids grow with the documents, so they are never broadcast
-    met = texts.join(named.hint("merge"), texts["doc_id"].eqNullSafe(named["doc_id"])).select("class", "text")
+    # the ids grow with the documents: they are broadcast only where they are few, as counted
+    few = members.count() <= BROADCAST_IDS
+    named = members.select("class", F.col("member").alias("doc_id")).hint("broadcast" if few else "merge")
+    met = texts.join(named, texts["doc_id"].eqNullSafe(named["doc_id"])).select("class", "text")
     return once_each(met.mapInArrow(made, "class bigint, codes array<bigint>"), members)
 
 
 def member_rows(signed: DataFrame, members: DataFrame) -> DataFrame:
-    """``class, n, keys, bits, short`` for the listed classes."""
+    """``class, n, bits, short`` for the listed classes."""
     named = members.select(F.col("class").alias("owner"), "member")
-    met = signed.join(named, (F.col("class") == F.col("owner")) & F.col("doc_id").eqNullSafe(F.col("member")))
-    return once_each(met.select("class", "n", "keys", "bits", "short"), members)
+    texts = signed.where("place IS NULL").select("doc_id", "class", "n", "bits", "short")
+    met = texts.join(named, (F.col("class") == F.col("owner")) & F.col("doc_id").eqNullSafe(F.col("member")))
+    return once_each(met.select("class", "n", "bits", "short"), members)
 
 
-def cross_pairs(about: DataFrame, roots: DataFrame, rule: Similarity, ranges: int) -> DataFrame:
-    """Pairs that share a key and are in different components so far, within the bounds."""
-    rows = about.select("class", "keys").join(roots, F.col("class") == F.col("node"))
-    rows = rows.select("class", "root", F.explode("keys").alias("key"))
-    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"))
-    open_keys = keep(mixed.where(F.col("low") != F.col("high")).select("key", F.ceil(F.col("rows") / TILE_ROWS).alias("blocks")), "open")
+def cross_pairs(shared: DataFrame, about: DataFrame, roots: DataFrame, rule: Similarity, ranges: int) -> DataFrame:
+    """Pairs that share a key and are in different components so far, within the bounds.
+
+    ``shared`` has a row for each class and leader of a key.
+    """
+    root = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    lead = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
+    named = shared.join(root, "b").join(lead, "a")
+    low, high = F.min(F.least("root_a", "root_b")), F.max(F.greatest("root_a", "root_b"))
+    mixed = named.groupBy("key").agg(low.alias("low"), high.alias("high"), F.count(F.lit(1)).alias("rows"))
+    # a key has one class more than it has rows, at most
+    blocks = F.ceil((F.col("rows") + 1) / TILE_ROWS)
+    open_keys = keep(mixed.where(F.col("low") != F.col("high")).select("key", blocks.alias("blocks")), "open")
     if open_keys.isEmpty():
         return about.sparkSession.createDataFrame([], "a bigint, b bigint")
+    held = keep(named.join(open_keys, "key"), "held")
+    ends = [held.select("key", "blocks", F.col(x).alias("class"), F.col(f"root_{x}").alias("root")) for x in "ab"]
+    rows = ends[0].unionByName(ends[1]).distinct()
     # a key's rows are cut into blocks; each pair of blocks is a tile of bounded size
     block = F.pmod(F.xxhash64("class"), F.col("blocks"))
-    cut = rows.join(open_keys, "key").withColumn("block", block)
+    cut = rows.withColumn("block", block)
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     tile = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
     tiles = dealt.select(
@@ -395,9 +433,10 @@ def similar_groups(documents: DataFrame, rule: Similarity = Similarity()) -> Dat
 def rooted_groups(documents: DataFrame, rule: Similarity) -> DataFrame:
     """:func:`similar_groups` with ``root``, which tells groups with the same least id apart."""
     ranges = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    signed = keep(signatures(documents, rule), "signatures")
-    rows = keep(signed.select("doc_id", "n", "class"), "rows")
-    stars = keep(star_pairs(signed, ranges), "stars")
+    signed = keep(signatures(documents, rule, ranges), "signatures")
+    rows = keep(signed.where("place IS NULL").select("doc_id", "n", "class"), "rows")
+    shared = keep(shared_keys(signed), "shared")
+    stars = keep(shared.select("a", "b").distinct(), "stars")
     ends = keep(stars.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "ends")
     ids = rows.where(F.col("class").isNotNull()).groupBy("class", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
     classes = ids.groupBy("class").agg(
@@ -407,11 +446,14 @@ def rooted_groups(documents: DataFrame, rule: Similarity) -> DataFrame:
     members = keep(classes.join(ends, "class", "left_semi"), "members")
     about = keep(member_rows(signed, members), "about")
     drop(signed)
-    links = linked(keep(near_pairs(stars, about, rule), "near"), documents, members, rule)
+    near = keep(near_pairs(stars, about, rule), "near")
+    drop(stars)
+    links = linked(near, documents, members, rule)
     roots = keep(components(links), "roots")
     alone = ends.join(roots, F.col("class") == F.col("node"), "left_anti")
     every = keep(roots.unionByName(alone.select(F.col("class").alias("node"), F.col("class").alias("root"))), "nodes")
-    near = keep(near_pairs(cross_pairs(about, every, rule, ranges), about, rule), "near")
+    near = keep(near_pairs(cross_pairs(shared, about, every, rule, ranges), about, rule), "near")
+    drop(shared)
     drop(about)
     if not near.isEmpty():
         links = links.unionByName(linked(near, documents, members, rule))

@@ -2,7 +2,8 @@
 
 The folder is the one in ``spark.checkpoint.dir``. Where the session does not set it
 (tests), a folder below the warehouse, the storage that the session itself names, is
-used. A table written there survives lost executors and cuts the lineage.
+used; on a cluster that must not be a folder of one machine. A table written there
+survives lost executors and cuts the lineage.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: dict[str, list[str]] = {}
-
 
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        on_machine = folder.startswith("file:") or "://" not in folder
+        if on_machine and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
@@ -25,11 +27,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return the written table."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/{name}"
-    # what earlier steps have shuffled and nothing refers to any more is deleted once the
-    # driver collects garbage, which a driver with much memory does too rarely
-    spark._jvm.System.gc()
     df.write.parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._kept_path = path
     return table
@@ -42,12 +40,6 @@ def drop(table: DataFrame) -> None:
         _delete(table.sparkSession, path)
 
 
-def drop_all(spark: SparkSession) -> None:
-    """Delete every table of this application, once its results have been written."""
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, path)
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
