@@ -9,10 +9,12 @@ Tiles. Sizes fall into bands that grow by ``BAND_GROWTH``. A tile joins a band w
 sizes above it that may still link; a document belongs to the tile of its own band and, if
 its size is close enough, to the one below. Within a tile two linked sets differ in at
 most ``H`` shingles, which follows from the largest size of the band. The shingles are
-dealt into ``H + 1 + SPARE`` parts by their code, so at least ``1 + SPARE`` parts of linked
-sets are equal. A part's digest is a key; documents of a tile meet only where they share a
-key. Empty parts are no keys unless a set has more than ``SPARE`` of them, which keeps the
-argument whole: of the equal parts at least one is not empty, or both sets list theirs.
+dealt into ``H + 1 + S`` parts by their code, so at least ``1 + S`` parts of linked sets are
+equal. A part's digest is a key; documents of a tile meet only where they share a key. Parts
+of few shingles say little: a passage that many documents share makes the same part of one
+shingle in all of them. So each set leaves out the ``S`` parts that come first by number of
+shingles and digest, an order that depends on the parts alone. Of the equal parts of two linked
+sets the last one in that order has ``S`` others before it in both, so both list it.
 
 Verification. Pairs that meet are first bounded by sizes and by parity bitmaps: every bit
 in which two bitmaps differ stands for a shingle that only one set has, so the bit count of
@@ -54,9 +56,11 @@ from arborlake.llm.components import components
 from arborlake.llm.store import drop, fresh_name, keep
 
 BAND_GROWTH = 1.4
-SPARE = 2
-#: Bits of the narrowest bitmap, and of all bitmaps in the tiles of open keys.
+#: Parts that a set leaves out, as a share of the parts that may differ.
+SPARE = 0.2
+#: Bits of the narrowest bitmap, and of the widest in the tiles of open keys.
 BITS = 1024
+SHORT_BITS = 4096
 #: Rows of one key that are compared with each other in one block.
 TILE_ROWS = 2048
 #: Ids that are broadcast to the scan of the texts; with more of them the texts are shuffled.
@@ -94,14 +98,14 @@ def reaching(starts: np.ndarray, size: int) -> np.ndarray:
     return starts if size < starts[-1] else band_starts(2 * size)
 
 
-def tile_keys(codes: np.ndarray, tile: int, width: int) -> np.ndarray:
-    """Keys of a set in a tile whose sets are dealt into ``width`` parts."""
+def tile_keys(codes: np.ndarray, tile: int, differing: int) -> np.ndarray:
+    """Keys of a set in a tile whose linked sets differ in at most so many shingles."""
+    spare = int(differing * SPARE) + 2
+    width = differing + 1 + spare
     parts = (W.mix(codes ^ _SALT) % np.uint64(width)).astype(np.int64)
     digests = np.zeros(width, np.uint64)
     np.add.at(digests, parts, W.mix(codes + _PART))
-    filled = np.zeros(width, bool)
-    filled[parts] = True
-    at = np.flatnonzero(filled) if width - filled.sum() <= SPARE else np.arange(width)
+    at = np.lexsort((digests, np.bincount(parts, minlength=width)))[spare:]
     place = (np.uint64(tile) << np.uint64(32)) + at.astype(np.uint64)
     return W.mix(digests[at] + W.mix(place + _SALT))
 
@@ -121,7 +125,7 @@ def keys_of(codes: np.ndarray, starts: np.ndarray, rule: Similarity) -> np.ndarr
             continue
         differing = rule.differing(largest)
         if differing:
-            keys.append(tile_keys(codes, tile, differing + 1 + SPARE))
+            keys.append(tile_keys(codes, tile, differing))
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
@@ -157,7 +161,7 @@ def signatures(documents: DataFrame, rule: Similarity, ranges: int) -> DataFrame
     """Signatures of the texts and lists of their keys, from one pass.
 
     A row of a text is ``doc_id, n, class, bits, short``; the class is a digest of the set,
-    ``short`` the bitmap in its least width. A row with a ``place`` is a list: for a range of
+    ``short`` the bitmap in at most ``SHORT_BITS``. A row with a ``place`` is a list: for a range of
     keys the least class of each key in a batch, or, at the place -1, the keys that classes
     of the batch share with their leaders.
     """
@@ -187,7 +191,7 @@ def signatures(documents: DataFrame, rule: Similarity, ranges: int) -> DataFrame
                 n=pa.array(sizes, pa.int64()),
                 **{"class": pa.array(classes, pa.int64())},
                 bits=pa.array(bits, pa.binary()),
-                short=pa.array([x and folded(x, BITS // 8) for x in bits], pa.binary()),
+                short=pa.array([x and folded(x, min(len(x), SHORT_BITS // 8)) for x in bits], pa.binary()),
             )
             kind = batch.schema.field(0).type
         if lists:
@@ -398,11 +402,15 @@ def cross_pairs(shared: DataFrame, about: DataFrame, roots: DataFrame, rule: Sim
 
     def compared(table: pa.Table) -> pa.Table:
         tile, side, root, own, n = (table[c].to_numpy() for c in ("tile", "side", "root", "class", "n"))
-        bits = np.frombuffer(b"".join(table["short"].to_pylist()), np.uint64).reshape(len(tile), -1)
+        short = table["short"].to_pylist()
         order = np.argsort(tile, kind="stable")
         cuts = np.flatnonzero(np.diff(tile[order], prepend=tile[order][0] - 1 if len(tile) else 0))
         found = []
         for rows in np.split(order, cuts[1:]):
+            # the sizes of a key's sets are in one tile, so their bitmaps are about as wide
+            width = min(len(short[r]) for r in rows)
+            bits = np.frombuffer(b"".join(folded(short[r], width) for r in rows), np.uint64).reshape(len(rows), -1)
+            at = {r: k for k, r in enumerate(rows.tolist())}
             for k in range(len(rows) - 1):
                 one, rest = rows[k], rows[k + 1 :]
                 # rows of one block meet in the tile of that block alone
@@ -411,7 +419,7 @@ def cross_pairs(shared: DataFrame, about: DataFrame, roots: DataFrame, rule: Sim
                 rest = rest[100 * low >= rule.percent * high]
                 if not len(rest):
                     continue
-                differ = np.bitwise_count(bits[rest] ^ bits[one]).sum(axis=1).astype(np.int64)
+                differ = np.bitwise_count(bits[[at[r] for r in rest.tolist()]] ^ bits[k]).sum(axis=1).astype(np.int64)
                 rest = rest[differ * (100 + rule.percent) <= (n[rest] + n[one]) * (100 - rule.percent)]
                 if len(rest):
                     found.append(np.stack([np.minimum(own[rest], own[one]), np.maximum(own[rest], own[one])], axis=1))
