@@ -30,8 +30,9 @@ with each other member, and verified links grow with the members. A link names i
 the links are also the list of all keys that several classes share; a key of one class, as
 nearly all are, is seen once and never again. Then keys whose classes are still in different
 components are looked at again, in blocks of at most ``TILE_ROWS`` rows of a key, and only
-pairs of different components are compared, so no link between different texts is lost and
-pairs within a found group are not formed.
+pairs of different components are compared: first the pairs that would connect a block's
+classes if they link, then whatever these have left apart. So no link between different
+texts is lost and pairs within a found group are not formed.
 
 Defined results: texts without words have an empty set, link with nothing and are their own
 component; a text with fewer words than a shingle is one shingle; repeated rows are in the
@@ -372,10 +373,11 @@ def member_rows(signed: DataFrame, members: DataFrame) -> DataFrame:
     return once_each(met.select("class", "n", "bits", "short"), members)
 
 
-def cross_pairs(shared: DataFrame, about: DataFrame, roots: DataFrame, rule: Similarity, ranges: int) -> DataFrame:
+def cross_pairs(shared: DataFrame, about: DataFrame, roots: DataFrame, rule: Similarity, ranges: int, spanning: bool) -> DataFrame:
     """Pairs that share a key and are in different components so far, within the bounds.
 
-    ``shared`` has a row for each class and leader of a key.
+    ``shared`` has a row for each class and leader of a key. With ``spanning`` a tile gives a
+    pair only where the pairs that it has given before would not connect the two if they link.
     """
     root = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
     lead = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
@@ -410,19 +412,23 @@ def cross_pairs(shared: DataFrame, about: DataFrame, roots: DataFrame, rule: Sim
             # the sizes of a key's sets are in one tile, so their bitmaps are about as wide
             width = min(len(short[r]) for r in rows)
             bits = np.frombuffer(b"".join(folded(short[r], width) for r in rows), np.uint64).reshape(len(rows), -1)
-            at = {r: k for k, r in enumerate(rows.tolist())}
+            part, size, block = root[rows], n[rows], side[rows]
             for k in range(len(rows) - 1):
-                one, rest = rows[k], rows[k + 1 :]
                 # rows of one block meet in the tile of that block alone
-                rest = rest[(root[rest] != root[one]) & ((side[rest] != side[one]) | (side[one] < 0))]
-                low, high = np.minimum(n[rest], n[one]), np.maximum(n[rest], n[one])
-                rest = rest[100 * low >= rule.percent * high]
+                rest = np.flatnonzero((part != part[k]) & ((block != block[k]) | (block[k] < 0)))
+                rest = rest[rest > k]
+                rest = rest[100 * np.minimum(size[rest], size[k]) >= rule.percent * np.maximum(size[rest], size[k])]
                 if not len(rest):
                     continue
-                differ = np.bitwise_count(bits[[at[r] for r in rest.tolist()]] ^ bits[k]).sum(axis=1).astype(np.int64)
-                rest = rest[differ * (100 + rule.percent) <= (n[rest] + n[one]) * (100 - rule.percent)]
+                differ = np.bitwise_count(bits[rest] ^ bits[k]).sum(axis=1).astype(np.int64)
+                rest = rest[differ * (100 + rule.percent) <= (size[rest] + size[k]) * (100 - rule.percent)]
+                if spanning and len(rest):
+                    joined, first = np.unique(part[rest], return_index=True)
+                    rest = rest[first]
+                    part[np.isin(part, joined)] = part[k]
                 if len(rest):
-                    found.append(np.stack([np.minimum(own[rest], own[one]), np.maximum(own[rest], own[one])], axis=1))
+                    one, other = own[rows[k]], own[rows[rest]]
+                    found.append(np.stack([np.minimum(other, one), np.maximum(other, one)], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
@@ -458,14 +464,16 @@ def rooted_groups(documents: DataFrame, rule: Similarity) -> DataFrame:
     drop(stars)
     links = linked(near, documents, members, rule)
     roots = keep(components(links), "roots")
-    alone = ends.join(roots, F.col("class") == F.col("node"), "left_anti")
-    every = keep(roots.unionByName(alone.select(F.col("class").alias("node"), F.col("class").alias("root"))), "nodes")
-    near = keep(near_pairs(cross_pairs(shared, about, every, rule, ranges), about, rule), "near")
+    # first pairs that would connect the classes of a key, then what these have not connected
+    for spanning in (True, False):
+        alone = ends.join(roots, F.col("class") == F.col("node"), "left_anti")
+        every = keep(roots.unionByName(alone.select(F.col("class").alias("node"), F.col("class").alias("root"))), "nodes")
+        near = keep(near_pairs(cross_pairs(shared, about, every, rule, ranges, spanning), about, rule), "near")
+        if not near.isEmpty():
+            links = links.unionByName(linked(near, documents, members, rule))
+            roots = keep(components(links), "roots")
     drop(shared)
     drop(about)
-    if not near.isEmpty():
-        links = links.unionByName(linked(near, documents, members, rule))
-        roots = keep(components(links), "roots")
     # the least id of each component, found on classes; only classes of several rows or
     # with links have an id to look up
     rooted = classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
