@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.functions import globs
-from arborlake.functions.globs import ignore_rules
+from arborlake.functions.globs import keyed_rules
 from arborlake.functions.lines import lines_of
 from arborlake.functions.paths import ancestors_of, match_form, name_of, parent_of
-from arborlake.operators.scratch import lookup, materialize
+from arborlake.operators.scratch import lookup, materialize, part_of
 from arborlake.schema import COMPILED_RULES, LAYERS
 
 # The translation travels with the task, so executors need no copy of the package.
@@ -19,14 +19,10 @@ cloudpickle.register_pickle_by_value(globs)
 
 
 @F.pandas_udf(COMPILED_RULES)
-def _translate(lines: pd.Series) -> pd.Series:
+def _translate(lines: pd.Series) -> pd.DataFrame:
     """Ignore-file lines to rules. Runs on ignore files only, never on content."""
-    return lines.map(
-        lambda rows: [
-            {"regex": r.regex, "negated": r.negated, "dir_only": r.dir_only}
-            for r in ignore_rules(list(rows))
-        ]
-    )
+    found = [keyed_rules(list(rows)) for rows in lines]
+    return pd.DataFrame({"loose": [loose for loose, _ in found], "rules": [[vars(r) for r in rules] for _, rules in found]})
 
 
 def _layers(ordered: DataFrame) -> DataFrame:
@@ -37,7 +33,7 @@ def _layers(ordered: DataFrame) -> DataFrame:
     return (
         ordered.groupBy("corpus_id", "scope", "layer_seq")
         .agg(F.array_sort(F.collect_list(F.struct("seq", "lines"))).alias("parts"))
-        .select("corpus_id", "scope", _translate(F.flatten("parts.lines")).alias("rules"))
+        .select("corpus_id", "scope", F.col("layer_seq").cast("int").alias("layer"), _translate(F.flatten("parts.lines")).alias("rules"))
     )
 
 
@@ -59,14 +55,10 @@ def layers_from_rows(spark: SparkSession, rows: list[tuple[str, str, int, int, s
     grouped: dict[tuple[str, str, int], list[tuple[int, str]]] = {}
     for corpus_id, scope, layer_seq, rule_seq, pattern in rows:
         grouped.setdefault((corpus_id, scope, layer_seq), []).append((rule_seq, pattern))
-    data = [
-        (
-            corpus_id,
-            scope,
-            [(r.regex, r.negated, r.dir_only) for r in ignore_rules([p for _, p in sorted(lines)])],
-        )
-        for (corpus_id, scope, _), lines in grouped.items()
-    ]
+    data = []
+    for (corpus_id, scope, layer_seq), lines in grouped.items():
+        loose, rules = keyed_rules([p for _, p in sorted(lines)])
+        data.append((corpus_id, scope, layer_seq, (loose, [(r.key, r.regex, r.negated, r.dir_only, r.block) for r in rules])))
     return spark.createDataFrame(data, LAYERS)
 
 
@@ -144,29 +136,70 @@ def active_layers(
     return layers.join(inside, "corpus_id", "left_semi")
 
 
-def _verdict(rules: Column, relative: Column, is_dir: Column) -> Column:
-    """True when the last matching rule of the layer is not a negation."""
-    hits = F.filter(
-        rules, lambda r: (is_dir | ~r["dir_only"]) & F.rlike(relative, r["regex"])
+#: The key of the rules that any entry of the scope may meet.
+_LOOSE = "*"
+
+
+def rule_index(layers: DataFrame) -> DataFrame:
+    """The rules of all layers by ``(corpus_id, scope, layer, key)``, a materialized table."""
+    rules = layers.select("corpus_id", "scope", "layer", F.col("rules.loose").alias("loose"), F.explode("rules.rules").alias("r"))
+    keyed = rules.select(
+        "corpus_id",
+        "scope",
+        "layer",
+        F.coalesce("r.key", F.lit(_LOOSE)).alias("key"),
+        F.when(F.col("r.key").isNull(), F.col("loose")).alias("loose"),
+        F.struct("r.block", "r.negated", "r.dir_only", "r.regex").alias("rule"),
     )
-    return F.coalesce(~F.try_element_at(hits, F.lit(-1))["negated"], F.lit(False))
+    return materialize(
+        keyed.groupBy("corpus_id", "scope", "layer", "key").agg(
+            F.max("loose").alias("loose"), F.collect_list("rule").alias("rules")
+        ),
+        "ignore-index",
+    )
+
+
+def _keys(relative: Column) -> Column:
+    """The keys under which a rule for the path may stand."""
+    name = name_of(relative)
+    dots = F.length(name) - F.length(F.replace(name, F.lit("."), F.lit("")))
+    ends = F.transform(
+        F.sequence(F.lit(1), dots), lambda i: F.concat(F.lit("x:."), F.call_function("substring_index", name, F.lit("."), -i))
+    )
+    first = F.call_function("substring_index", relative, F.lit("/"), F.lit(1))
+    own = F.array(F.lit(_LOOSE), *(F.concat(F.lit(k), v) for k, v in (("n:", name), ("p:", relative), ("f:", first))))
+    return F.when(dots > 0, F.concat(own, ends)).otherwise(own)
 
 
 def ignored_entries(candidates: DataFrame, layers: DataFrame) -> DataFrame:
     """Candidates ``(corpus_id, path, is_dir)`` that any layer above them ignores.
 
-    The candidate side carries paths only and meets the layers on an equi-join of
-    its scopes.
+    The candidate side carries paths only. It meets the scopes, then the rules by name, by end
+    of the name, by path and by first segment, all on equi-joins; a regex is tried only for the
+    rules that an entry meets, and one regex for each layer stands before those that have no
+    key. Hits alone are grouped: in a layer the last block of rules that match decides.
     """
     path = match_form(F.col("path"))
+    index = rule_index(layers)
     scopes = F.concat(F.array(F.lit("")), ancestors_of(path))
     exploded = candidates.select("corpus_id", "path", "is_dir", F.explode(scopes).alias("scope"))
-    joined = lookup(exploded, layers, ["corpus_id", "scope"], F.col("path"), "inner")
+    scoped = part_of(index.select("corpus_id", "scope").distinct(), index)
+    inside = lookup(exploded, scoped, ["corpus_id", "scope"], F.col("path"), "inner")
     relative = F.when(F.col("scope") == "", F.col("path")).otherwise(
         F.substring(path, F.length("scope") + 2, F.length(path))
     )
-    return (
-        joined.where(_verdict(F.col("rules"), relative, F.col("is_dir")))
-        .select("corpus_id", "path", "is_dir")
-        .distinct()
+    keyed = inside.withColumn("relative", relative).withColumn("key", F.explode(_keys(F.col("relative"))))
+    met = lookup(keyed, index, ["corpus_id", "scope", "key"], F.col("path"), "inner")
+    is_dir, relative = F.col("is_dir"), F.col("relative")
+    # the regex of a scope is the same for all its rows, and the function compiles it anew only
+    # when it changes
+    written = F.when(is_dir, F.concat(relative, F.lit("/"))).otherwise(relative)
+    may = F.col("loose").isNull() | (F.regexp_instr(written, F.col("loose")) > 0)
+    hits = F.filter(
+        "rules", lambda r: (is_dir | ~r["dir_only"]) & (r["regex"].isNull() | F.rlike(relative, r["regex"]))
     )
+    last = F.array_max(F.transform(hits, lambda r: F.struct(r["block"].alias("block"), r["negated"].alias("negated"))))
+    entry = ["corpus_id", "path", "is_dir"]
+    found = met.where(may).select(*entry, "scope", "layer", last.alias("last")).where(F.col("last").isNotNull())
+    decided = found.groupBy(*entry, "scope", "layer").agg(F.max("last").alias("last"))
+    return decided.where(~F.col("last.negated")).select(*entry).distinct()

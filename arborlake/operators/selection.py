@@ -18,9 +18,10 @@ from arborlake.functions.globs import (
     normalize_pattern,
     static_prefix,
 )
-from arborlake.functions.paths import ancestors_of, ancestors_or_self, depth_of, extension_of, match_form
+from arborlake.functions.paths import ancestors_of, depth_of, extension_of, match_form
 from arborlake.operators.ignore import ignored_entries
 from arborlake.operators.inventory import all_entries, walkable
+from arborlake.operators.ranges import BELOW, with_codes
 from arborlake.operators.scratch import is_empty, lookup, materialize, without_keys
 
 # ---------------------------------------------------------------------------
@@ -278,14 +279,13 @@ def _apply_data_rules(
 ) -> DataFrame:
     """Overlay what other rows decide: ignore files and repository boundaries.
 
-    The prune set is the ignored directories plus the repository roots. An entry
-    falls when its chain of ancestors meets that set on an equi-join, and the hits
-    are combined to one row per entry before they are shuffled.
+    The marks are the ignored entries and the repository roots. An entry falls when it
+    carries a mark or lies below a marked directory, which one ordered sweep tells.
     """
     key = ["corpus_id", "path"]
     path = F.col("path")
     live = decided.where(F.col("reason") != "under_pruned_dir")
-    prune_sets, own_hits = [], []
+    marks = []
     if layers is not None:
         # With include rules, every file is settled before ignore files are asked.
         asked = live.where("is_dir") if rules.has_includes else live
@@ -295,38 +295,24 @@ def _apply_data_rules(
             ),
             "ignored",
         )
-        prune_sets.append(ignored.where("is_dir").select(*key, F.lit(1).alias("code")))
-        own_hits.append(ignored.where(~F.col("is_dir")).select(*key, F.lit(1).alias("code")))
+        marks.append(ignored.select(*key, "is_dir", F.lit(1).alias("code")))
     if repositories is not None:
-        prune_sets.append(repositories.select(*key, F.lit(2).alias("code")))
-    pruned = reduce(DataFrame.unionByName, prune_sets).groupBy(*key).agg(F.max("code").alias("code"))
-    pruned = materialize(pruned.withColumnRenamed("path", "ancestor"), "pruned")
-    if is_empty(pruned) and (layers is None or is_empty(ignored)):
+        marks.append(repositories.select(*key, F.lit(True).alias("is_dir"), F.lit(2).alias("code")))
+    marked = reduce(DataFrame.unionByName, marks).groupBy(*key, "is_dir").agg(F.max("code").alias("code"))
+    marked = materialize(marked, "marked")
+    if is_empty(marked):
         return decided
-
-    chains = live.select(
-        *key,
-        F.explode(
-            F.when(F.col("is_dir"), ancestors_or_self(path)).otherwise(ancestors_of(path))
-        ).alias("ancestor"),
-    )
-    met = lookup(chains, pruned, ["corpus_id", "ancestor"], path, "inner").select(
-        *key, F.when(F.col("ancestor") == path, F.col("code")).otherwise(3).alias("code")
-    )
-    hits = reduce(DataFrame.unionByName, [met, *own_hits]).groupBy(*key).agg(F.max("code").alias("code"))
+    coded = with_codes(decided, marked)
     spared = F.col("reason").isin("repository_data", "path_include", "excluded", "not_included")
     spared = F.when(F.col("is_dir"), F.col("reason").isin("repository_data", "path_include")).otherwise(spared)
-    return (
-        decided.join(hits, key, "left")
-        .withColumn(
-            "reason",
-            F.when(F.col("code") == 3, "under_pruned_dir")
-            .when(F.col("code") == 2, "nested_repository")
-            .when((F.col("code") == 1) & ~spared, "ignored")
-            .otherwise(F.col("reason")),
-        )
-        .drop("code")
-    )
+    fallen = F.col("reason") == "under_pruned_dir"
+    return coded.withColumn(
+        "reason",
+        F.when(fallen | (F.col("code") == BELOW), "under_pruned_dir")
+        .when(F.col("code") == 2, "nested_repository")
+        .when((F.col("code") == 1) & ~spared, "ignored")
+        .otherwise(F.col("reason")),
+    ).drop("code")
 
 
 def _drop_empty_directories(decided: DataFrame, rules: SelectionRules) -> DataFrame:

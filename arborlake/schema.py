@@ -20,20 +20,34 @@ ENTRIES = T.StructType(
     ]
 )
 
-COMPILED_RULES = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("regex", T.StringType()),
-            T.StructField("negated", T.BooleanType()),
-            T.StructField("dir_only", T.BooleanType()),
-        ]
-    )
+#: Rules of one ignore file. ``key`` is what an entry must have to meet the rule, NULL where
+#: only the regex can tell; ``regex`` is NULL where the key tells all; ``block`` counts the
+#: changes between ignoring and negated rules; ``loose`` matches where any rule without a key may.
+COMPILED_RULES = T.StructType(
+    [
+        T.StructField("loose", T.StringType()),
+        T.StructField(
+            "rules",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("key", T.StringType()),
+                        T.StructField("regex", T.StringType()),
+                        T.StructField("negated", T.BooleanType()),
+                        T.StructField("dir_only", T.BooleanType()),
+                        T.StructField("block", T.IntegerType()),
+                    ]
+                )
+            ),
+        ),
+    ]
 )
 
 LAYERS = T.StructType(
     [
         T.StructField("corpus_id", T.StringType(), False),
         T.StructField("scope", T.StringType(), False),
+        T.StructField("layer", T.IntegerType(), False),
         T.StructField("rules", COMPILED_RULES),
     ]
 )
