@@ -70,6 +70,13 @@ def _place(source: Column, rule_seq: Column) -> Column:
     return F.struct(source.alias("source"), rule_seq.cast("bigint").alias("rule")).alias("seq")
 
 
+def is_ignore_file(entries: DataFrame) -> Column:
+    """Whether an entry is a ``.gitignore`` file outside ``.git``."""
+    path = F.col("path")
+    is_dir = F.coalesce("is_dir", F.lit(False)) if "is_dir" in entries.columns else F.lit(False)
+    return ~is_dir & (name_of(path) == ".gitignore") & ~path.rlike(r"(\A|/)\.git/")
+
+
 def layers_from_files(entries: DataFrame, extra_root_rules: DataFrame | None = None) -> DataFrame:
     """Layers of the ignore files that the entries themselves contain.
 
@@ -80,12 +87,9 @@ def layers_from_files(entries: DataFrame, extra_root_rules: DataFrame | None = N
     source overrules an earlier one. Every other ``.gitignore`` outside ``.git`` is a layer of its own.
     """
     path = F.col("path")
-    in_git_dir = path.rlike(r"(\A|/)\.git/")
     exclude_file = path == ".git/info/exclude"
     text = F.col("content").cast("string")
-    sources = entries.where(
-        ~F.coalesce("is_dir", F.lit(False)) & (((name_of(path) == ".gitignore") & ~in_git_dir) | exclude_file)
-    ).select(
+    sources = entries.where(is_ignore_file(entries) | (exclude_file & ~F.coalesce("is_dir", F.lit(False)))).select(
         "corpus_id",
         F.when(exclude_file, F.lit("")).otherwise(parent_of(path)).alias("scope"),
         F.lit(0).alias("layer_seq"),

@@ -20,6 +20,16 @@ def is_text_column(frame: DataFrame, column: str = "content") -> bool:
     return frame.schema[column].dataType.typeName() == "string"
 
 
+def with_content_column(frame: DataFrame) -> DataFrame:
+    """A manifest may come without contents; they are unknown then."""
+    return frame if "content" in frame.columns else frame.withColumn("content", F.lit(None).cast("string"))
+
+
+def corpora_of(entries: DataFrame) -> DataFrame:
+    """Every corpus that has any entry, kept or not."""
+    return entries.select("corpus_id").distinct()
+
+
 def with_entry_defaults(frame: DataFrame) -> DataFrame:
     """Fill the optional entry columns of a manifest.
 

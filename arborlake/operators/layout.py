@@ -96,9 +96,11 @@ def with_layout(entries: DataFrame, charset: str = "plain") -> DataFrame:
     ).withColumn("branch", F.when(F.col("is_last"), last_branch).otherwise(branch)).drop("last_child")
 
 
-def tree_lines(entries: DataFrame, charset: str = "plain") -> DataFrame:
+def tree_lines(entries: DataFrame, charset: str = "plain", corpora: DataFrame | None = None) -> DataFrame:
     """Listing lines ``(corpus_id, sort_key, line)``; the first line is ``.``.
 
+    ``corpora`` lists all corpora; those without an entry have the first line alone.
+
     Sorting by ``sort_key`` within a corpus gives the depth-first listing. The line
     count is appended where ``loc`` is known.
     """
@@ -109,7 +111,7 @@ def tree_lines(entries: DataFrame, charset: str = "plain") -> DataFrame:
         suffix = F.concat(F.lit("  ("), F.col("loc").cast("string"), F.lit(" lines)"))
         line = F.concat(line, F.when(counted, suffix).otherwise(F.lit("")))
     body = with_layout(entries, charset).select("corpus_id", "sort_key", line.alias("line"))
-    roots = entries.select("corpus_id").distinct()
+    roots = entries.select("corpus_id").distinct() if corpora is None else corpora
     return roots.select("corpus_id", F.lit("").alias("sort_key"), F.lit(".").alias("line")).unionByName(body)
 
 

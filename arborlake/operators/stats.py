@@ -19,18 +19,21 @@ OUTLIER_DIVISOR = 20
 NAME_PADDING = 10
 
 
-def corpus_totals(entries: DataFrame) -> DataFrame:
+def corpus_totals(entries: DataFrame, corpora: DataFrame | None = None) -> DataFrame:
     """Files, directories and lines per corpus.
 
-    The root counts as a directory when it has any child, which every listed
-    corpus has. ``loc`` is NULL when no file was countable.
+    The root counts as a directory when it has any child. ``loc`` is NULL when no file was
+    countable. ``corpora`` lists all corpora; those without an entry get zeros.
     """
     loc = F.sum("loc") if "loc" in entries.columns else F.lit(None).cast("bigint")
-    return entries.groupBy("corpus_id").agg(
+    totals = entries.groupBy("corpus_id").agg(
         F.count_if(~F.col("is_dir")).alias("n_files"),
         (F.count_if(F.col("is_dir")) + 1).alias("n_dirs"),
         loc.alias("loc"),
     )
+    if corpora is None:
+        return totals
+    return corpora.select("corpus_id").join(totals, "corpus_id", "left").fillna(0, ["n_files", "n_dirs"])
 
 
 def type_counts(files: DataFrame) -> DataFrame:
@@ -131,15 +134,17 @@ def with_outlier(files: DataFrame) -> DataFrame:
     )
 
 
-def stats_lines(entries: DataFrame, mode: str = "full", charset: str = "ascii") -> DataFrame:
-    """Report lines ``(corpus_id, seq, line)``.
+def stats_lines(
+    entries: DataFrame, mode: str = "full", charset: str = "ascii", corpora: DataFrame | None = None
+) -> DataFrame:
+    """Report lines ``(corpus_id, seq, line)``, also for ``corpora`` without entries.
 
     ``entries`` has files (with ``file_type``, ``loc`` and optionally ``label``) and
     directories. Modes are ``off``, ``min``, ``full`` and ``footer``.
     """
     if mode not in ("off", "min", "full", "footer"):
         raise ValueError(f"stats mode must be off, min, full or footer, not {mode!r}")
-    totals = corpus_totals(entries)
+    totals = corpus_totals(entries, corpora)
     numbers = (F.col("n_dirs"), F.col("n_files"), F.col("loc"))
     files = entries.where(~F.col("is_dir"))
     if mode == "off":

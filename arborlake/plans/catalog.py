@@ -37,6 +37,13 @@ IGNORE_ROWS = [
     ("es", "src0/src", 1, 0, "*.py"),
 ]
 UNSAFE = SelectionRules(safety=False)
+REPOSITORY_FILES = [
+    ("en", ".git/HEAD", "ref"),
+    ("en", ".gitignore", "*.log\n!f1*.md\n"),
+    ("en", "sub/.gitignore", "*.md\n"),
+    ("fr", ".gitignore", "*.py\n"),
+    ("es", ".git/info/exclude", "*.sql\n"),
+]
 
 
 def query(fn: Query) -> Query:
@@ -606,3 +613,62 @@ def annotated_listing(spark: SparkSession, sf: str) -> DataFrame:
     entries = tables.files_from_documents(spark, sf)
     rows = jobs.annotated_listing(entries, jobs.Options(charset="unicode", stats="full"))
     return rows.select("corpus_id", "block", _key(), "line")
+
+
+@query
+def numbered_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """The plain listing with its line numbers."""
+    entries = tables.with_repository_marks(tables.files_from_documents(spark, sf))
+    options = jobs.Options(contents=True, max_bytes=HEAD_BUDGET, stats="min")
+    return jobs.numbered_document(jobs.plain_listing(entries, options))
+
+
+@query
+def bare_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest without contents, beside corpora of which nothing is kept."""
+    files = tables.files_from_documents(spark, sf).select("corpus_id", "path", "is_dir")
+    hollow = files.select(F.concat(F.lit("hollow-"), "corpus_id").alias("corpus_id"), "is_dir").distinct()
+    entries = files.unionByName(hollow.withColumn("path", F.lit("node_modules/a.js")))
+    rows = jobs.plain_listing(entries, jobs.Options(stats="min"))
+    return rows.select("corpus_id", "block", _key(), "line")
+
+
+@query
+def ignore_above(spark: SparkSession, sf: str) -> DataFrame:
+    """Auto mode of a whole job: repositories and rules above a root, at it, and of all users.
+
+    The tree of ``de`` lies in that of ``en``, which is a repository; ``fr`` is in none.
+    """
+    files = tables.files_from_documents(spark, sf).select("corpus_id", "path", "is_dir", "content")
+    extra = F.explode(F.array(*(F.struct(*map(F.lit, row)) for row in REPOSITORY_FILES))).alias("r")
+    corpora = files.select("corpus_id").distinct()
+    marks = corpora.select("corpus_id", extra).where(F.col("corpus_id") == F.col("r.col1"))
+    entries = files.unionByName(
+        marks.select("corpus_id", F.col("r.col2").alias("path"), F.lit(False).alias("is_dir"), F.col("r.col3").alias("content"))
+    )
+    root = F.when(F.col("corpus_id") == "de", F.lit("/lake/en/sub/de")).otherwise(F.concat(F.lit("/lake/"), "corpus_id"))
+    options = jobs.Options(rules=UNSAFE, global_rules=("*.toml",))
+    return jobs.selection(entries, options, corpora=corpora.withColumn("root", root))
+
+
+@query
+def manifest_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes from the manifest, else from the content, else 0."""
+    files = tables.files_from_documents(spark, sf)
+    number = F.octet_length("path")
+    partly = files.withColumns(
+        {
+            "size_bytes": F.when(number % 3 == 0, F.col("size_bytes")),
+            "content": F.when(number % 2 == 0, F.col("content")),
+        }
+    )
+    return sources.with_size(partly).select("corpus_id", "path", "size_bytes")
+
+
+@query
+def shown_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections that name each path as it is seen from another directory."""
+    files = tables.files_from_documents(spark, sf)
+    options = jobs.Options(contents=True, stats="off", display=("/lake", "/lake/src1/docs"), rules=UNSAFE)
+    rows = jobs.plain_listing(files, options).where("block = 2")
+    return rows.select("corpus_id", _key(), F.substring_index(F.substring("line", 5, 1 << 30), "\n", 1).alias("heading"))

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from arborlake.functions.classify import file_type, with_label
 from arborlake.functions.lines import lines_of_code
-from arborlake.operators.ignore import active_layers
-from arborlake.operators.inventory import is_text_column, walkable
+from arborlake.functions.paths import display_path
+from arborlake.operators.containment import ancestor_rules, corpora_in_repositories
+from arborlake.operators.ignore import active_layers, is_ignore_file, layers_from_files
+from arborlake.operators.inventory import corpora_of, is_text_column, walkable, with_content_column
 from arborlake.operators.layout import annotated_lines, tree_lines
+from arborlake.operators.numbering import numbered
 from arborlake.operators.packing import check_budget, pack
-from arborlake.operators.scratch import materialize
+from arborlake.operators.scratch import is_empty, materialize
 from arborlake.operators.selection import SelectionRules, kept_files, select_entries, with_decision
 from arborlake.operators.stats import stats_lines
 from arborlake.sources.entries import with_size
@@ -21,7 +24,11 @@ from arborlake.sources.entries import with_size
 
 @dataclass(frozen=True)
 class Options:
-    """What a job shows. Selection has its own :class:`SelectionRules`."""
+    """What a job shows. Selection has its own :class:`SelectionRules`.
+
+    ``global_rules`` are the patterns of a user-wide ignore file. With ``display`` a pair
+    ``(root, seen_from)``, sections name the path below ``root`` as it is seen from there.
+    """
 
     rules: SelectionRules = field(default_factory=SelectionRules)
     ignore_mode: str = "auto"
@@ -31,20 +38,54 @@ class Options:
     contents: bool = False
     max_bytes: int | None = None
     contents_mode: str = "head"
+    global_rules: tuple[str, ...] = ()
+    display: tuple[str, str] | None = None
 
     def __post_init__(self) -> None:
         check_budget(self.contents, self.max_bytes)
 
 
+def _own_layers(entries: DataFrame, options: Options, corpora: DataFrame | None) -> DataFrame | None:
+    """Layers of the ignore files that the entries hold, of those above, and of all users.
+
+    A narrow pass over the paths tells first whether there are any.
+    """
+    path = F.col("path")
+    any_file = is_ignore_file(entries) | (path == ".git/info/exclude")
+    if "content" not in entries.columns or (
+        not options.global_rules and is_empty(materialize(entries.where(any_file).select("corpus_id"), "ignore-files"))
+    ):
+        return None
+    extra = None
+    if corpora is not None:
+        extra = ancestor_rules(entries, corpora)
+    if options.global_rules:
+        listed = F.posexplode(F.array(*map(F.lit, options.global_rules))).alias("rule_seq", "pattern")
+        everywhere = corpora_of(entries).select("corpus_id", listed).withColumn("source", F.lit("global"))
+        everywhere = everywhere.withColumn("rule_seq", F.col("rule_seq").cast("bigint"))
+        extra = everywhere if extra is None else extra.unionByName(everywhere)
+    return layers_from_files(entries, extra)
+
+
 def selection(
     entries: DataFrame,
     options: Options,
     layers: DataFrame | None = None,
     in_repository: DataFrame | None = None,
+    corpora: DataFrame | None = None,
 ) -> DataFrame:
-    """Decisions under the ignore mode of the options."""
+    """Decisions under the ignore mode of the options.
+
+    Without ``layers`` the ignore files among the entries are read. ``corpora`` with the
+    places of the roots adds the ignore files and the repositories above them; without it
+    ``in_repository`` may name the corpora that lie in a repository.
+    """
+    if layers is None and options.ignore_mode != "never":
+        layers = _own_layers(entries, options, corpora)
     active = None
     if layers is not None:
+        if in_repository is None and corpora is not None and options.ignore_mode == "auto":
+            in_repository = corpora_in_repositories(entries, corpora)
         active = active_layers(layers, options.ignore_mode, entries, in_repository)
     return select_entries(entries, options.rules, layers=active)
 
@@ -62,6 +103,7 @@ def listed_entries(
     file, and only the narrow result is joined and written.
     """
     path = F.col("path")
+    entries = with_content_column(entries)
     files = with_size(walkable(entries).where(~F.col("is_dir")))
     if options.loc == "off":
         loc = F.lit(None).cast("bigint")
@@ -85,12 +127,12 @@ def listed_entries(
     return materialize(with_label(joined, labels, show_labels), "listed")
 
 
-def _stats_rows(listed: DataFrame, mode: str, charset: str) -> DataFrame:
+def _stats_rows(listed: DataFrame, mode: str, charset: str, corpora: DataFrame) -> DataFrame:
     """Report rows after the tree, with the blank line that parts them."""
-    lines = stats_lines(listed, mode, charset).select(
+    lines = stats_lines(listed, mode, charset, corpora).select(
         "corpus_id", (F.col("seq") + 1).alias("seq"), "line"
     )
-    blank = listed.select("corpus_id").distinct().select(
+    blank = corpora.select(
         "corpus_id", F.lit(0).alias("seq"), F.lit("").alias("line")
     )
     return blank.unionByName(lines).select(
@@ -106,22 +148,32 @@ def plain_listing(
     options: Options = Options(),
     layers: DataFrame | None = None,
     in_repository: DataFrame | None = None,
+    corpora: DataFrame | None = None,
 ) -> DataFrame:
     """Tree, report and optional sections as rows ``(corpus_id, block, sort_key, line)``.
 
     Ordered by block and sort key they are the document of a corpus;
-    :func:`arborlake.sources.sinks.write_listing` writes it.
+    :func:`numbered_document` numbers the rows and
+    :func:`arborlake.sources.sinks.write_listing` writes them. Every corpus with any entry
+    has a document, whatever the selection leaves of it. ``corpora`` is as in
+    :func:`selection`.
     """
-    selected = materialize(selection(entries, options, layers, in_repository), "selection")
+    entries = with_content_column(entries)
+    selected = materialize(selection(entries, options, layers, in_repository, corpora), "selection")
     listed = listed_entries(entries, selected, options)
-    rows = tree_lines(listed, options.charset).select(
+    every = materialize(corpora_of(entries), "corpora")
+    rows = tree_lines(listed, options.charset, every).select(
         "corpus_id", F.lit(0).alias("block"), "sort_key", "line"
     )
     if options.stats != "off":
-        rows = rows.unionByName(_stats_rows(listed, options.stats, "ascii"))
+        rows = rows.unionByName(_stats_rows(listed, options.stats, "ascii", every))
     if options.contents:
+        shown = None
+        if options.display:
+            root, seen_from = options.display
+            shown = display_path(F.concat(F.lit(root.rstrip("/") + "/"), F.col("path")), seen_from)
         sections = pack(
-            kept_files(entries, selected, options.rules), options.max_bytes, options.contents_mode
+            kept_files(entries, selected, options.rules), options.max_bytes, options.contents_mode, display=shown
         )
         rows = rows.unionByName(
             sections.select(
@@ -134,6 +186,11 @@ def plain_listing(
     return rows
 
 
+def numbered_document(rows: DataFrame) -> DataFrame:
+    """The rows of a listing as ``(corpus_id, block, seq, line)``, numbered from 1 in each corpus."""
+    return numbered(rows, "block", "sort_key").select("corpus_id", "block", "seq", "line")
+
+
 def annotated_listing(
     entries: DataFrame,
     options: Options = Options(charset="unicode"),
@@ -141,9 +198,11 @@ def annotated_listing(
     labels: DataFrame | None = None,
     show_labels: bool = False,
     in_repository: DataFrame | None = None,
+    corpora: DataFrame | None = None,
 ) -> DataFrame:
-    """Tree rows with bar, class and outlier columns, and the report rows."""
-    selected = selection(entries, options, layers, in_repository)
+    """Tree rows with bar, class and outlier columns, and the report rows of every corpus."""
+    entries = with_content_column(entries)
+    selected = selection(entries, options, layers, in_repository, corpora)
     listed = listed_entries(entries, selected, options, labels, show_labels)
     rows = annotated_lines(listed, options.charset).select(
         "corpus_id",
@@ -156,4 +215,4 @@ def annotated_listing(
     if options.stats == "off":
         return rows
     charset = "ascii" if options.charset == "ascii" else "unicode"
-    return rows.unionByName(_stats_rows(listed, options.stats, charset))
+    return rows.unionByName(_stats_rows(listed, options.stats, charset, materialize(corpora_of(entries), "corpora")))

@@ -285,6 +285,19 @@ IGN_FILES = (
     " OR (regexp_matches({p}, '^src\\d+/docs/') AND ({p} LIKE '%.md'"
     " OR regexp_matches({p}, '^src\\d+/docs/d[^/]*$'))))"
 )
+# en: *.log, !f1*.md ; en/sub: *.md ; es: info/exclude *.sql ; everywhere in a repository: *.toml ; fr is in none.
+# de lies in en/sub: the nearer *.md comes first, the outer !f1*.md overrules it.
+IGN_ABOVE = (
+    "(({c} = 'en' AND ({p} LIKE '%.log' OR {p} LIKE '%.toml'))"
+    " OR ({c} = 'es' AND ({p} LIKE '%.sql' OR {p} LIKE '%.toml'))"
+    " OR ({c} = 'de' AND ({p} LIKE '%.log' OR {p} LIKE '%.toml'"
+    " OR ({p} LIKE '%.md' AND NOT regexp_matches({p}, '(^|/)f1[^/]*\\.md$')))))"
+)
+ABOVE_TREE = (
+    docs().replace("f AS (", "f0 AS (", 1)
+    + ", f AS (SELECT corpus_id, path FROM f0 UNION ALL SELECT DISTINCT corpus_id, m FROM f0 JOIN (VALUES ('en', '.git/HEAD'),"
+    " ('en', '.gitignore'), ('en', 'sub/.gitignore'), ('fr', '.gitignore'), ('es', '.git/info/exclude')) t(c, m) ON c = corpus_id)"
+)
 REPO = "a IN ('src3/third_party/dep', 'src7/third_party/dep')"
 REPO_TREE = (
     docs().replace("f AS (", "f0 AS (", 1)
@@ -727,6 +740,32 @@ def _statements() -> dict[str, str]:
       UNION ALL SELECT corpus_id, 1, hex(encode('0000')), '' FROM tot
       UNION ALL SELECT corpus_id, 1, hex(encode('0001')), {totals_text('Stats')} FROM tot
       UNION ALL SELECT corpus_id, 2, sort_hex, rtrim({section('kept', 'omitted')}, {NL}) FROM sk"""
+    q["numbered_listing"] = f"""SELECT corpus_id, block, row_number() OVER (PARTITION BY corpus_id ORDER BY block, sort_hex) AS seq, line
+      FROM ({q["plain_listing"]})"""
+    bare_suffix = "CASE WHEN is_dir THEN '/' ELSE '' END"
+    bare_el = "el AS (SELECT corpus_id, path, is_dir, NULL::BIGINT AS loc FROM r2 WHERE reason IN ('path_include','included','default'))"
+    q["bare_listing"] = f"""WITH {d}, {entries()}, {ANC2}, {decide(SAFE_FILE, SAFE_DIR, unsafe_dir('a'))}, r2 AS (SELECT * FROM r), {bare_el},
+      {TOTALS}, {tree(*PLAIN, src='el')}, {hex_key('laid')}, hollow AS (SELECT DISTINCT 'hollow-' || corpus_id AS corpus_id FROM f)
+      SELECT corpus_id, 0 AS block, sort_hex, prefix || branch || name || {bare_suffix} AS line FROM keyed
+      UNION ALL SELECT DISTINCT corpus_id, 0, '', '.' FROM f
+      UNION ALL SELECT corpus_id, 1, hex(encode('0000')), '' FROM tot
+      UNION ALL SELECT corpus_id, 1, hex(encode('0001')), {totals_text('Stats')} FROM tot
+      UNION ALL SELECT corpus_id, 0, '', '.' FROM hollow
+      UNION ALL SELECT corpus_id, 1, hex(encode('0000')), '' FROM hollow
+      UNION ALL SELECT corpus_id, 1, hex(encode('0001')), '**Stats**: 📂 0 dirs • 📄 0 files' FROM hollow"""
+    above_a = IGN_ABOVE.format(c="corpus_id", p="a", d="true")
+    above_self = IGN_ABOVE.format(c="e.corpus_id", p="e.path", d="is_dir")
+    above_reason = f"CASE WHEN {above_self} THEN 'ignored' ELSE 'default' END"
+    above_dead = f"(a = '.git' OR {above_a})"
+    q["ignore_above"] = (
+        f"WITH {ABOVE_TREE}, {entries()}, {ANC2}, {decide(above_reason, above_reason, above_dead, git_self)} {SELECT_R}"
+    )
+    q["manifest_sizes"] = f"""WITH {d} SELECT corpus_id, path, CASE WHEN octet_length(encode(path)) % 3 = 0 THEN size_bytes
+      WHEN octet_length(encode(path)) % 2 = 0 THEN octet_length(encode(content)) ELSE 0 END AS size_bytes FROM f"""
+    q["shown_sections"] = f"""WITH {d}, ck AS (SELECT *, false AS is_dir FROM f WHERE NOT {IS_BINARY_EXT}),
+      sk AS (SELECT t.*, {HEX_KEY.replace('path', 't.path').replace('is_dir', 't.is_dir')} AS sort_hex FROM ck t)
+      SELECT corpus_id, sort_hex, CASE WHEN starts_with(path, 'src1/docs/') THEN substr(path, 11)
+        WHEN starts_with(path, 'src1/') THEN '../' || substr(path, 6) ELSE '../../' || path END AS heading FROM sk"""
     safe_selection = (
         f"{entries()}, {ANC2}, {decide(SAFE_FILE, SAFE_DIR, unsafe_dir('a'))}, r2 AS (SELECT * FROM r)"
     )
