@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,7 +26,6 @@ COMMENT_STARTS = ("//", "#", "/*", "*")
 COUNT_CUTOFF = 100_001
 
 
-
 def readable_text(content: Column, is_text: bool) -> Column:
     """Content as text; NULL when the bytes are not valid UTF-8."""
     return F.try_validate_utf8(content if is_text else content.cast("string"))
@@ -72,9 +73,16 @@ def is_code_line(line: Column) -> Column:
     return (body != "") & ~comment
 
 
+#: The start of a line whose first character after white space begins no comment.
+CODE_LINE = (
+    rf"(?:\A|\n)[{WHITE_SPACE.replace(chr(10), '')}]*+(?!\n|\z|" + "|".join(re.escape(s) for s in COMMENT_STARTS) + ")"
+)
+
+
 def _code_lines(content: Column, is_text: bool) -> Column:
+    """One scan counts the starts of code lines; no line is cut out of a valid text."""
     text = content if is_text else content.cast("string")
-    valid = F.size(F.filter(lines_of(text), is_code_line))
+    valid = F.regexp_count(text, F.lit(CODE_LINE))
     if is_text:
         return valid
     # Undecodable lines do not count: judge each line on its own bytes.

@@ -15,7 +15,7 @@ from arborlake.functions.classify import has_binary_extension, language_hint
 from arborlake.functions.lines import indent_of, line_count, lines_of, readable_text, unix_text
 from arborlake.functions.paths import sort_key
 from arborlake.operators.inventory import is_text_column
-from arborlake.operators.scratch import lookup, materialize
+from arborlake.operators.scratch import lookup, lookup_by_row, materialize
 
 # The text of a folded run is "... (k lines)": 12 bytes and the digits.
 MARKER_BYTES = 12
@@ -302,7 +302,7 @@ def pack(
     else:
         steps = budget_steps(ready, max_bytes, mode)
         parameters = materialize(budget_parameters(steps, max_bytes, mode), "budget-parameters")
-        joined = lookup(ready, parameters, ["corpus_id"], F.col("path"), "inner")
+        joined = lookup_by_row(ready, parameters, ["corpus_id"], ["corpus_id", "path"])
         whole = F.struct(text.alias("text"), F.lit(0).alias("omitted"))
         head = F.struct(
             head_cut(text, F.col("n")).alias("text"),

@@ -125,7 +125,24 @@ def lookup(
     return hot_rows.unionByName(cold_rows)
 
 
+def lookup_by_row(big: DataFrame, small: DataFrame, on: list[str], row: list[str]) -> DataFrame:
+    """Inner equi-join of rows with a wide payload, one small row per key.
+
+    Beyond the broadcast bounds the small side is looked up for the narrow row keys ``row``
+    (which hold ``on``), and the payload meets the result by row. Row keys are not hot, and a
+    payload stored in buckets of them (:mod:`arborlake.sources.buckets`) is not shuffled.
+    """
+    if _fits_broadcast(small):
+        return big.join(F.broadcast(small), on, "inner")
+    keys = lookup(big.select(*row).distinct(), small, on, F.xxhash64(*row), "inner")
+    return big.join(keys, row, "inner")
+
+
 def without_keys(big: DataFrame, dropped: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of ``big`` whose unique key is not among ``dropped``, a materialized table."""
+    """Rows of ``big`` whose unique key is not among ``dropped``, a materialized table.
+
+    Beyond the broadcast bounds only the dropped keys are shuffled where ``big`` is stored in
+    buckets of the key.
+    """
     side = F.broadcast(dropped) if _fits_broadcast(dropped) else dropped
     return big.join(side, on, "left_anti")
