@@ -9,10 +9,14 @@ there gives the patterns to compare word by word.
 
 A benchmark of at most ``BROADCAST_BYTES`` of text, measured before any of it is read, goes
 to every task by broadcast: the work on a document needs nothing but its own row, so there is
-no shuffle of texts and no hot group. A larger one never passes through the driver: the
-windows of items and of documents become rows with a digest of 128 bits, streamed in batches
-of bounded size, and meet in a join by digest. Documents are known there by the digest of
-their text, so copies of a text are searched once; results join back by that digest.
+no shuffle of texts and no hot group. A larger one never passes through the driver. Its shift
+tables are built by Spark over hashed blocks, ``1 << SHIFT_BITS`` bytes for each length, and
+with them a table of ``1 << SUFFIX_BITS`` bytes that tells by a bit whether a window may be a
+pattern; collisions only shorten shifts and let places pass. These tables have one size whatever
+the benchmark, and are broadcast. Documents are scanned as before; places where the shift is 0
+and the bit is set become rows with a digest of 128 bits, and meet the patterns' digests in a
+join, so windows of clean documents are hardly ever written. Documents are known there by the
+digest of their text, so copies of a text count once; results join back by that digest.
 
 Defined results: a NULL or empty text has no words, no hits and is not contaminated; NULL
 or empty items have no windows; items without an id count as hits but are not named;
@@ -38,6 +42,9 @@ WINDOW = 13
 BROADCAST_BYTES = 1 << 20
 #: Windows in one batch of rows.
 BATCH_ROWS = 1 << 14
+#: Entries, of one byte, of the hashed shift table of a length and of the table of windows.
+SHIFT_BITS = 22
+SUFFIX_BITS = 24
 #: A document is contaminated if its hit words are at least one of so many.
 SHARE = 20
 
@@ -159,25 +166,129 @@ def fits_broadcast(items: DataFrame) -> bool:
     return (items.agg(F.sum(held).alias("n")).first()["n"] or 0) <= BROADCAST_BYTES
 
 
-def window_rows(rows: DataFrame, key: str, sizes: tuple[int, ...] | None = None) -> DataFrame:
-    """``key, n_words, start, size, code``: the windows of ``sizes`` words of each text, or of an
-    item's own size, as rows; a text without windows has none."""
+def item_windows(items: DataFrame) -> DataFrame:
+    """``item, size, code``: the windows of each item with a digest of 128 bits."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), W.as_bytes(batch.column(1)), strict=True):
                 words = folded_words(text)
-                for size in (min(WINDOW, len(words)),) if sizes is None else sizes:
-                    for low in range(0, len(words) - size + 1 if size else 0, BATCH_ROWS):
-                        starts = range(low, min(low + BATCH_ROWS, len(words) - size + 1))
-                        codes = [hashlib.md5(b" ".join(words[k : k + size])).digest() for k in starts]
-                        n = len(codes)
-                        columns = [pa.array([name] * n, pa.string()), pa.array([len(words)] * n, pa.int64())]
-                        columns += [pa.array(starts, pa.int64()), pa.array([size] * n, pa.int64()), pa.array(codes, pa.binary())]
-                        yield pa.RecordBatch.from_arrays(columns, names=[key, "n_words", "start", "size", "code"])
+                size = min(WINDOW, len(words))
+                for low in range(0, len(words) - size + 1 if size else 0, BATCH_ROWS):
+                    starts = range(low, min(low + BATCH_ROWS, len(words) - size + 1))
+                    codes = [window_digest(words, k, size) for k in starts]
+                    columns = [pa.array([name] * len(codes), pa.string()), pa.array([size] * len(codes), pa.int64()), pa.array(codes, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["item", "size", "code"])
 
-    schema = f"`{key}` string, n_words bigint, start bigint, size bigint, code binary"
-    return rows.select(F.col(key).cast("string"), "text").mapInArrow(cut, schema)
+    return items.select("item", "text").mapInArrow(cut, "item string, size bigint, code binary")
+
+
+def window_digest(words: list[bytes], start: int, size: int) -> bytes:
+    return hashlib.md5(b" ".join(words[start : start + size])).digest()
+
+
+def block_entries(codes: np.ndarray, size: int) -> np.ndarray:
+    """The entry of each block of two words, or of each word where patterns have one."""
+    return (W.windows(codes, min(2, size)) >> np.uint64(64 - SHIFT_BITS)).astype(np.int64)
+
+
+def suffix_entries(codes: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entry and bit of the windows of ``size`` words at the starts."""
+    total = np.full(len(starts), size, np.uint64)
+    for k in range(size):
+        total = W.mix(total + codes[starts + k])
+    return (total >> np.uint64(64 - SUFFIX_BITS)).astype(np.int64), np.uint8(1) << (total & np.uint64(7)).astype(np.uint8)
+
+
+def hashed_tables(items: DataFrame) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """The shift table of each length, and the table of windows, built from the items.
+
+    Entries are combined in parts of at most 2 ** 20; the driver receives the tables only.
+    """
+    part_bits = 20
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = W.WordCodes()
+        for batch in batches:
+            for text in W.as_bytes(batch.column(0)):
+                codes = known.of(folded_words(text))
+                size = min(WINDOW, len(codes))
+                for low in range(0, len(codes) - size + 1 if size else 0, BATCH_ROWS):
+                    piece = codes[low : low + BATCH_ROWS + size - 1]
+                    blocks, width = block_entries(piece, size), min(2, size)
+                    # the first blocks of an item end no window of it
+                    ends = np.arange(len(blocks)) + width + low
+                    shift = np.maximum(size - ends, 0).astype(np.uint8)
+                    entries, bits = suffix_entries(piece, np.arange(len(piece) - size + 1), size)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.r_[np.full(len(blocks), size), np.zeros(len(entries), np.int64)].astype(np.int64)),
+                            pa.array(np.r_[blocks, entries]),
+                            pa.array(np.r_[shift, bits].astype(np.int64)),
+                        ],
+                        names=["size", "entry", "value"],
+                    )
+
+    def packed(table: pa.Table) -> pa.Table:
+        size, entry, value = (table[c].to_numpy() for c in ("size", "entry", "value"))
+        held = np.zeros(1 << part_bits, np.uint8) if size[0] == 0 else np.full(1 << part_bits, 255, np.uint8)
+        at = entry & ((1 << part_bits) - 1)
+        (np.bitwise_or if size[0] == 0 else np.minimum).at(held, at, value.astype(np.uint8))
+        return pa.table({"size": [int(size[0])], "part": [int(entry[0] >> part_bits)], "held": [held.tobytes()]})
+
+    rows = items.select("text").mapInArrow(listed, "size bigint, entry bigint, value bigint")
+    once = rows.groupBy("size", "entry").agg(F.when(F.col("size") == 0, F.bit_or("value")).otherwise(F.min("value")).alias("value"))
+    parts = once.groupBy("size", F.shiftright("entry", part_bits)).applyInArrow(packed, "size bigint, part bigint, held binary")
+    shifts: dict[int, np.ndarray] = {}
+    suffixes = np.zeros(1 << SUFFIX_BITS, np.uint8)
+    for r in parts.toLocalIterator():
+        held = np.frombuffer(r["held"], np.uint8)
+        low = r["part"] << part_bits
+        if r["size"]:
+            # an unknown block shifts by the whole window but one word
+            jump = r["size"] - min(2, r["size"]) + 1
+            table = shifts.setdefault(r["size"], np.full(1 << SHIFT_BITS, jump, np.uint8))
+            table[low : low + len(held)] = np.minimum(held[: len(table) - low], jump)
+        else:
+            suffixes[low : low + len(held)] = held[: len(suffixes) - low]
+    return shifts, suffixes
+
+
+def places(codes: np.ndarray, size: int, shift: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
+    """Starts of the windows that may be patterns: jumps by the shifts, then the bits of the windows."""
+    if len(codes) < size:
+        return np.empty(0, np.int64)
+    steps = shift[block_entries(codes, size)].tolist()
+    width, end, count, found = min(2, size), size, len(codes), []
+    while end <= count:
+        step = steps[end - width]
+        if not step:
+            found.append(end - size)
+        end += step or 1
+    starts = np.array(found, np.int64)
+    entries, bits = suffix_entries(codes, starts, size)
+    return starts[(suffixes[entries] & bits) > 0]
+
+
+def place_rows(texts: DataFrame, tables) -> DataFrame:
+    """``digest, start, size, code`` of the windows of each text that may be patterns."""
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shifts, suffixes = tables.value
+        known = W.WordCodes()
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), W.as_bytes(batch.column(1)), strict=True):
+                words = folded_words(text)
+                codes = known.of(words)
+                for size, shift in shifts.items():
+                    starts = places(codes, size, shift, suffixes)
+                    for low in range(0, len(starts), BATCH_ROWS):
+                        some = starts[low : low + BATCH_ROWS]
+                        digests = [window_digest(words, k, size) for k in some.tolist()]
+                        columns = [pa.array([name] * len(some), pa.string()), pa.array(some), pa.array([size] * len(some), pa.int64())]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.binary())], names=["digest", "start", "size", "code"])
+
+    return texts.select("digest", "text").mapInArrow(scanned, "digest string, start bigint, size bigint, code binary")
 
 
 def text_digest(text: Column) -> Column:
@@ -186,12 +297,13 @@ def text_digest(text: Column) -> Column:
 
 def joined_hits(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``digest, n_hit, items`` of every text with hits, by a join of windows."""
-    named = keep(window_rows(items, "item").select("item", "size", "code").distinct(), "item_windows")
-    sizes = tuple(sorted(r["size"] for r in named.select("size").distinct().collect()))  # at most WINDOW
+    named = keep(item_windows(items).distinct(), "item_windows")
+    tables = documents.sparkSession.sparkContext.broadcast(hashed_tables(items))
     texts = documents.select(text_digest(F.col("text")).alias("digest"), F.col("text").cast("string").alias("text"))
-    texts = texts.where(F.col("text").isNotNull()).groupBy("digest").agg(F.first("text").alias("text"))
     wanted = named.select("size", "code").distinct()
-    hits = keep(window_rows(texts, "digest", sizes).join(wanted, ["size", "code"], "left_semi"), "hits")
+    # copies of a text give the same rows
+    places_ = place_rows(texts.where(F.col("text").isNotNull()), tables).distinct()
+    hits = keep(places_.join(wanted, ["size", "code"], "left_semi"), "hits")
     # the words of a text that hits cover: each run begins past the greatest end so far
     ordered = Window.partitionBy("digest").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("size")
@@ -218,14 +330,15 @@ def with_hits(documents: DataFrame, benchmark: DataFrame, name: str, columns: li
         rows = [(r["item"], r["text"]) for r in items.collect()]  # within BROADCAST_BYTES
         found = search_column(F.col("text").cast("string"), documents.sparkSession.sparkContext.broadcast(rows))
         return documents.select(*columns, found.alias(name))
-    hits = joined_hits(documents, items).select(F.col("digest").alias(f"{name}_digest"), F.struct("n_hit", "items").alias(f"{name}_hits"))
-    keyed = documents.select(*columns, text_digest(F.col("text")).alias(f"{name}_digest"), word_count(F.col("text").cast("string")).alias(f"{name}_n"))
+    digest, held, count = (fresh_name(documents, stem=x) for x in ("digest", "hits", "count"))
+    hits = joined_hits(documents, items).select(F.col("digest").alias(digest), F.struct("n_hit", "items").alias(held))
+    keyed = documents.select(*columns, text_digest(F.col("text")).alias(digest), word_count(F.col("text").cast("string")).alias(count))
     found = F.struct(
-        F.col(f"{name}_n").alias("n_words"),
-        F.coalesce(F.col(f"{name}_hits.n_hit"), F.lit(0)).cast("bigint").alias("n_hit"),
-        F.coalesce(F.col(f"{name}_hits.items"), F.array().cast("array<string>")).alias("items"),
+        F.col(count).alias("n_words"),
+        F.coalesce(F.col(held)["n_hit"], F.lit(0)).cast("bigint").alias("n_hit"),
+        F.coalesce(F.col(held)["items"], F.array().cast("array<string>")).alias("items"),
     )
-    return keyed.join(hits, f"{name}_digest", "left").select(*columns, found.alias(name))
+    return keyed.join(hits, digest, "left").select(*columns, found.alias(name))
 
 
 def hit_report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ Weights come from labelled pages: pages that mark their article themselves (``ar
 ``main`` or ``role=main``) label each of their words as content or frame. On a bounded
 sample of ``SAMPLE_PAGES`` pages, those with the smallest hash of their id, words are
 counted by element, with the names in ``FRAME_NAMES`` and ``CONTENT_NAMES`` as a prior for
-elements that the sample lacks. An element's class and id count, an element without any
+elements that the sample lacks; inside a marked article only a whole name of the frame counts.
+An element's class and id count, its kind where it has neither, and an element without any
 weight takes that of its parent. Scoring is local to a page.
 
 Text of a region: character references are decoded, white space inside a block becomes one
@@ -60,20 +61,26 @@ CONTAINERS = frozenset("article aside body details dialog div figure footer form
 FRAME_NAMES = frozenset(
     "nav navbar navigation menu header masthead footer aside sidebar ad ads adv advert advertisement sponsor sponsored banner promo "
     "cookie cookies consent notice gdpr form search login signup subscribe newsletter comment comments respond disqus reply replies "
-    "related recommended share sharing social breadcrumb breadcrumbs pagination pager popup modal overlay widget toolbar copyright "
+    "related commentlist recommended share sharing social breadcrumb breadcrumbs pagination pager popup modal overlay widget toolbar copyright "
     "complementary contentinfo tags dialog".split()
 )
+#: Words that say where or in what form something stands, not what it is.
+LAYOUT_NAMES = frozenset(
+    "area bar block bottom box button buttons container content group header icons inline item items left link links list main page "
+    "panel right row section site slot top unit wrap wrapper".split()
+)
 #: Names that mark an article.
 CONTENT_NAMES = frozenset("article main content post entry story".split())
 
 RESULT = "string"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<more>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PIECES = re.compile(r"[A-Za-z]+")
+_RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 
 
 def names_of(name: str, more: str) -> list[str]:
@@ -92,13 +99,27 @@ def named(names: list[str], among: frozenset[str]) -> bool:
     return any(p.lower() in among for n in names[1:] for p in _PIECES.findall(n.partition(".")[2]))
 
 
+def framed(names: list[str]) -> bool:
+    """Whether the element, or a class, role or id of it as a whole, is named as a part of the frame.
+
+    A class like ``share-price-report`` holds a word of the list but says something else.
+    """
+    if names[0] in FRAME_NAMES:
+        return True
+    for name in names[1:]:
+        words = {p.lower() for p in _PIECES.findall(name.partition(".")[2])}
+        if words & FRAME_NAMES and words <= FRAME_NAMES | LAYOUT_NAMES:
+            return True
+    return False
+
+
 class Element:
     __slots__ = ("name", "names", "hidden", "weight", "article", "container", "content", "inset")
 
     def __init__(self, name: str, names: list[str], parent: Element | None, weights: dict[str, float]):
         self.name, self.names = name, names
         self.hidden = (parent is not None and parent.hidden) or name in HIDDEN
-        self.container = name in CONTAINERS
+        self.container = name in CONTAINERS or (len(names) > 1 and framed(names))
         marks = named(names, frozenset(("article", "main"))) and name in CONTAINERS
         self.article = marks or (parent is not None and parent.article)
         self.weight = parent.weight if parent else 1.0
@@ -109,7 +130,8 @@ class Element:
             own = [weights[n] for n in names if n in weights]
             if name == "header" and parent is not None and parent.article:
                 return  # the heading of an article
-            if named(names, FRAME_NAMES):
+            # inside an article a word of the list is not enough
+            if framed(names) if self.article else named(names, FRAME_NAMES):
                 own.append(-1.0)
             elif named(names, CONTENT_NAMES) and not any(n in weights for n in names[1:]):
                 own = [1.0]  # a name for content says more than the weight of all elements of its kind
@@ -152,7 +174,7 @@ def tokens(page: str, weights: dict[str, float]) -> Iterator[tuple[str, str, Ele
                 stack.pop()
             stack.append(Element(name, names_of(name, m["more"]), stack[-1], weights))
             if name in RAW:
-                close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
+                close = _RAW_ENDS[name].search(page, at)
                 at = close.start() if close else end
         yield "tag", name, stack[-1]
 
@@ -170,7 +192,8 @@ def observed(page: str) -> Counter:
             continue
         size = len(value.split())
         if size and element.container:
-            for name in element.names:
+            # what stands in an element with a class of its own says nothing about its kind
+            for name in element.names[1:] or element.names:
                 counts[name, element.article] += size
         elif size:
             counts["<" + element.name, element.article] += size
@@ -244,8 +267,11 @@ def learned(pages: DataFrame, rows: int = SAMPLE_PAGES) -> dict[str, float]:
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("page_id"), "page_id").limit(rows))
     drawn = pages.join(chosen, "page_id", "left_semi").select(F.col("html").cast("string").alias("html"))
     counts = drawn.mapInArrow(count, "name string, inside boolean, n bigint").groupBy("name", "inside").agg(F.sum("n").alias("n"))
-    rows_ = counts.orderBy(F.desc("n"), "name", "inside").limit(MOST_WEIGHTS).collect()
-    return weights_from({(r["name"], r["inside"]): r["n"] for r in rows_})
+    # whole names are kept or left out, never one of the two counts of a name
+    sides = (F.sum(F.when(F.col("inside") == side, F.col("n")).otherwise(0)) for side in (True, False))
+    both = counts.groupBy("name").agg(*(n.alias(x) for n, x in zip(sides, ("within", "without"), strict=True)))
+    rows_ = both.orderBy(F.desc(F.col("within") + F.col("without")), "name").limit(MOST_WEIGHTS).collect()
+    return weights_from({(r["name"], side): r[x] for r in rows_ for side, x in ((True, "within"), (False, "without"))})
 
 
 def text_column(page: Column, broadcast) -> Column:

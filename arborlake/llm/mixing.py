@@ -155,8 +155,8 @@ def repeated_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS,
     half of its words are wanted.
     """
     plan = source_plan(keep(sized(documents), "sizes"), weights, most_epochs)
-    names = [fresh_name(documents, stem=s) for s in ("key", "size", "u", "salt", "times")]
-    key, size, u, salt, times = names
+    names = [fresh_name(documents, stem=s) for s in ("key", "size", "u", "salt", "times", "plan")]
+    key, size, u, salt, times, held = names
     own = documents.withColumns(
         {
             key: source_key(F.col("source")),
@@ -164,8 +164,8 @@ def repeated_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS,
             u: draw(SEED, F.col("doc_id"), F.md5(F.col("text").cast("string"))),
         }
     )
-    parameters = plan.select(F.col("key").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in ("whole", "cut", "part")))
-    joined = with_source(own, parameters, key, salt)
-    more = (F.col(u) < F.col(f"{key}_cut")) | ((F.col(u) == F.col(f"{key}_cut")) & (2 * F.col(f"{key}_part") >= F.col(size)))
-    copies = F.array_repeat(F.lit(0), (F.col(f"{key}_whole") + more.cast("int")).cast("int"))
+    joined = with_source(own, plan.select(F.col("key").alias(key), F.struct("whole", "cut", "part").alias(held)), key, salt)
+    whole, cut, part = (F.col(held)[c] for c in ("whole", "cut", "part"))
+    more = (F.col(u) < cut) | ((F.col(u) == cut) & (2 * part >= F.col(size)))
+    copies = F.array_repeat(F.lit(0), (whole + more.cast("int")).cast("int"))
     return joined.withColumn(times, F.explode(copies)).select(*(F.col(f"`{c}`") for c in documents.columns))

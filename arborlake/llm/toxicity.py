@@ -152,7 +152,10 @@ def fit(texts: list[str], labels: list[int]) -> dict[str, float]:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``text, toxic`` of at most ``rows`` labelled documents of each class."""
+    """``doc_id, text, toxic`` of at most ``rows`` labelled documents of each class.
+
+    An id that repeats gives one row, with the least of its texts.
+    """
     named = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     named = named.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = [
@@ -161,7 +164,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_
     # at most two times ``rows`` ids
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(sample, "doc_id").select("doc_id", "text", "toxic")
+    return texts.join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def fitted(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, float]:

@@ -161,6 +161,21 @@ def test_contamination_beyond_the_broadcast_bound(llm_spark, small, odd, odd_row
     assert decontaminate.without_contaminated(odd, benchmark).columns == odd.columns
 
 
+def test_large_benchmark_writes_no_windows_of_clean_documents(llm_spark):
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 5000, n))
+    items = [(k, text(60)) for k in range(3000)]
+    rows = [(k, text(300)) for k in range(200)] + [(200 + k, text(40) + " " + items[k][1] + " " + text(40)) for k in range(20)]
+    benchmark = llm_spark.createDataFrame(items, "item_id bigint, text string")
+    documents = llm_spark.createDataFrame(rows, "doc_id bigint, text string")
+    shifts, suffixes = decontaminate.hashed_tables(decontaminate.benchmark_items(benchmark))
+    assert list(shifts) == [13] and shifts[13].max() == 12 and shifts[13].min() == 0
+    tables = llm_spark.sparkContext.broadcast((shifts, suffixes))
+    texts = documents.select(F.col("doc_id").cast("string").alias("digest"), "text")
+    found = Counter(int(r.digest) for r in decontaminate.place_rows(texts, tables).collect())
+    assert all(found[200 + k] >= 48 for k in range(20)) and sum(found[k] for k in range(200)) < 60
+
+
 def test_removed_passages_equal_brute_force(llm_spark, small):
     found = rows_of(queries.op7_substring_dedup(llm_spark, SMALL), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert found == sorted(brute.removed(small))
@@ -407,6 +422,44 @@ def test_advert_inside_a_post_and_open_head():
         assert html_text.main_text(f"<html><head><title>T</title><meta charset=utf-8><script>x</script>{body}", {}) == "One two"
 
 
+@pytest.mark.parametrize("name", ["share-price-report", "social-history", "search-results", "related-work", "form-factor", "tags-explained", "notice-of-meeting"])
+def test_a_frame_word_in_a_longer_name_keeps_the_text(name):
+    for attribute in ("class", "id"):
+        page = f"<body><article><h1>Title</h1><div {attribute}='{name}'><p>Body of the text</p></div></article></body>"
+        assert html_text.main_text(page, {}) == "Title\nBody of the text"
+
+
+@pytest.mark.parametrize("part", ["<div id=commentlist><p>Nice</p></div>", "<p class='advert'>Buy</p>", "<b class=ad>Buy</b>", "<div class='ad-box'>Buy</div>", "<ul class='share-links'><li>Mail</li></ul>"])
+def test_frame_parts_of_an_article_go(part):
+    assert html_text.main_text(f"<body><article><h1>Title</h1><p>One two</p>{part}<p>Three</p></article></body>", {}) == "Title\nOne two\nThree"
+
+
+def test_pages_without_a_marked_article_keep_their_text(llm_spark):
+    """The given pages with the mark taken away, by the weights of those that have it."""
+    pages = [r.html for r in llm_spark.read.parquet("/root/testdata/sf0.1/pages.parquet").orderBy("page_id").limit(400).collect()]
+    counts = Counter()
+    for page in pages[:200]:
+        counts.update(html_text.observed(page))
+    weights = html_text.weights_from(counts)
+    for mark in ("<div", "<div class=text"):
+        same = 0
+        for page in pages[200:]:
+            bare = page.replace("<article", mark).replace("</article>", "</div>")
+            same += html_text.main_text(bare, weights) == html_text.main_text(page, weights)
+        assert same >= 0.9 * 200
+
+
+def test_long_page_with_an_open_quote_is_read_in_time():
+    import time
+
+    start = time.perf_counter()
+    page = "<article><p>One" + '<a href="x>y' + "<b>z</b>" * 40_000 + "</article>"
+    html_text.main_text(page, {})
+    html_text.main_text("<p a='" * 100_000, {})
+    html_text.main_text("<article>" + "<p>w" * 200_000, {})
+    assert time.perf_counter() - start < 20
+
+
 def test_pages_of_the_small_table(llm_spark):
     found = queries.op9_html_text(llm_spark, SMALL).collect()
     assert len(found) == llm_spark.read.parquet(f"{SMALL}/pages.parquet").count()
@@ -445,6 +498,24 @@ def test_swapped_terms_score_alike():
     assert fair["scum"] > 1
 
 
+def test_sample_holds_one_row_of_an_id(llm_spark):
+    rows = [(1, f"text {k}") for k in range(500)] + [(2, "b"), (3, None)]
+    documents = llm_spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = llm_spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id bigint, toxic int")
+    sample = toxicity.labelled_sample(documents, labels, 10).collect()
+    assert sorted((r.doc_id, r.text, r.toxic) for r in sample if r.text) == [(1, "text 0", 1), (2, "b", 0)] and len(sample) == 3
+
+
+def test_names_that_clash_with_helper_columns(llm_spark):
+    names = ["doc_id", "text", "source", *(f"_{stem}{end}" for stem in ("key", "plan", "found", "digest", "hits", "score") for end in ("", "_whole", "_cut", "_n", "_1"))]
+    kinds = ", ".join(f"`{n}` string" for n in names[3:])
+    rows = [(k, f"one two {k}", f"s{k % 3}", *["x"] * (len(names) - 3)) for k in range(12)]
+    documents = llm_spark.createDataFrame(rows, f"doc_id bigint, text string, source string, {kinds}")
+    assert mixing.repeated_documents(documents).columns == names
+    benchmark = llm_spark.createDataFrame([(1, "one two 3")], "item_id bigint, text string")
+    assert {r.doc_id for r in decontaminate.without_contaminated(documents, benchmark).collect()} == set(range(12)) - {3}
+
+
 def test_toxicity_of_odd_rows(llm_spark, odd, none):
     labels = llm_spark.createDataFrame([(0, 1), (0, 0), (1, None), (2, 0), (None, 1)], "doc_id bigint, toxic int")
     score = toxicity.scorer(odd, labels)(F.col("text"))
