@@ -26,12 +26,15 @@ the count, one byte per entry, orders the words, ties by their hash. The table d
 grow with the data. Words are 63-bit codes of the hash, so sets are compared exactly but
 for a chance of about 2 ** -56 per pair of words.
 
-Lines are split, and their class found, once; later steps read the written table.
-
-Defined results: NULL and empty texts have no lines; lines without words are never removed
-and match nothing; rows that repeat an id are told apart by nothing but their lines, so
-their equal lines are at the same place and stay; rows without an id come last, and their
-lines are removed if similar to one of a row with an id.
+Lines are split, and their class found, once and written with their text; the words of a
+class are split again for its order and, for pairs that pass the filters, for the exact test.
+
+Defined results: every row has one result row; NULL and empty texts have no lines; lines
+without words are never removed and match nothing; rows that repeat an id are told apart by
+their texts, equal lines of theirs at the same place stay, and a row repeated whole is judged
+as one; rows without an id come last, and their lines are removed if similar to one of a row
+with an id. Ids must be numbers. Very long texts have more lines, each judged alone; a text's
+removed places are gathered in one row. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -46,31 +49,34 @@ from arborlake.llm.store import drop, keep
 PERCENT = 80
 SKETCH_BITS = 18
 _SPACE = " \t\n\v\f\r"
-_SPACES = r"[\x20\x09-\x0D]+"
 _RANK_BITS = 7
 #: Where ids are NULL: after all others.
 _LAST = (1 << 63) - 1
 
 
 def split_words(line: Column) -> Column:
-    """Lower-case words of a line that has one."""
-    return F.split(F.btrim(F.lower(line), F.lit(_SPACE)), _SPACES)
+    """Distinct lower-case words of a line that has one; no lambda runs for a word."""
+    blank = F.translate(F.lower(line), _SPACE, " " * len(_SPACE))
+    return F.array_except(F.split(blank, " "), F.array(F.lit("")))
 
 
 def line_words(line: Column) -> Column:
     """Codes of the distinct lower-case words of a line that has one."""
-    return F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w)))
+    return F.transform(split_words(line), lambda w: F.xxhash64(w))
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
-    """``doc_id, place, line, class`` of every line with words; ``low`` and ``high``, its least
-    and greatest code, are equal in most pairs of near copies."""
+    """``doc_id, source, place, line, class`` of every line with words; ``source`` tells the texts
+    of an id apart; ``low`` and ``high``, the codes of its first and last word in the order of
+    bytes, are equal in most pairs of near copies."""
     text = F.col("text").cast("string")
-    exploded = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
+    exploded = documents.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("source"), F.posexplode(F.split(text, "\n")).alias("place", "line")
+    )
     worded = exploded.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    sets = worded.withColumn("words", F.array_sort(line_words(F.col("line"))))
-    ends = (F.xxhash64("words").alias("class"), F.array_min("words").alias("low"), F.array_max("words").alias("high"))
-    return sets.select("doc_id", "place", "line", *ends)
+    sets = worded.withColumn("words", F.sort_array(split_words(F.col("line"))))
+    ends = (F.xxhash64("words").alias("class"), F.xxhash64(F.get("words", F.lit(0))).alias("low"), F.xxhash64(F.element_at("words", -1)).alias("high"))
+    return sets.select("doc_id", "source", "place", "line", *ends)
 
 
 def placed() -> Column:
@@ -99,7 +105,7 @@ def ordered_words(line: Column, rank: Callable[[Column], Column]) -> Column:
     """Word codes that sort by rarity."""
     low = (1 << (63 - _RANK_BITS)) - 1
     code = lambda w: F.shiftleft(rank(w).cast("bigint"), 63 - _RANK_BITS).bitwiseOR(w.bitwiseAND(F.lit(low)))
-    return F.array_sort(F.transform(line_words(line), code))
+    return F.sort_array(F.transform(line_words(line), code))
 
 
 def parity(words: Column) -> Column:
@@ -209,14 +215,40 @@ def earliest_matches(lines: DataFrame, percent: int) -> DataFrame:
     return least
 
 
-def removed_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_lines, n_removed, removed`` (places) of every document with lines of words."""
+def judged_texts(documents: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, source, n_lines, n_removed, removed`` of every text of an id with lines of words."""
     lines = keep(lines_of(documents), "lines")
     least = earliest_matches(lines, percent)
-    judged = lines.select("doc_id", "place", "class").join(least, "class", "left")
+    judged = lines.select("doc_id", "source", "place", "class").join(least, "class", "left")
+    # copies of a row give each of their lines as often; a place counts once
+    judged = judged.dropDuplicates(["doc_id", "source", "place"])
     gone = F.coalesce(placed() > F.col("least"), F.lit(False))
-    return judged.groupBy("doc_id").agg(
+    return judged.groupBy("doc_id", "source").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count(F.when(gone, 1)).alias("n_removed"),
-        F.array_sort(F.collect_list(F.when(gone, F.col("place")))).alias("removed"),
+        F.sort_array(F.collect_list(F.when(gone, F.col("place")))).alias("removed"),
     )
+
+
+def removed_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_lines, n_removed, removed`` (places) of every row, one for each row."""
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("source"))
+    judged = judged_texts(documents, percent).select(F.col("doc_id").alias("id"), F.col("source").alias("of"), "n_lines", "n_removed", "removed")
+    met = rows.join(judged, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("source") == F.col("of")), "left")
+    zero = F.lit(0).cast("bigint")
+    return met.select(
+        "doc_id",
+        F.coalesce("n_lines", zero).alias("n_lines"),
+        F.coalesce("n_removed", zero).alias("n_removed"),
+        F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
+    )
+
+
+def deduplicated(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, text`` of every row without its removed lines; lines without words stay."""
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    judged = judged_texts(documents, percent).where(F.col("n_removed") > 0)
+    judged = judged.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), "removed")
+    met = rows.join(judged, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("of")), "left")
+    left = F.filter(F.split("text", "\n"), lambda line, place: ~F.array_contains("removed", place))
+    return met.select("doc_id", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"))

@@ -371,9 +371,20 @@ def test_lines_equal_brute_force(llm_spark, odd, none):
     expected = defaultdict(list)
     for n, (i, k, own) in enumerate(lines):
         expected[i] += [k] if any(100 * len(own & o) >= 80 * len(own | o) for _, _, o in lines[:n]) else []
-    assert {r.doc_id: r.removed for r in found.collect()} == expected
-    assert line_dedup.removed_lines(odd).count() > 0
-    assert line_dedup.removed_lines(none).count() == 0
+    assert {r.doc_id: r.removed for r in found.collect()} == {i: expected[i] for i, _ in rows}
+    kept = line_dedup.deduplicated(llm_spark.createDataFrame(rows, "doc_id bigint, text string"))
+    want = {i: t and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in expected[i]) for i, t in rows}
+    assert {r.doc_id: r.text for r in kept.collect()} == want
+    assert line_dedup.removed_lines(odd).count() == line_dedup.deduplicated(odd).count() == odd.count()
+    assert line_dedup.removed_lines(none).count() == line_dedup.deduplicated(none).count() == 0
+
+
+def test_texts_of_one_id_are_judged_apart(llm_spark):
+    rows = [(1, "a b\nc d"), (2, "a b\ne f"), (2, "g h\na b"), (2, "g h\na b"), (None, "e f\nx y"), (3, None), (3, "")]
+    found = line_dedup.removed_lines(llm_spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert Counter((r.doc_id, r.n_lines, tuple(r.removed)) for r in found.collect()) == Counter(
+        [(1, 2, ()), (2, 2, (0,)), (2, 2, (1,)), (2, 2, (1,)), (None, 2, (0,)), (3, 0, ()), (3, 0, ())]
+    )
 
 
 def test_groups_of_near_lines_equal_brute_force(llm_spark):
