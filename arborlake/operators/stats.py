@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from arborlake.functions.classify import type_display_name
 from arborlake.functions.labels import share_percent, totals_text, type_line, whole_percent
 from arborlake.functions.paths import extension_of, name_of, parent_of, sort_key
-from arborlake.operators.scratch import lookup, materialize
+from arborlake.operators.scratch import is_empty, lookup, materialize
 
 # Report sizes and the outlier rule (top 5 %, at most 10 files).
 TOP_EXTENSIONS = 5
@@ -37,14 +37,28 @@ def corpus_totals(entries: DataFrame, corpora: DataFrame | None = None) -> DataF
 
 
 def type_counts(files: DataFrame) -> DataFrame:
-    """Files and lines per type."""
+    """Files and lines per type and, of labelled files, the label of its first in listing order.
+
+    Counts are kept per label, so rows are hashed and not sorted. Only the files of types that
+    have several labels in a corpus are asked for their order.
+    """
     loc = F.sum("loc") if "loc" in files.columns else F.lit(None).cast("bigint")
-    columns = [F.count(F.lit(1)).alias("n_files"), loc.alias("loc")]
-    if "label" in files.columns:
-        # The label of the first file of the type in listing order.
-        order = sort_key(F.col("path"), F.lit(False))
-        columns.append(F.min_by("label", order).alias("label"))
-    return files.groupBy("corpus_id", "file_type").agg(*columns)
+    key = ["corpus_id", "file_type"]
+    counts = [F.count(F.lit(1)).alias("n_files"), loc.alias("loc")]
+    if "label" not in files.columns:
+        return files.groupBy(*key).agg(*counts)
+    by_label = materialize(files.groupBy(*key, "label").agg(*counts), "type-labels")
+    summed = by_label.groupBy(*key).agg(
+        F.sum("n_files").alias("n_files"), F.sum("loc").alias("loc"), F.first("label").alias("label"), F.count(F.lit(1)).alias("n")
+    )
+    several = materialize(summed.where(F.col("n") > 1).select(*key), "contested-types")
+    if is_empty(several):
+        return summed.drop("n")
+    asked = lookup(files.select(*key, "path", "label"), several, key, F.col("path"), "inner")
+    order = sort_key(F.col("path"), F.lit(False))
+    first = asked.groupBy(*key).agg(F.struct(F.min_by("label", order).alias("label")).alias("first"))
+    labelled = F.when(F.col("first").isNull(), F.col("label")).otherwise(F.col("first.label"))
+    return summed.drop("n").join(first, key, "left").withColumn("label", labelled).drop("first")
 
 
 def type_breakdown(files: DataFrame, top: int = TOP_TYPES) -> DataFrame:

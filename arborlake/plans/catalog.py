@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from arborlake.functions import classify, labels, lines, paths
 from arborlake.operators import ignore, inventory, layout, packing, selection, stats
-from arborlake.operators.scratch import lookup, materialize
+from arborlake.operators.scratch import lookup, materialize, scratch_folder
 from arborlake.operators.selection import SelectionRules
 from arborlake.plans import jobs
+from arborlake.sources import contents as referred
 from arborlake.sources import driver_tables as tables
 from arborlake.sources import entries as sources
 
@@ -27,6 +28,7 @@ MIXED_RULES = SelectionRules(
 )
 PRUNE_RULES = SelectionRules(exclude=("docs", "core/", "src1*/config/**", "*.sql"))
 LABEL_ROWS = [("ext", ".rs", "R"), ("type", "python", "P"), ("type", "md", "M"), ("type", "nope", "X")]
+TYPE_LABELS = [("ext", "log", "L"), ("ext", "png", "I"), ("ext", "lock", "K"), ("ext", "pem", "E")]
 LABEL_ARGUMENTS = [".rs=R", "docs=M", "nope=X", "plain", "py=p", "python=P", ".tsx=T"]
 IGNORE_ROWS = [
     ("en", "", 0, 0, "*.log"),
@@ -339,6 +341,14 @@ def type_loc(spark: SparkSession, sf: str) -> DataFrame:
     return stats.type_counts(_typed(files))
 
 
+@query
+def type_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts per type with the label of its first file, where labels by extension divide types."""
+    given = spark.createDataFrame(TYPE_LABELS, "kind string, key string, label string")
+    files = _with_loc(_typed(tables.files_from_documents(spark, sf)))
+    return stats.type_counts(classify.with_label(files.drop("content"), given))
+
+
 @query
 def ext_counts(spark: SparkSession, sf: str) -> DataFrame:
     return stats.extension_counts(tables.files_from_documents(spark, sf).select("corpus_id", "path"))
@@ -608,6 +618,17 @@ def plain_listing(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("corpus_id", "block", _key(), "line")
 
 
+@query
+def referred_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """The plain listing of a manifest that names its contents and knows half of the sizes."""
+    entries = tables.with_repository_marks(tables.files_from_documents(spark, sf))
+    named = referred.refer_contents(entries, f"{scratch_folder(spark)}/contents")
+    partly = named.withColumn("size_bytes", F.when(F.octet_length("path") % 2 == 0, F.col("size_bytes")))
+    options = jobs.Options(contents=True, max_bytes=HEAD_BUDGET, stats="min")
+    rows = jobs.plain_listing(partly, options)
+    return rows.select("corpus_id", "block", _key(), "line")
+
+
 @query
 def annotated_listing(spark: SparkSession, sf: str) -> DataFrame:
     entries = tables.files_from_documents(spark, sf)

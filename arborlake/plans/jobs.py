@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.functions.classify import file_type, with_label
+from arborlake.functions.classify import COUNT_LIMIT_BYTES, file_type, has_binary_extension, with_label
 from arborlake.functions.lines import lines_of_code
 from arborlake.functions.paths import display_path
 from arborlake.operators.containment import ancestor_rules, corpora_in_repositories
@@ -19,6 +19,7 @@ from arborlake.operators.packing import check_budget, pack
 from arborlake.operators.scratch import is_empty, materialize
 from arborlake.operators.selection import SelectionRules, kept_files, select_entries, with_decision
 from arborlake.operators.stats import stats_lines
+from arborlake.sources.contents import refers, with_contents
 from arborlake.sources.entries import with_size
 
 
@@ -52,19 +53,22 @@ def _own_layers(entries: DataFrame, options: Options, corpora: DataFrame | None)
     """
     path = F.col("path")
     any_file = is_ignore_file(entries) | (path == ".git/info/exclude")
-    if "content" not in entries.columns or (
+    if not ("content" in entries.columns or refers(entries)) or (
         not options.global_rules and is_empty(materialize(entries.where(any_file).select("corpus_id"), "ignore-files"))
     ):
         return None
+    rule_files = entries
+    if refers(entries):
+        rule_files = materialize(with_contents(entries.where(any_file)), "ignore-contents")
     extra = None
     if corpora is not None:
-        extra = ancestor_rules(entries, corpora)
+        extra = ancestor_rules(rule_files, corpora)
     if options.global_rules:
         listed = F.posexplode(F.array(*map(F.lit, options.global_rules))).alias("rule_seq", "pattern")
         everywhere = corpora_of(entries).select("corpus_id", listed).withColumn("source", F.lit("global"))
         everywhere = everywhere.withColumn("rule_seq", F.col("rule_seq").cast("bigint"))
         extra = everywhere if extra is None else extra.unionByName(everywhere)
-    return layers_from_files(entries, extra)
+    return layers_from_files(rule_files, extra)
 
 
 def selection(
@@ -100,11 +104,17 @@ def listed_entries(
     """Kept files and directories with type, label, size and line count.
 
     Line counts are taken inside the scan, only where the row-local rules keep the
-    file, and only the narrow result is joined and written.
+    file, and only the narrow result is joined and written. Contents that are only named are
+    read for the kept files that may be counted.
     """
     path = F.col("path")
     entries = with_content_column(entries)
-    files = with_size(walkable(entries).where(~F.col("is_dir")))
+    if refers(entries):
+        countable = F.lit(options.loc != "off") & ~has_binary_extension(path)
+        files = with_contents(kept_files(entries, selected, options.rules), countable, COUNT_LIMIT_BYTES)
+    else:
+        files = with_decision(walkable(entries).where(~F.col("is_dir")), options.rules).where(F.col("decision") == "include")
+    files = with_size(files)
     if options.loc == "off":
         loc = F.lit(None).cast("bigint")
     else:
@@ -113,13 +123,9 @@ def listed_entries(
             F.col("content"),
             F.col("size_bytes"),
             mode=options.loc,
-            is_text=is_text_column(entries),
+            is_text=is_text_column(files),
         )
-    measured = (
-        with_decision(files, options.rules)
-        .where(F.col("decision") == "include")
-        .select("corpus_id", "path", "size_bytes", loc.alias("loc"))
-    )
+    measured = files.select("corpus_id", "path", "size_bytes", loc.alias("loc"))
     kept = selected.where(F.col("decision") == "include").select("corpus_id", "path", "is_dir")
     joined = kept.join(measured, ["corpus_id", "path"], "left").withColumn(
         "file_type", F.when(~F.col("is_dir"), file_type(path)).otherwise("Directory")
@@ -172,9 +178,8 @@ def plain_listing(
         if options.display:
             root, seen_from = options.display
             shown = display_path(F.concat(F.lit(root.rstrip("/") + "/"), F.col("path")), seen_from)
-        sections = pack(
-            kept_files(entries, selected, options.rules), options.max_bytes, options.contents_mode, display=shown
-        )
+        files = with_contents(kept_files(entries, selected, options.rules), ~has_binary_extension(F.col("path")))
+        sections = pack(files, options.max_bytes, options.contents_mode, display=shown)
         rows = rows.unionByName(
             sections.select(
                 "corpus_id",

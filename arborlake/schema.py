@@ -2,7 +2,8 @@
 
 ``entries`` is one row per file or directory of a tree; ``corpus_id`` names the
 tree and ``path`` is relative to its root. A directory row is needed only for an
-empty directory, all others follow from the file paths.
+empty directory, all others follow from the file paths. A manifest may name contents in
+``content_uri`` instead of holding them (:mod:`arborlake.sources.contents`).
 """
 
 from __future__ import annotations

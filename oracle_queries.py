@@ -577,6 +577,10 @@ def _statements() -> dict[str, str]:
         f" WHEN {ext_of()} = 'tsx' THEN 'T' WHEN file_type = 'Python' THEN 'P' WHEN file_type = 'Markdown' THEN 'M'"
         f" ELSE {EMOJI} END AS label FROM t"
     )
+    short = " ".join(f"WHEN {ext_of()} = '{e}' THEN '{k}'" for e, k in (("log", "L"), ("png", "I"), ("lock", "K"), ("pem", "E")))
+    q["type_labels"] = f"""WITH {d}, t AS (SELECT corpus_id, path, false AS is_dir, {TYPE} AS file_type, {LOC} AS loc FROM f),
+      l AS (SELECT *, CASE {short} ELSE {EMOJI} END AS label FROM t), {hex_key('l')}
+      SELECT corpus_id, file_type, count(*) AS n_files, CAST(sum(loc) AS BIGINT) AS loc, arg_min(label, sort_hex) AS label FROM keyed GROUP BY 1, 2"""
     hexed = "regexp_extract_all(hex(encode(content)[1:8192]), '..')"
     control = f"len(list_filter({hexed}, lambda h: h < '20' AND h NOT IN ('09', '0A', '0D')))"
     q["binary_gate"] = f"""WITH {d}, x AS (SELECT corpus_id, path, CASE WHEN {size} % 7 = 0 THEN content || chr(0)
@@ -742,6 +746,8 @@ def _statements() -> dict[str, str]:
       UNION ALL SELECT corpus_id, 2, sort_hex, rtrim({section('kept', 'omitted')}, {NL}) FROM sk"""
     q["numbered_listing"] = f"""SELECT corpus_id, block, row_number() OVER (PARTITION BY corpus_id ORDER BY block, sort_hex) AS seq, line
       FROM ({q["plain_listing"]})"""
+    # sizes do not show in this listing, and contents are the same wherever they lie
+    q["referred_listing"] = q["plain_listing"]
     bare_suffix = "CASE WHEN is_dir THEN '/' ELSE '' END"
     bare_el = "el AS (SELECT corpus_id, path, is_dir, NULL::BIGINT AS loc FROM r2 WHERE reason IN ('path_include','included','default'))"
     q["bare_listing"] = f"""WITH {d}, {entries()}, {ANC2}, {decide(SAFE_FILE, SAFE_DIR, unsafe_dir('a'))}, r2 AS (SELECT * FROM r), {bare_el},
