@@ -123,10 +123,108 @@ FROM near JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100
 QUALIFY rank <= 3
 """
 
+def sharding(limit: int = 64 << 20, bits: int = 60) -> str:
+    """Bytes of every prefix of every length; a row's shard is its first that fits."""
+    return f"""
+WITH r AS (
+  SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS bytes,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, {bits // 4}) AS BIGINT) AS hash
+  FROM documents
+), n AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS k, row_number() OVER (PARTITION BY doc_id, bytes, hash) - 1 AS copy FROM r
+), s AS (
+  SELECT depth, hash >> ({bits} - depth) AS prefix, sum(bytes) AS held
+  FROM n, (SELECT unnest(range({bits} + 1)) AS depth) GROUP BY ALL
+), f AS (
+  SELECT k, min(depth) AS depth FROM n, s WHERE s.held <= {limit} AND s.prefix = n.hash >> ({bits} - s.depth) GROUP BY k
+), a AS (
+  SELECT n.doc_id, bytes AS size_bytes, CAST(coalesce(depth, {bits}) AS INTEGER) AS shard_depth,
+    CAST(hash >> ({bits} - coalesce(depth, {bits})) AS BIGINT) AS shard_prefix,
+    CASE WHEN depth IS NULL THEN CAST(copy // greatest(1, {limit} // greatest(bytes, 1)) AS BIGINT) ELSE 0 END AS page
+  FROM n LEFT JOIN f ON f.k = n.k
+)
+SELECT *, CAST(sum(size_bytes) OVER (PARTITION BY shard_depth, shard_prefix, page) AS BIGINT) AS shard_bytes FROM a
+"""
+
+
+_MIX = r"""
+WITH d AS (
+  SELECT doc_id, coalesce('0' || source, '1') AS key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')), 1, 13) AS BIGINT) AS u
+  FROM documents
+), s AS (
+  SELECT key, CAST(sum(size) AS HUGEINT) AS words, [5, 2, 1][CAST((row_number() OVER (ORDER BY key) - 1) % 3 + 1 AS INTEGER)] AS weight
+  FROM d GROUP BY key
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY words * (10 // weight), key) AS place FROM s
+), l AS (
+  SELECT *, sum(words) OVER () - 3 * coalesce(sum(words) OVER before, 0) AS held,
+    sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS among
+  FROM o WINDOW before AS (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), e AS (
+  SELECT place, held, among FROM l WHERE weight * held <= 3 * words * among ORDER BY place LIMIT 1
+), t AS (
+  SELECT key, CAST(words AS BIGINT) AS words,
+    CASE WHEN l.place < e.place THEN CAST(3 * words AS DOUBLE) ELSE CAST(weight * e.held AS DOUBLE) / CAST(e.among AS DOUBLE) END AS target
+  FROM l, e
+), g AS (
+  SELECT *, CASE WHEN words > 0 THEN CAST(floor(target + 0.5) AS BIGINT) // words ELSE 0 END AS whole FROM t
+), p AS (
+  SELECT *, CAST(floor(target + 0.5) AS BIGINT) - whole * words AS rest FROM g
+), q AS (
+  SELECT key, u, drawn, n, sum(drawn) OVER (PARTITION BY key ORDER BY u) AS upto
+  FROM (SELECT key, u, sum(size) AS drawn, count(*) AS n FROM d GROUP BY key, u)
+), c AS (
+  SELECT key, u AS cut, (rest - upto + drawn) // n AS part FROM q JOIN p USING (key) WHERE upto > rest AND upto - drawn <= rest
+)
+SELECT doc_id, size, words AS source_size, target,
+  CAST(whole * size + CASE WHEN u < coalesce(cut, -1) THEN size WHEN u = cut THEN least(part, size) ELSE 0 END AS BIGINT) AS taken
+FROM d JOIN p USING (key) LEFT JOIN c USING (key)
+"""
+
+_LINES = r"""
+WITH x AS (
+  SELECT DISTINCT doc_id, text FROM documents
+), y AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM x
+), l AS MATERIALIZED (
+  SELECT doc_id, text, place, CAST(coalesce(doc_id, 9223372036854775807) AS HUGEINT) * 4294967296 + place AS spot,
+    list_sort(list_distinct(regexp_extract_all(lower(line), '[^ \t\n\x0B\f\r]+'))) AS words
+  FROM y WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')
+), c AS MATERIALIZED (
+  SELECT array_to_string(words, ' ') AS class, words, len(words) AS n, min(spot) AS spot FROM l GROUP BY words
+), w AS MATERIALIZED (
+  SELECT class, n, unnest(words) AS word FROM c
+), f AS (
+  SELECT word, count(*) AS n FROM w GROUP BY word
+), o AS (
+  SELECT class, w.n, word, row_number() OVER (PARTITION BY class ORDER BY f.n, word) AS pos FROM w JOIN f USING (word)
+), p AS MATERIALIZED (
+  SELECT class, n, word FROM o WHERE pos <= n - (80 * n + 99) // 100 + 1
+), m AS (
+  SELECT DISTINCT a.class AS a, b.class AS b FROM p a JOIN p b USING (word) WHERE a.class <> b.class AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), s AS (
+  SELECT m.a AS class, min(y.spot) AS other
+  FROM m JOIN c x ON x.class = m.a JOIN c y ON y.class = m.b
+  WHERE 180 * len(list_intersect(x.words, y.words)) >= 80 * (x.n + y.n) GROUP BY m.a
+), e AS (
+  SELECT c.words, least(spot, coalesce(other, spot)) AS earliest FROM c LEFT JOIN s USING (class)
+), g AS (
+  SELECT doc_id, text, count(*) AS n_lines, count(*) FILTER (spot > earliest) AS n_removed,
+    string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) FILTER (spot > earliest) AS removed
+  FROM l JOIN e USING (words) GROUP BY doc_id, text
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN g ON g.doc_id IS NOT DISTINCT FROM d.doc_id AND g.text = d.text
+"""
+
 STATEMENTS: dict[str, str] = {
+    "op2_sharding": sharding(),
+    "op3_mixing": _MIX,
     "op4_ngram_join": _NGRAMS,
     "op6_decontaminate": _CONTAMINATION,
     "op7_substring_dedup": _PASSAGES,
+    "op8_line_dedup": _LINES,
     "op11_clustering": _clustering(),
     "op13_negatives": _NEGATIVES,
 }

@@ -84,7 +84,8 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+    found = line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.array_join("removed", ","))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
