@@ -3,8 +3,8 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as
 Parquet and read again as the documents of the next stage. All but the last return the
 columns of ``documents``. No stage can be said in SQL as a whole, because the first depends
-on a fitted classifier. Near duplicates, decontamination and sharding are tested against plain
-versions, the classifier on held-out labels, and the mix by the bound on its repetitions.
+on a fitted classifier. Near duplicates, decontamination, mixing and sharding are tested against
+plain versions on their own input, the first stage against the scores and the labels.
 """
 
 from __future__ import annotations
