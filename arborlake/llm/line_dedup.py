@@ -21,13 +21,15 @@ a large group of near copies does not form its pairs, and no line that has an ea
 is missed.
 
 Rarity only has to be one order for all lines. It is taken from a table of fixed size: the
-words of all lines are counted by a hash of ``SKETCH_BITS`` bits, and the logarithm of
-the count, one byte per entry, orders the words, ties by their hash. The table does not
-grow with the data. Words are 63-bit codes of the hash, so sets are compared exactly but
-for a chance of about 2 ** -56 per pair of words.
+words of all texts are counted by a hash of ``SKETCH_BITS`` bits, and the logarithm of
+the count orders the words, ties by their hash. The table does not grow with the data.
+Words are 64-bit codes, so sets are compared exactly but for a chance of about 2 ** -56 per
+pair of words.
 
-Lines are split, and their class found, once and written with their text; the words of a
-class are split again for its order and, for pairs that pass the filters, for the exact test.
+Texts are split into words twice, once to count them and once for the codes of their lines.
+The sorted codes give the class, its order and its bitmap; words stay strings for the split
+alone, and no more than two expressions run for each code. Lines keep codes of their leading words,
+not their text; lines that the exact test needs are taken from the documents again.
 
 Defined results: every row has one result row; NULL and empty texts have no lines; lines
 without words are never removed and match nothing; rows that repeat an id are told apart by
@@ -48,35 +50,59 @@ from arborlake.llm.store import drop, keep
 
 PERCENT = 80
 SKETCH_BITS = 18
-_SPACE = " \t\n\v\f\r"
-_RANK_BITS = 7
+#: Greatest rank, of seven bits.
+_TOP = 127
+_BLANKS = ("\t", "\v", "\f", "\r")
+_CODE_BITS = 56
+_KEY = (1 << 31) - 1
 #: Where ids are NULL: after all others.
 _LAST = (1 << 63) - 1
 
 
-def split_words(line: Column) -> Column:
-    """Distinct lower-case words of a line that has one; no lambda runs for a word."""
-    blank = F.translate(F.lower(line), _SPACE, " " * len(_SPACE))
-    return F.array_except(F.split(blank, " "), F.array(F.lit("")))
+def split_words(text: Column) -> Column:
+    """Lower-case words, repeated as they are, and empty ones between blanks."""
+    blank = F.lower(text)
+    for c in _BLANKS:
+        blank = F.replace(blank, F.lit(c), F.lit(" "))
+    return F.split(blank, " ")
 
 
 def line_words(line: Column) -> Column:
-    """Codes of the distinct lower-case words of a line that has one."""
-    return F.transform(split_words(line), lambda w: F.xxhash64(w))
+    """Sorted codes of the distinct words of a line."""
+    codes = F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.array_remove(codes, F.xxhash64(F.lit(""))))
 
 
-def lines_of(documents: DataFrame) -> DataFrame:
-    """``doc_id, source, place, line, class`` of every line with words; ``source`` tells the texts
-    of an id apart; ``low`` and ``high``, the codes of its first and last word in the order of
-    bytes, are equal in most pairs of near copies."""
+def texts_of(documents: DataFrame) -> DataFrame:
+    """``doc_id, source, text``; ``source`` tells the texts of an id apart."""
     text = F.col("text").cast("string")
-    exploded = documents.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("source"), F.posexplode(F.split(text, "\n")).alias("place", "line")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("source"), text.alias("text"))
+
+
+def split_lines(documents: DataFrame) -> DataFrame:
+    """``doc_id, source, place, line`` of every line with a word."""
+    split = texts_of(documents).select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    return split.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def lines_of(documents: DataFrame, rank: Callable[[Column], Column], percent: int) -> DataFrame:
+    """``doc_id, source, place, class, n, bits, low, high, prefix`` of every line with words:
+    its class, number of words, bitmap, least and greatest code, which are equal in most pairs of
+    near copies, and keys of its rarest words."""
+    coded = split_lines(documents).select("doc_id", "source", "place", line_words(F.col("line")).alias("words"))
+    n = F.size("words")
+    rarest = F.slice(ordered(F.col("words"), rank), F.lit(1), prefix_length(n, percent))
+    return coded.select(
+        "doc_id",
+        "source",
+        "place",
+        F.xxhash64("words").alias("class"),
+        n.alias("n"),
+        parity(F.col("words")).alias("bits"),
+        F.get("words", F.lit(0)).alias("low"),
+        F.element_at("words", -1).alias("high"),
+        F.transform(rarest, lambda w: w.bitwiseAND(F.lit(_KEY)).cast("int")).alias("prefix"),
     )
-    worded = exploded.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    sets = worded.withColumn("words", F.sort_array(split_words(F.col("line"))))
-    ends = (F.xxhash64("words").alias("class"), F.xxhash64(F.get("words", F.lit(0))).alias("low"), F.xxhash64(F.element_at("words", -1)).alias("high"))
-    return sets.select("doc_id", "source", "place", "line", *ends)
 
 
 def placed() -> Column:
@@ -84,33 +110,32 @@ def placed() -> Column:
     return F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.col("place"))
 
 
-def rarity(lines: DataFrame) -> Callable[[Column], Column]:
-    """A function of word codes to their rank, as one byte: 0 is rarest."""
+def rarity(documents: DataFrame) -> Callable[[Column], Column]:
+    """A function of word codes to their rank, at the top of a 64-bit number: 0 is rarest."""
     size = 1 << SKETCH_BITS
-    top = (1 << _RANK_BITS) - 1
-    word = lines.select(F.explode(split_words(F.col("line"))).alias("word"))
-    counted = word.groupBy(F.pmod(F.xxhash64("word"), F.lit(size)).alias("entry")).agg(F.count(F.lit(1)).alias("n"))
-    rank = F.least(F.lit(top), F.greatest(F.lit(1), F.floor(F.log2("n") * 4)))
-    coded = counted.select("entry", (F.col("entry") * (top + 1) + rank).cast("int").alias("coded"))
-    ranks = bytearray(b"\x01" * size)
+    word = texts_of(documents).select(F.explode(split_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("word"))
+    entry = F.xxhash64("word").bitwiseAND(F.lit(size - 1))
+    counted = word.where(F.col("word") != "").groupBy(entry.alias("entry")).agg(F.count(F.lit(1)).alias("n"))
+    coded = counted.select("entry", F.least(F.lit(_TOP), F.floor(F.log2("n") * 4)).cast("int").alias("rank"))
+    ranks = [0] * size
     # at most ``size`` numbers, in rows of at most 1024
-    for row in coded.groupBy(F.shiftright("entry", 10).alias("block")).agg(F.collect_list("coded").alias("coded")).toLocalIterator():
-        for entry, held in (divmod(c, top + 1) for c in row["coded"]):
-            ranks[entry] = held
-    table = F.lit(bytes(ranks))
-    return lambda w: F.ascii(F.substring(table, F.pmod(w, F.lit(size)).cast("int") + 1, 1).cast("string"))
+    held = F.collect_list(F.struct("entry", "rank")).alias("held")
+    for row in coded.groupBy(F.shiftright("entry", 10).alias("block")).agg(held).toLocalIterator():
+        for e, r in row["held"]:
+            ranks[e] = r
+    table = F.split(F.lit(" ".join(map(str, ranks))), " ").cast("array<bigint>")
+    return lambda w: F.shiftleft(F.get(table, w.bitwiseAND(F.lit(size - 1)).cast("int")), _CODE_BITS)
 
 
-def ordered_words(line: Column, rank: Callable[[Column], Column]) -> Column:
+def ordered(words: Column, rank: Callable[[Column], Column]) -> Column:
     """Word codes that sort by rarity."""
-    low = (1 << (63 - _RANK_BITS)) - 1
-    code = lambda w: F.shiftleft(rank(w).cast("bigint"), 63 - _RANK_BITS).bitwiseOR(w.bitwiseAND(F.lit(low)))
-    return F.sort_array(F.transform(line_words(line), code))
+    low = (1 << _CODE_BITS) - 1
+    return F.sort_array(F.transform(words, lambda w: rank(w).bitwiseOR(w.bitwiseAND(F.lit(low)))))
 
 
 def parity(words: Column) -> Column:
     """Parity bitmap: a bit is the number of words that fall on it, modulo two."""
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(w, 20).bitwiseAND(F.lit(63)).cast("int"))
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(w, 58).cast("int"))
     return F.aggregate(words, F.lit(0).cast("bigint"), lambda held, w: held.bitwiseXOR(bit(w)))
 
 
@@ -124,20 +149,10 @@ def short_prefix_length(n: Column, percent: int) -> Column:
     return n - F.ceil(n * (2 * percent) / (100 + percent) - 1e-9).cast("int") + 1
 
 
-def classes_of(lines: DataFrame, rank: Callable[[Column], Column], percent: int) -> DataFrame:
+def classes_of(lines: DataFrame) -> DataFrame:
     """``class, at, rows, n, bits, low, high, prefix``: earliest place, lines, and words of each class."""
-    worded = lines.select("class", "low", "high", placed().alias("at"), ordered_words(F.col("line"), rank).alias("words"))
-    cut = worded.select(
-        "class",
-        "at",
-        "low",
-        "high",
-        F.size("words").alias("n"),
-        parity(F.col("words")).alias("bits"),
-        F.slice("words", F.lit(1), prefix_length(F.size("words"), percent)).alias("prefix"),
-    )
     same = (F.first(c).alias(c) for c in ("n", "bits", "low", "high", "prefix"))
-    return cut.groupBy("class").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("rows"), *same)
+    return lines.groupBy("class").agg(F.min(placed()).alias("at"), F.count(F.lit(1)).alias("rows"), *same)
 
 
 def _bounded(percent: int) -> Column:
@@ -165,8 +180,7 @@ def near_classes(classes: DataFrame, percent: int) -> DataFrame:
 
     def side(of: str, prefix: Column) -> DataFrame:
         rows = classes.select("class", "n", "bits", "open", F.posexplode(prefix).alias("place", "word"))
-        low = F.col("word").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
-        return rows.select(low.alias("word"), *(F.col(c).alias(f"{c}_{of}") for c in ("class", "n", "bits", "open", "place")))
+        return rows.select("word", *(F.col(c).alias(f"{c}_{of}") for c in ("class", "n", "bits", "open", "place")))
 
     short = F.slice("prefix", F.lit(1), short_prefix_length(F.col("n"), percent))
     after = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
@@ -180,32 +194,36 @@ def near_classes(classes: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
-def similar_classes(lines: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def similar_classes(documents: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose whole sets are similar."""
     pairs = keep(pairs, "line_pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    firsts = classes.join(ends, "class", "left_semi").select(F.col("class").alias("owner"), "at")
-    chosen = lines.join(firsts, (F.col("class") == F.col("owner")) & (placed() == F.col("at"))).select("class", "line")
-    few = keep(chosen.dropDuplicates(["class"]).select("class", line_words(F.col("line")).alias("words")), "line_sets")
+    firsts = classes.join(ends, "class", "left_semi").select("class", F.col("at.doc_id").alias("first_id"), F.col("at.place").alias("first_place"))
+    placed_lines = split_lines(documents).withColumn("at", placed())
+    chosen = placed_lines.join(firsts, (F.col("at.doc_id") == F.col("first_id")) & (F.col("at.place") == F.col("first_place")))
+    # rows that repeat an id have several lines at a place; that of the class has its code
+    sets = chosen.select("class", line_words(F.col("line")).alias("words")).where(F.xxhash64("words") == F.col("class"))
+    few = keep(sets.dropDuplicates(["class"]), "line_sets")
     of = lambda s: few.select(F.col("class").alias(s), F.col("words").alias(f"words_{s}"))
     full = pairs.join(of("b"), "b").join(of("a"), "a")
     shared = F.size(F.array_intersect("words_a", "words_b"))
     links = keep(full.where(100 * shared >= percent * (F.size("words_a") + F.size("words_b") - shared)).select("a", "b"), "line_links")
     drop(few)
+    drop(pairs)
     return links
 
 
-def earliest_matches(lines: DataFrame, percent: int) -> DataFrame:
+def earliest_matches(documents: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """``class, least``: a line that is similar to a class or in it, earlier than the class if
     any such line is; classes without another line are left out."""
-    classes = keep(classes_of(lines, rarity(lines), percent), "line_classes")
+    classes = keep(classes_of(lines), "line_classes")
     # classes that are similar to an earlier one are decided, whatever else they resemble
-    led = similar_classes(lines, classes, led_classes(classes, percent), percent)
+    led = similar_classes(documents, classes, led_classes(classes, percent), percent)
     place = lambda side: classes.select(F.col("class").alias(side), F.col("at").alias(f"at_{side}"))
     led = led.join(place("a"), "a").join(place("b"), "b").where(F.col("at_b") < F.col("at_a"))
     led = keep(led.groupBy(F.col("a").alias("class")).agg(F.min("at_b").alias("other")), "line_led")
     marked = classes.join(led, "class", "left").withColumn("open", F.col("other").isNull())
-    links = similar_classes(lines, classes, near_classes(marked, percent), percent)
+    links = similar_classes(documents, classes, near_classes(marked, percent), percent)
     both = links.unionByName(links.select(F.col("a").alias("b"), F.col("b").alias("a")))
     met = both.join(place("b"), "b").select(F.col("a").alias("class"), F.col("at_b").alias("other")).unionByName(led)
     others = met.groupBy("class").agg(F.min("other").alias("other"))
@@ -217,8 +235,8 @@ def earliest_matches(lines: DataFrame, percent: int) -> DataFrame:
 
 def judged_texts(documents: DataFrame, percent: int) -> DataFrame:
     """``doc_id, source, n_lines, n_removed, removed`` of every text of an id with lines of words."""
-    lines = keep(lines_of(documents), "lines")
-    least = earliest_matches(lines, percent)
+    lines = keep(lines_of(documents, rarity(documents), percent), "lines")
+    least = earliest_matches(documents, lines, percent)
     judged = lines.select("doc_id", "source", "place", "class").join(least, "class", "left")
     # copies of a row give each of their lines as often; a place counts once
     judged = judged.dropDuplicates(["doc_id", "source", "place"])
