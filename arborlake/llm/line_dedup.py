@@ -199,16 +199,20 @@ def similar_classes(documents: DataFrame, classes: DataFrame, pairs: DataFrame,
     pairs = keep(pairs, "line_pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     firsts = classes.join(ends, "class", "left_semi").select("class", F.col("at.doc_id").alias("first_id"), F.col("at.place").alias("first_place"))
+    # written, so that its size is known where the join is planned
+    firsts = keep(firsts, "line_firsts")
     placed_lines = split_lines(documents).withColumn("at", placed())
     chosen = placed_lines.join(firsts, (F.col("at.doc_id") == F.col("first_id")) & (F.col("at.place") == F.col("first_place")))
-    # rows that repeat an id have several lines at a place; that of the class has its code
-    sets = chosen.select("class", line_words(F.col("line")).alias("words")).where(F.xxhash64("words") == F.col("class"))
+    # rows that repeat an id have several lines at a place; that of the class has its code,
+    # compared such that the code is no key of the join, which would need it of every line
+    sets = chosen.select("class", line_words(F.col("line")).alias("words")).where(F.xxhash64("words").bitwiseXOR(F.col("class")) == 0)
     few = keep(sets.dropDuplicates(["class"]), "line_sets")
     of = lambda s: few.select(F.col("class").alias(s), F.col("words").alias(f"words_{s}"))
     full = pairs.join(of("b"), "b").join(of("a"), "a")
     shared = F.size(F.array_intersect("words_a", "words_b"))
     links = keep(full.where(100 * shared >= percent * (F.size("words_a") + F.size("words_b") - shared)).select("a", "b"), "line_links")
     drop(few)
+    drop(firsts)
     drop(pairs)
     return links
 
