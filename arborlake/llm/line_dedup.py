@@ -27,9 +27,8 @@ Words are 64-bit codes, so sets are compared exactly but for a chance of about 2
 pair of words.
 
 Texts are split into words twice, once to count them and once for the codes of their lines.
-The sorted codes give the class, its order and its bitmap; words stay strings for the split
-alone, and no more than two expressions run for each code. Lines keep codes of their leading words,
-not their text; lines that the exact test needs are taken from the documents again.
+The sorted codes give the class, its order and its bitmap. Lines keep keys of their rarest words,
+not their text; lines that the exact test needs are taken from the documents again and split there.
 
 Defined results: every row has one result row; NULL and empty texts have no lines; lines
 without words are never removed and match nothing; rows that repeat an id are told apart by
