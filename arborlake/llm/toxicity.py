@@ -21,8 +21,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -73,27 +72,44 @@ def words_of(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
-def swaps(text: str) -> list[tuple[set[str], set[str]]]:
+def swaps(text: str) -> Iterator[tuple[set[str], set[str]]]:
     """Words of each sentence that mentions an identity term, and of its swapped form."""
-    pairs = []
     lowered = text.lower()
     if not any(t in lowered for t in _OTHERS):
-        return pairs
+        return
     for sentence in _SENTENCE.split(lowered):
         words = set(_WORD.findall(sentence))
         for term in words & _OTHERS.keys():
-            pairs += [(words, (words - {term}) | {other}) for other in _OTHERS[term]]
-    return pairs
+            for other in _OTHERS[term]:
+                yield words, (words - {term}) | {other}
+
+
+class FeatureNumbers(dict):
+    """Features by name, numbered as they are met; a name is held once, however many texts have it."""
+
+    def __init__(self):
+        super().__init__()
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def of(self, text: str) -> np.ndarray:
+        """The numbers of the distinct features of a text."""
+        found: set[int] = set()
+        for word in words_of(text):
+            own = self.known.get(word)
+            if own is None:
+                own = self.known[word] = tuple(self.setdefault(f, len(self)) for f in word_features(word))
+            found.update(own)
+        return np.fromiter(found, np.int32, len(found))
 
 
 class Rows:
     """Sparse rows of zeros and ones."""
 
-    def __init__(self, rows: list[list[int]], width: int):
+    def __init__(self, rows: Sequence[Sequence[int] | np.ndarray], width: int):
         self.width = width
         self.sizes = np.array([len(r) for r in rows], np.int64)
-        self.at = np.array([c for r in rows for c in r], np.int64)
-        self.owner = np.repeat(np.arange(len(rows)), self.sizes)
+        self.at = np.fromiter((c for r in rows for c in r), np.int32, int(self.sizes.sum()))
+        self.owner = np.repeat(np.arange(len(rows), dtype=np.int32), self.sizes)
 
     def times(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.owner, weights[self.at], len(self.sizes))
@@ -108,13 +124,13 @@ def fit(texts: list[str], labels: list[int]) -> dict[str, float]:
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
     if not n_toxic or not n_clean:
         return {}
-    features = [sorted({f for w in words_of(t) for f in word_features(w)}) for t in texts]
-    in_toxic, in_clean = Counter(), Counter()
+    numbers = FeatureNumbers()
+    features = [numbers.of(t) for t in texts]
+    counts = np.zeros((2, len(numbers)), np.int64)
     for own, is_toxic in zip(features, toxic, strict=True):
-        (in_toxic if is_toxic else in_clean).update(own)
+        counts[int(is_toxic), own] += 1
     ranked = []
-    for name in in_toxic.keys() | in_clean.keys():
-        a, b = in_toxic[name], in_clean[name]
+    for name, a, b in zip(numbers, counts[1].tolist(), counts[0].tolist(), strict=True):
         if a + b < LEAST_TEXTS:
             continue
         share = (a + b + 1) / (n_toxic + n_clean + 2)
@@ -127,10 +143,16 @@ def fit(texts: list[str], labels: list[int]) -> dict[str, float]:
     width = len(chosen)
     if not width:
         return {"": 0.0}
-    rows = Rows([[chosen[f] for f in own if f in chosen] for own in features], width)
+    by_name = np.array([chosen[name] for name in sorted(chosen)])
+    order = np.full(len(numbers), -1)
+    order[[numbers[name] for name in sorted(chosen)]] = np.arange(width)
+    del numbers, ranked, counts
+    # columns of a row by name, whatever order its words were met in: sums keep their last bits
+    rows = Rows([by_name[np.sort(at[at >= 0])] for at in (order[own] for own in features)], width)
+    del features
     ids = lambda words: {chosen[f] for w in words for f in word_features(w) if f in chosen}
-    pairs = [(ids(a), ids(b)) for t in texts for a, b in swaps(t)]
-    pairs = [(sorted(a - b), sorted(b - a)) for a, b in pairs if a != b]
+    # only what a swap loses and wins is held
+    pairs = [(sorted(a - b), sorted(b - a)) for a, b in ((ids(a), ids(b)) for t in texts for a, b in swaps(t)) if a != b]
     lost, won = Rows([a for a, _ in pairs], width), Rows([b for _, b in pairs], width)
     importance = np.where(toxic, 0.5 / n_toxic, 0.5 / n_clean)
     weights, bias = np.zeros(width), 0.0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -509,6 +510,21 @@ def test_swapped_terms_score_alike():
     assert fair["scum"] > 1
 
 
+def test_fit_holds_a_feature_once_however_many_texts_have_it():
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdefghijklmnop", k=9)) for _ in range(2000)]
+    texts = [" ".join(draw.sample(words, 1000)) + (" scum" if k % 2 else "") for k in range(200)]
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(texts, [k % 2 for k in range(200)])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert max(model, key=model.get) in {"scum", "scum-"}
+    # 800,000 features of texts: more than 40 MB as names, 3 MB as numbers
+    assert peak < 15 << 20
+
+
 def test_sample_holds_one_row_of_an_id(llm_spark):
     rows = [(1, f"text {k}") for k in range(500)] + [(2, "b"), (3, None)]
     documents = llm_spark.createDataFrame(rows, "doc_id bigint, text string")
