@@ -56,6 +56,8 @@ _CODE_BITS = 56
 _KEY = (1 << 31) - 1
 #: Where ids are NULL: after all others.
 _LAST = (1 << 63) - 1
+#: Places of lines that are broadcast to the scan of the texts; with more of them all lines are shuffled.
+BROADCAST_PLACES = 500_000
 
 
 def split_words(text: Column) -> Column:
@@ -193,19 +195,25 @@ def near_classes(classes: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
+def sets_at(documents: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``class, words`` of the classes whose places ``first_id, first_place`` are given."""
+    # the places grow with the documents: they are broadcast only where they are few, as counted
+    few = firsts.count() <= BROADCAST_PLACES
+    firsts = firsts.hint("broadcast" if few else "merge")
+    placed_lines = split_lines(documents).withColumn("at", placed())
+    chosen = placed_lines.join(firsts, (F.col("at.doc_id") == F.col("first_id")) & (F.col("at.place") == F.col("first_place")))
+    # rows that repeat an id have several lines at a place; that of the class has its code,
+    # compared such that the code is no key of the join, which would need it of every line
+    return chosen.select("class", line_words(F.col("line")).alias("words")).where(F.xxhash64("words").bitwiseXOR(F.col("class")) == 0)
+
+
 def similar_classes(documents: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose whole sets are similar."""
     pairs = keep(pairs, "line_pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     firsts = classes.join(ends, "class", "left_semi").select("class", F.col("at.doc_id").alias("first_id"), F.col("at.place").alias("first_place"))
-    # written, so that its size is known where the join is planned
     firsts = keep(firsts, "line_firsts")
-    placed_lines = split_lines(documents).withColumn("at", placed())
-    chosen = placed_lines.join(firsts, (F.col("at.doc_id") == F.col("first_id")) & (F.col("at.place") == F.col("first_place")))
-    # rows that repeat an id have several lines at a place; that of the class has its code,
-    # compared such that the code is no key of the join, which would need it of every line
-    sets = chosen.select("class", line_words(F.col("line")).alias("words")).where(F.xxhash64("words").bitwiseXOR(F.col("class")) == 0)
-    few = keep(sets.dropDuplicates(["class"]), "line_sets")
+    few = keep(sets_at(documents, firsts).dropDuplicates(["class"]), "line_sets")
     of = lambda s: few.select(F.col("class").alias(s), F.col("words").alias(f"words_{s}"))
     full = pairs.join(of("b"), "b").join(of("a"), "a")
     shared = F.size(F.array_intersect("words_a", "words_b"))
@@ -216,10 +224,9 @@ def similar_classes(documents: DataFrame, classes: DataFrame, pairs: DataFrame,
     return links
 
 
-def earliest_matches(documents: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+def earliest_matches(documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """``class, least``: a line that is similar to a class or in it, earlier than the class if
     any such line is; classes without another line are left out."""
-    classes = keep(classes_of(lines), "line_classes")
     # classes that are similar to an earlier one are decided, whatever else they resemble
     led = similar_classes(documents, classes, led_classes(classes, percent), percent)
     place = lambda side: classes.select(F.col("class").alias(side), F.col("at").alias(f"at_{side}"))
@@ -231,16 +238,19 @@ def earliest_matches(documents: DataFrame, lines: DataFrame, percent: int) -> Da
     met = both.join(place("b"), "b").select(F.col("a").alias("class"), F.col("at_b").alias("other")).unionByName(led)
     others = met.groupBy("class").agg(F.min("other").alias("other"))
     least = classes.select("class", "at", "rows").join(others, "class", "left").where((F.col("rows") > 1) | F.col("other").isNotNull())
-    least = keep(least.select("class", F.least("at", F.coalesce("other", "at")).alias("least")), "line_least")
-    drop(classes)
-    return least
+    return keep(least.select("class", F.least("at", F.coalesce("other", "at")).alias("least")), "line_least")
 
 
 def judged_texts(documents: DataFrame, percent: int) -> DataFrame:
     """``doc_id, source, n_lines, n_removed, removed`` of every text of an id with lines of words."""
-    lines = keep(lines_of(documents, rarity(documents), percent), "lines")
-    least = earliest_matches(documents, lines, percent)
-    judged = lines.select("doc_id", "source", "place", "class").join(least, "class", "left")
+    coded = keep(lines_of(documents, rarity(documents), percent), "lines")
+    classes = keep(classes_of(coded), "line_classes")
+    # what classes hold now is not kept of each line while they are compared
+    lines = keep(coded.select("doc_id", "source", "place", "class"), "line_places")
+    drop(coded)
+    least = earliest_matches(documents, classes, percent)
+    drop(classes)
+    judged = lines.join(least, "class", "left")
     # copies of a row give each of their lines as often; a place counts once
     judged = judged.dropDuplicates(["doc_id", "source", "place"])
     gone = F.coalesce(placed() > F.col("least"), F.lit(False))

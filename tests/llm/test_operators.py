@@ -388,6 +388,27 @@ def test_texts_of_one_id_are_judged_apart(llm_spark):
     )
 
 
+def test_lines_are_taken_at_few_places_without_shuffling_texts(llm_spark, monkeypatch):
+    documents = llm_spark.createDataFrame([(k, f"a b {k}\nc d {k}\n{k} e") for k in range(30)] + [(None, "x y\nz")], "doc_id bigint, text string")
+    lines = line_dedup.split_lines(documents).where("place = 1").withColumn("at", line_dedup.placed())
+    firsts = lines.select(F.xxhash64(line_dedup.line_words(F.col("line"))).alias("class"), F.col("at.doc_id").alias("first_id"), F.col("at.place").alias("first_place"))
+    firsts = llm_spark.createDataFrame(firsts.collect(), firsts.schema)
+    found = {}
+    threshold = llm_spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    llm_spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (line_dedup.BROADCAST_PLACES, 0):
+            monkeypatch.setattr(line_dedup, "BROADCAST_PLACES", most)
+            sets = line_dedup.sets_at(documents, firsts)
+            plan = sets._jdf.queryExecution().executedPlan().toString()
+            assert ("hashpartitioning" in plan) == (most == 0)
+            found[most] = sorted((r["class"], tuple(r.words)) for r in sets.collect())
+    finally:
+        llm_spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    few, many = found.values()
+    assert few == many and len(few) == 31
+
+
 def test_groups_of_near_lines_equal_brute_force(llm_spark):
     draw = random.Random(5)
     word = lambda: f"w{draw.randrange(60)}"
