@@ -23,11 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return the written table."""
+def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` once, with options of the Parquet writer, and return the written table."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._kept_path = path
     return table

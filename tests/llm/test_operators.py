@@ -430,6 +430,53 @@ def test_groups_of_near_lines_equal_brute_force(llm_spark):
     assert {r.doc_id: r.removed for r in found.collect()} == expected
 
 
+def earlier_similar(rows):
+    """Removed places by comparing all lines."""
+    lines = [(i, k, frozenset(line.split())) for i, t in rows for k, line in enumerate(t.split("\n"))]
+    expected = defaultdict(list)
+    for n, (i, k, own) in enumerate(lines):
+        expected[i] += [k] if any(100 * len(own & o) >= 80 * len(own | o) for _, _, o in lines[:n]) else []
+    return expected
+
+
+def test_long_lines_that_share_a_word_are_no_pairs(llm_spark, monkeypatch):
+    draw = random.Random(7)
+    rows = [(i, " ".join(["rare", *(f"w{draw.randrange(100_000)}" for _ in range(250))])) for i in range(60)]
+    rows.append((60, rows[7][1].replace("rare", "other")))
+    pairs, keep = [], line_dedup.keep
+
+    def counted(df, name, **options):
+        table = keep(df, name, **options)
+        pairs.extend([table.count()] if name == "line_pairs" else [])
+        return table
+
+    monkeypatch.setattr(line_dedup, "keep", counted)
+    found = line_dedup.removed_lines(llm_spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.doc_id: r.removed for r in found.collect()} == earlier_similar(rows)
+    assert sum(pairs) <= 10
+
+
+def test_lines_of_all_sizes_equal_brute_force(llm_spark, monkeypatch):
+    draw = random.Random(11)
+    rows = []
+    for n in (1, 2, 4, 5, 6, 7, 8, 12, 15, 16, 19, 20, 31, 39, 40, 48, 49, 95, 97, 98, 122, 160, 244, 245, 305):
+        words = [f"{n}-{k}" for k in range(n)]
+        for less in (n // 5, n // 5 + 1, n // 10):
+            changed = draw.sample(words, n - less)
+            rows += [(len(rows), " ".join(changed) or "none"), (len(rows) + 1, " ".join(changed[n // 9 :] + [f"x{less}-{k}" for k in range(n // 9)]) or "none")]
+        rows.append((len(rows), " ".join(words)))
+    draw.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    expected = earlier_similar(rows)
+    assert 20 < sum(map(len, expected.values())) < len(rows) - 20
+    # as many codes lead as can, and no side of a join is few
+    for led, most in ((line_dedup.LED_FROM, line_dedup.BROADCAST_PLACES), (1, -1)):
+        monkeypatch.setattr(line_dedup, "LED_FROM", led)
+        monkeypatch.setattr(line_dedup, "BROADCAST_PLACES", most)
+        found = line_dedup.removed_lines(llm_spark.createDataFrame(rows, "doc_id bigint, text string"))
+        assert {r.doc_id: r.removed for r in found.collect()} == expected
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><div id="sidebar"><p>Side words here</p></div>
 <article><h1>Tit&eacute;l</h1><p>One &amp; two <b>three</b>   four<p>Five<div class="ad">Buy now</div><ul><li>item a</li><li>item b</li></ul></article>
