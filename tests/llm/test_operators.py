@@ -440,9 +440,9 @@ def earlier_similar(rows):
 
 
 def test_long_lines_that_share_a_word_are_no_pairs(llm_spark, monkeypatch):
-    draw = random.Random(7)
-    rows = [(i, " ".join(["rare", *(f"w{draw.randrange(100_000)}" for _ in range(250))])) for i in range(60)]
-    rows.append((60, rows[7][1].replace("rare", "other")))
+    # any two lines share one word, and all words are as rare
+    rows = [(i, " ".join(f"w{min(i, j)}-{max(i, j)}" for j in range(201) if j != i)) for i in range(201)]
+    rows.append((201, rows[7][1] + " other"))
     pairs, keep = [], line_dedup.keep
 
     def counted(df, name, **options):
