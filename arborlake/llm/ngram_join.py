@@ -54,7 +54,7 @@ from xxhash import xxh3_64_intdigest
 
 from arborlake.llm import words as W
 from arborlake.llm.components import components
-from arborlake.llm.store import drop, fresh_name, keep
+from arborlake.llm.store import BROADCAST_ROWS, dealt, drop, few, fresh_name, in_tasks, keep
 
 BAND_GROWTH = 1.4
 #: Parts that a set leaves out, as a share of the parts that may differ.
@@ -303,7 +303,8 @@ def near_pairs(pairs: DataFrame, about: DataFrame, rule: Similarity) -> DataFram
     """The pairs ``a, b`` that sizes and bitmaps allow to link."""
     met = pairs.join(_side(about, "b", "n", "bits"), "b").join(_side(about, "a", "n", "bits"), "a")
     near = met.where(100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b"))
-    return near.withColumn("differ", differing_bits("bits_a", "bits_b")).where(_bounded(rule, "n_a", "n_b", "differ")).select("a", "b")
+    near = near.withColumn("differ", differing_bits("bits_a", "bits_b")).where(_bounded(rule, "n_a", "n_b", "differ"))
+    return dealt(near.select("a", "b"), pairs.count())
 
 
 def shared_shingles(a: str, b: str) -> Column:
@@ -326,12 +327,15 @@ def shared_shingles(a: str, b: str) -> Column:
 
 def linked(near: DataFrame, documents: DataFrame, members: DataFrame, rule: Similarity) -> DataFrame:
     """The pairs ``a, b`` that link by the exact arrays of their shingles."""
+    rows = near.count()
     ends = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    named = keep(members.join(ends, "class", "left_semi"), "ends")
+    ends = keep(in_tasks(ends, 2 * rows), "linked")
+    named = keep(members.join(few(ends), "class", "left_semi"), "ends")
     sets = keep(member_sets(documents, named, rule), "sets")
     full = near.join(_side(sets, "b", "codes"), "b").join(_side(sets, "a", "codes"), "a")
     shared = full.select("a", "b", F.size("codes_a").alias("n_a"), F.size("codes_b").alias("n_b"), shared_shingles("codes_a", "codes_b").alias("both"))
-    links = keep(shared.where(100 * F.col("both") >= rule.percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"), "links")
+    similar = shared.where(100 * F.col("both") >= rule.percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+    links = keep(dealt(similar, rows), "links")
     drop(sets)
     drop(named)
     return links
@@ -367,7 +371,7 @@ def member_sets(documents: DataFrame, members: DataFrame, rule: Similarity) -> D
 
 def member_rows(signed: DataFrame, members: DataFrame) -> DataFrame:
     """``class, n, bits, short`` for the listed classes."""
-    named = members.select(F.col("class").alias("owner"), "member")
+    named = few(members).select(F.col("class").alias("owner"), "member")
     texts = signed.where("place IS NULL").select("doc_id", "class", "n", "bits", "short")
     met = texts.join(named, (F.col("class") == F.col("owner")) & F.col("doc_id").eqNullSafe(F.col("member")))
     return once_each(met.select("class", "n", "bits", "short"), members)
@@ -381,15 +385,18 @@ def cross_pairs(shared: DataFrame, about: DataFrame, roots: DataFrame, rule: Sim
     """
     root = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
     lead = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
+    if roots.count() <= BROADCAST_ROWS:
+        root, lead = root.hint("broadcast"), lead.hint("broadcast")
     named = shared.join(root, "b").join(lead, "a")
     low, high = F.min(F.least("root_a", "root_b")), F.max(F.greatest("root_a", "root_b"))
     mixed = named.groupBy("key").agg(low.alias("low"), high.alias("high"), F.count(F.lit(1)).alias("rows"))
     # a key has one class more than it has rows, at most
     blocks = F.ceil((F.col("rows") + 1) / TILE_ROWS)
-    open_keys = keep(mixed.where(F.col("low") != F.col("high")).select("key", blocks.alias("blocks")), "open")
+    keys = shared.count()
+    open_keys = keep(in_tasks(mixed.where(F.col("low") != F.col("high")).select("key", blocks.alias("blocks")), keys), "open")
     if open_keys.isEmpty():
         return about.sparkSession.createDataFrame([], "a bigint, b bigint")
-    held = keep(named.join(open_keys, "key"), "held")
+    held = keep(named.join(few(open_keys), "key"), "held")
     ends = [held.select("key", "blocks", F.col(x).alias("class"), F.col(f"root_{x}").alias("root")) for x in "ab"]
     rows = ends[0].unionByName(ends[1]).distinct()
     # a key's rows are cut into blocks; each pair of blocks is a tile of bounded size
@@ -432,7 +439,8 @@ def cross_pairs(shared: DataFrame, about: DataFrame, roots: DataFrame, rule: Sim
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    return tiles.groupBy("range").applyInArrow(compared, "a bigint, b bigint").distinct()
+    pairs = tiles.groupBy("range").applyInArrow(compared, "a bigint, b bigint").distinct()
+    return in_tasks(pairs, keys)
 
 
 def similar_groups(documents: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
@@ -450,14 +458,14 @@ def rooted_groups(documents: DataFrame, rule: Similarity) -> DataFrame:
     signed = keep(signatures(documents, rule, ranges), "signatures")
     rows = keep(signed.where("place IS NULL").select("doc_id", "n", "class"), "rows")
     shared = keep(shared_keys(signed), "shared")
-    stars = keep(shared.select("a", "b").distinct(), "stars")
-    ends = keep(stars.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "ends")
+    stars = keep(in_tasks(shared.select("a", "b").distinct(), shared.count()), "stars")
+    ends = keep(in_tasks(stars.select(F.explode(F.array("a", "b")).alias("class")).distinct(), 2 * stars.count()), "ends")
     ids = rows.where(F.col("class").isNotNull()).groupBy("class", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
     classes = ids.groupBy("class").agg(
         F.min("doc_id").alias("member"), F.sum("rows").alias("rows"), F.max(F.col("rows") > 1).alias("repeated")
     )
-    classes = keep(classes, "classes")
-    members = keep(classes.join(ends, "class", "left_semi"), "members")
+    classes = keep(in_tasks(classes, rows.count()), "classes")
+    members = keep(classes.join(few(ends), "class", "left_semi"), "members")
     about = keep(member_rows(signed, members), "about")
     drop(signed)
     near = keep(near_pairs(stars, about, rule), "near")
@@ -466,9 +474,10 @@ def rooted_groups(documents: DataFrame, rule: Similarity) -> DataFrame:
     roots = keep(components(links), "roots")
     # first pairs that would connect the classes of a key, then what these have not connected
     for spanning in (True, False):
-        alone = ends.join(roots, F.col("class") == F.col("node"), "left_anti")
+        alone = ends.join(few(roots), F.col("class") == F.col("node"), "left_anti")
         every = keep(roots.unionByName(alone.select(F.col("class").alias("node"), F.col("class").alias("root"))), "nodes")
-        near = keep(near_pairs(cross_pairs(shared, about, every, rule, ranges, spanning), about, rule), "near")
+        met = keep(cross_pairs(shared, about, every, rule, ranges, spanning), "met")
+        near = keep(near_pairs(met, about, rule), "near")
         if not near.isEmpty():
             links = links.unionByName(linked(near, documents, members, rule))
             roots = keep(components(links), "roots")
@@ -476,11 +485,11 @@ def rooted_groups(documents: DataFrame, rule: Similarity) -> DataFrame:
     drop(about)
     # the least id of each component, found on classes; only classes of several rows or
     # with links have an id to look up
-    rooted = classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
+    rooted = classes.join(few(roots), F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
     several = rooted.where((F.col("rows") > 1) | F.col("node").isNotNull()).select("class", "root", "member")
     least = several.groupBy("root").agg(F.min("member").alias("least"))
     named = keep(several.join(least, "root").select("class", "least", "root"), "least")
-    return rows.join(named, "class", "left").select(
+    return rows.join(few(named), "class", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         "class",

@@ -12,6 +12,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of numbers that a task takes of a table whose rows are counted.
+TASK_ROWS = 50_000
+#: Rows of a side of a join that is broadcast; with more of them both sides are shuffled.
+BROADCAST_ROWS = 100_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,6 +38,32 @@ def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
     return table
 
 
+def tasks_of(spark: SparkSession, rows: int) -> int:
+    """Tasks of ``TASK_ROWS`` rows each, one a core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
+def in_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """Grouped rows, at most ``rows`` as counted, in no more tasks than they ask for.
+
+    A shuffle deals to as many ranges as the session names, however few rows there are; a small
+    table would be read and written in as many tasks. Not for the rows of a join that sorts its
+    sides, whose sorters hold memory until a task ends: see :func:`dealt`.
+    """
+    return df.coalesce(tasks_of(df.sparkSession, rows))
+
+
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """The same for at most ``rows`` rows of a join, which are shuffled again where they are few."""
+    tasks = tasks_of(df.sparkSession, rows)
+    return df.repartition(tasks) if 2 * tasks <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A kept table of some numbers a row as a side of a join, broadcast where it has few rows, as counted."""
+    return table.hint("broadcast") if table.count() <= BROADCAST_ROWS else table
+
+
 def drop(table: DataFrame) -> None:
     """Delete a table that :func:`keep` has written and nothing reads any more."""
     path = getattr(table, "_kept_path", None)

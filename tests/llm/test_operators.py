@@ -131,6 +131,22 @@ def test_components_of_a_chain_and_a_star(llm_spark):
     assert found == {k: 0 for k in range(41)} | {100 + k: 100 for k in range(30)}
 
 
+def test_few_links_are_not_dealt_to_all_ranges(llm_spark):
+    """However many ranges the session names, a small table of links is handled in a task a core."""
+    links = llm_spark.createDataFrame([(k, k + 1) for k in range(0, 12)] + [(100, 101)], "a bigint, b bigint")
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: llm_spark.conf.get(name) for name in held}
+    try:
+        for name, value in held.items():
+            llm_spark.conf.set(name, value)
+        found = components.components(links)
+        assert dict(rows_of(found, "node", "root")) == {k: 0 for k in range(13)} | {100: 100, 101: 100}
+        assert found.rdd.getNumPartitions() <= llm_spark.sparkContext.defaultParallelism
+    finally:
+        for name, value in before.items():
+            llm_spark.conf.set(name, value)
+
+
 def test_contamination_equals_brute_force(llm_spark, small):
     items = [(r.item_id, r.text) for r in llm_spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     found = rows_of(queries.op6_decontaminate(llm_spark, SMALL), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
