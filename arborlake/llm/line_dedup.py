@@ -77,8 +77,8 @@ def split_words(text: Column) -> Column:
 
 def line_words(line: Column) -> Column:
     """Sorted codes of the distinct words of a line."""
-    codes = F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.array_remove(codes, F.xxhash64(F.lit(""))))
+    codes = F.transform(split_words(line), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_except(codes, F.array(F.xxhash64(F.lit("")))))
 
 
 def texts_of(documents: DataFrame) -> DataFrame:
@@ -102,9 +102,10 @@ def coded_lines(documents: DataFrame) -> DataFrame:
 def keyed_lines(coded: DataFrame, rank: Callable[[Column], Column], percent: int) -> DataFrame:
     """``doc_id, place, class, n, bits, low, high, prefix`` of coded lines: number of words, bitmap, keys of
     the least and the greatest code, which are equal in most pairs of near copies, and of the rarest words."""
-    n = F.size("words")
-    rarest = F.slice(ordered(F.col("words"), rank), F.lit(1), prefix_length(n, percent))
-    return coded.select(
+    n = F.size("ordered")
+    rarest = F.slice("ordered", F.lit(1), prefix_length(n, percent))
+    # sorted in a step of its own: below a lambda function Spark would sort boxed numbers
+    return coded.select("doc_id", "place", "class", "words", ordered(F.col("words"), rank).alias("ordered")).select(
         "doc_id",
         "place",
         "class",
@@ -143,8 +144,8 @@ def rarity(coded: DataFrame) -> Callable[[Column], Column]:
     for row in coded.groupBy(F.shiftright("entry", 10).alias("block")).agg(held).toLocalIterator():
         for e, r in row["held"]:
             ranks[e] = r
-    table = F.split(F.lit(" ".join(map(str, ranks))), " ").cast("array<bigint>")
-    return lambda w: F.shiftleft(F.get(table, w.bitwiseAND(F.lit(size - 1)).cast("int")), _CODE_BITS)
+    table = F.split(F.lit(" ".join(str(r << _CODE_BITS) for r in ranks)), " ").cast("array<bigint>")
+    return lambda w: table[w.bitwiseAND(F.lit(size - 1))]
 
 
 def ordered(words: Column, rank: Callable[[Column], Column]) -> Column:
@@ -155,8 +156,8 @@ def ordered(words: Column, rank: Callable[[Column], Column]) -> Column:
 
 def parity(words: Column) -> Column:
     """Parity bitmap: a bit is the number of words that fall on it, modulo two."""
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(w, 58).cast("int"))
-    return F.aggregate(words, F.lit(0).cast("bigint"), lambda held, w: held.bitwiseXOR(bit(w)))
+    bits = F.split(F.lit(" ".join(str(1 << k if k < 63 else -(1 << 63)) for k in range(64))), " ").cast("array<bigint>")
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda held, w: held.bitwiseXOR(bits[w.bitwiseAND(F.lit(63))]))
 
 
 def spare(n: Column) -> Column:
@@ -259,13 +260,13 @@ def similar_classes(coded: DataFrame, classes: DataFrame, pairs: DataFrame, perc
     ends = keep(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "line_ends")
     firsts = classes.join(few(ends), "class", "left_semi").select("class", F.col("at.doc_id").alias("first_id"), F.col("at.place").alias("first_place"))
     firsts = keep(firsts, "line_firsts")
-    sets = keep(sets_of(coded, firsts).dropDuplicates(["class"]), "line_sets")
+    # shuffled by class once, for both joins
+    sets = sets_of(coded, firsts).dropDuplicates(["class"])
     of = lambda s: sets.select(F.col("class").alias(s), F.col("words").alias(f"words_{s}"))
     full = pairs.join(of("b"), "b").join(of("a"), "a")
     shared = F.size(F.array_intersect("words_a", "words_b"))
     similar = 100 * shared >= percent * (F.size("words_a") + F.size("words_b") - shared)
     links = keep(full.where(similar).select(*pairs.columns), "line_links")
-    drop(sets)
     drop(firsts)
     drop(ends)
     drop(pairs)

@@ -425,6 +425,16 @@ def test_lines_are_taken_at_few_places_without_shuffling_texts(llm_spark, monkey
     assert few == many and len(few) == 31
 
 
+def test_sets_of_pairs_are_shuffled_and_not_written(llm_spark, monkeypatch):
+    line = [f"w{k}" for k in range(20)]
+    rows = [(1, " ".join(line)), (2, " ".join([*line[:19], "x"])), (3, "other words")]
+    kept, keep = [], line_dedup.keep
+    monkeypatch.setattr(line_dedup, "keep", lambda df, name, **options: kept.append(name) or keep(df, name, **options))
+    found = line_dedup.removed_lines(llm_spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.removed for r in found} == {1: [], 2: [0], 3: []}
+    assert "line_links" in kept and "line_sets" not in kept
+
+
 def test_groups_of_near_lines_equal_brute_force(llm_spark):
     draw = random.Random(5)
     word = lambda: f"w{draw.randrange(60)}"
