@@ -41,7 +41,7 @@ removed places are gathered in one row. Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,14 +65,22 @@ SPARE_OF = 64
 LED_FROM = 64
 #: Different words of a file of lines are held once up to this size.
 DICTIONARY_BYTES = 16 << 20
+#: How codes are written: numbers of dictionary entries hardly compress, and nothing looks for codes by their least and greatest.
+CODES_FILE = {
+    "parquet.dictionary.page.size": str(DICTIONARY_BYTES),
+    "parquet.column.statistics.enabled": "false",
+    "parquet.size.statistics.enabled": "false",
+    "compression": "none",
+}
 
 
 def split_words(text: Column) -> Column:
     """Lower-case words, repeated as they are, and empty ones between blanks."""
-    blank = F.lower(text)
-    for c in _BLANKS:
-        blank = F.replace(blank, F.lit(c), F.lit(" "))
-    return F.split(blank, " ")
+    low = F.lower(text)
+    blank = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), _BLANKS, low)
+    # a search is cheaper than a replacement, and most lines have no other blanks
+    other = reduce(Column.__or__, (F.contains(text, F.lit(c)) for c in _BLANKS))
+    return F.split(F.when(other, blank).otherwise(low), " ")
 
 
 def line_words(line: Column) -> Column:
@@ -99,21 +107,27 @@ def coded_lines(documents: DataFrame) -> DataFrame:
     return coded.select("doc_id", "source", "place", F.xxhash64("words").alias("class"), "words")
 
 
-def keyed_lines(coded: DataFrame, rank: Callable[[Column], Column], percent: int) -> DataFrame:
+def keyed_lines(coded: DataFrame, ranks: Column, percent: int) -> DataFrame:
     """``doc_id, place, class, n, bits, low, high, prefix`` of coded lines: number of words, bitmap, keys of
     the least and the greatest code, which are equal in most pairs of near copies, and of the rarest words."""
     n = F.size("ordered")
     rarest = F.slice("ordered", F.lit(1), prefix_length(n, percent))
-    # sorted in a step of its own: below a lambda function Spark would sort boxed numbers
-    return coded.select("doc_id", "place", "class", "words", ordered(F.col("words"), rank).alias("ordered")).select(
-        "doc_id",
-        "place",
-        "class",
-        n.alias("n"),
-        parity(F.col("words")).alias("bits"),
-        key(F.get("words", F.lit(0))).alias("low"),
-        key(F.element_at("words", -1)).alias("high"),
-        F.transform(rarest, key).alias("prefix"),
+    # sorted and cut in steps of their own, as below a lambda function Spark would handle boxed numbers; a column named twice stays one
+    return (
+        coded.select("doc_id", "place", "class", "words", ranks.alias("ranks"))
+        # a column of its own, as a subquery may not be written below a lambda function; Spark puts it in its place
+        .select("doc_id", "place", "class", "words", ordered(F.col("words"), F.col("ranks")).alias("ordered"))
+        .select(
+            "doc_id",
+            "place",
+            "class",
+            n.alias("n"),
+            parity(F.col("words")).alias("bits"),
+            key(F.get("words", F.lit(0))).alias("low"),
+            key(F.element_at("words", -1)).alias("high"),
+            rarest.alias("rarest"),
+        )
+        .select("doc_id", "place", "class", "n", "bits", "low", "high", F.when(F.size("rarest") > 0, F.transform("rarest", key)).alias("prefix"))
     )
 
 
@@ -132,8 +146,8 @@ def placed() -> Column:
     return F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.col("place"))
 
 
-def rarity(coded: DataFrame) -> Callable[[Column], Column]:
-    """A function of word codes to their rank, at the top of a 64-bit number: 0 is rarest."""
+def rarity(coded: DataFrame) -> Column:
+    """Ranks of word codes by their last ``SKETCH_BITS`` bits, at the top of a 64-bit number: 0 is rarest."""
     size = 1 << SKETCH_BITS
     entry = F.col("word").bitwiseAND(F.lit(size - 1)).cast("int")
     counted = coded.select(F.explode("words").alias("word")).groupBy(entry.alias("entry")).agg(F.count(F.lit(1)).alias("n"))
@@ -144,14 +158,16 @@ def rarity(coded: DataFrame) -> Callable[[Column], Column]:
     for row in coded.groupBy(F.shiftright("entry", 10).alias("block")).agg(held).toLocalIterator():
         for e, r in row["held"]:
             ranks[e] = r
-    table = F.split(F.lit(" ".join(str(r << _CODE_BITS) for r in ranks)), " ").cast("array<bigint>")
-    return lambda w: table[w.bitwiseAND(F.lit(size - 1))]
+    # a subquery of one row: as a literal the table would be part of every text of the plan that the driver holds
+    return coded.sparkSession.createDataFrame([([r << _CODE_BITS for r in ranks],)], "ranks array<bigint>").scalar()
 
 
-def ordered(words: Column, rank: Callable[[Column], Column]) -> Column:
+def ordered(words: Column, ranks: Column) -> Column:
     """Word codes that sort by rarity."""
     low = (1 << _CODE_BITS) - 1
-    return F.sort_array(F.transform(words, lambda w: rank(w).bitwiseOR(w.bitwiseAND(F.lit(low)))))
+    ranked = lambda w: ranks[w.bitwiseAND(F.lit((1 << SKETCH_BITS) - 1))].bitwiseOR(w.bitwiseAND(F.lit(low)))
+    # known not to be NULL, or Spark would sort boxed numbers
+    return F.sort_array(F.transform(words, lambda w: F.coalesce(ranked(w), F.lit(0).cast("bigint"))))
 
 
 def parity(words: Column) -> Column:
@@ -207,22 +223,27 @@ def near_classes(classes: DataFrame, percent: int) -> DataFrame:
     one at least is ``open``.
 
     Sets meet on a word and a band of sizes. A set whose similar sets may be in the next band is
-    a guest there, with those words that the smaller one of two sets may share first."""
+    a guest there, with its leading words: those that the smaller one of two sets may share first."""
     n = F.col("n")
     own = band(n, percent)
     near_end = band(F.floor(n * 100 / percent), percent) > own
     banded = classes.select("class", "n", "bits", "open", "prefix", own.alias("band"), near_end.alias("near_end"))
     worded = banded.select("class", "n", "bits", "open", "band", "near_end", F.posexplode("prefix").alias("place", "word"))
     rest = n - F.col("place")
-    guest = F.col("near_end") & ((rest + spare(n)) * (100 + percent) >= 2 * percent * n)
+    lead = (rest + spare(n)) * (100 + percent) >= 2 * percent * n
+    guest = F.col("near_end") & lead
     bands = F.when(guest, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     worded = worded.withColumn("guest", F.explode(bands))
-    # one number for size, what follows with the word, guest and open; both sides are the same rows, shuffled once
+    # one number for size, what follows with the word, guest and open
     whole = lambda c: F.col(c).cast("bigint")
     packed = F.shiftleft(whole("n"), 34) + F.shiftleft(rest.cast("bigint"), 2) + F.shiftleft(whole("guest"), 1) + whole("open")
-    rows = worded.select(F.hash("word", F.col("band") + F.col("guest")).alias("met"), "class", "bits", packed.alias("size"))
-    side = lambda of: rows.select("met", *(F.col(c).alias(f"{c}_{of}") for c in rows.columns[1:]))
-    sides = side("a").join(side("b"), "met")
+    # only leading words are those of a smaller set, so later words meet these and not each other; either kind is shuffled once
+    kind = lambda leading: worded.where(lead if leading else ~lead).select(
+        F.hash("word", F.col("band") + F.col("guest")).alias("met"), "class", "bits", packed.alias("size")
+    )
+    side = lambda rows, of: rows.select("met", *(F.col(c).alias(f"{c}_{of}") for c in rows.columns[1:]))
+    leads = side(kind(True), "a")
+    sides = leads.join(side(kind(True), "b"), "met").unionByName(leads.join(side(kind(False), "b"), "met"))
     size = lambda of: F.shiftright(f"size_{of}", 34).cast("int")
     after = lambda of: F.shiftright(F.col(f"size_{of}").bitwiseAND(F.lit((1 << 34) - 1)), 2).cast("int")
     asked = spare(size("a"))
@@ -292,7 +313,7 @@ def earliest_matches(coded: DataFrame, classes: DataFrame, percent: int) -> Data
 
 def judged_texts(documents: DataFrame, percent: int) -> DataFrame:
     """``doc_id, source, n_lines, n_removed, removed`` of every text of an id with lines of words."""
-    coded = keep(coded_lines(documents), "lines", **{"parquet.dictionary.page.size": str(DICTIONARY_BYTES)})
+    coded = keep(coded_lines(documents), "lines", **CODES_FILE)
     classes = keep(classes_of(keyed_lines(coded, rarity(coded), percent)), "line_classes")
     least = earliest_matches(coded, classes, percent)
     drop(classes)

@@ -503,6 +503,42 @@ def test_lines_of_all_sizes_equal_brute_force(llm_spark, monkeypatch):
         assert {r.doc_id: r.removed for r in found.collect()} == expected
 
 
+def test_table_of_ranks_is_no_text_of_a_plan(llm_spark, monkeypatch):
+    rows = [(i, f"a b c d e{i}\nf g h {i}") for i in range(20)]
+    plans, keep = {}, line_dedup.keep
+
+    def noted(df, name, **options):
+        plans.setdefault(name, df._jdf.queryExecution().toString())
+        return keep(df, name, **options)
+
+    monkeypatch.setattr(line_dedup, "keep", noted)
+    found = line_dedup.removed_lines(llm_spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.doc_id: r.removed for r in found.collect()} == earlier_similar(rows)
+    assert "line_classes" in plans and max(map(len, plans.values())) < 1 << 17
+
+
+def test_ranked_codes_are_sorted_as_plain_numbers(llm_spark):
+    # codes as they are read from a file: Spark cannot know that none is NULL
+    words = llm_spark.createDataFrame([([5, 3, 1 << 40],), ([],)], "words array<bigint>")
+    ranks = line_dedup.rarity(words)
+    table = words.select("words", ranks.alias("ranks"))
+    found = table.select(line_dedup.ordered(F.col("words"), F.col("ranks")).alias("ordered"))
+    assert not found.schema["ordered"].dataType.containsNull
+    assert [r.ordered for r in found.collect()] == [[3, 5, 1 << 40], []]
+
+
+def test_later_words_do_not_meet_each_other(llm_spark):
+    # sets of 40 words have nine words in the prefix, of which a smaller set shares one of the first five
+    row = lambda c, own: (c, 40, 0, True, [1000 * c + k for k in range(9 - len(own))] + own)
+    later = [row(c, [1, 2]) for c in range(1, 60)]
+    first = [(c, 40, 0, True, [7, 8] + [1000 * c + k for k in range(7)]) for c in (100, 101)]
+    classes = llm_spark.createDataFrame(later + first, "class bigint, n int, bits bigint, open boolean, prefix array<int>")
+    pairs = line_dedup.near_classes(classes, 80)
+    assert [tuple(r) for r in pairs.collect()] == [(100, 101)]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 2 and "Union" in plan
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><div id="sidebar"><p>Side words here</p></div>
 <article><h1>Tit&eacute;l</h1><p>One &amp; two <b>three</b>   four<p>Five<div class="ad">Buy now</div><ul><li>item a</li><li>item b</li></ul></article>
