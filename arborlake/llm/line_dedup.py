@@ -10,7 +10,8 @@ the first ``n - ceil(n * p) + 1`` words of the larger and the first ``m - ceil(m
 p)) + 1`` words of the smaller one (``p`` is the least similarity), so only these prefixes
 are joined, under the length filter (``100 * m >= percent * n``), the positional filter
 (what may still follow a shared word bounds the overlap; it holds the smaller set to its
-prefix) and a parity bitmap of 64 bits (every bit that differs stands for a word that only
+prefix, whose words alone are joined with those of its kind and with the later ones of larger
+sets) and a parity bitmap of 64 bits (every bit that differs stands for a word that only
 one set has). Large sets fill the bitmap, so their prefixes are some words longer and must
 share as many words more. Pairs that pass are decided on their whole sets. The join meets on
 32 bits of a word and a band of sizes, which adds pairs to be decided and loses none.
@@ -27,8 +28,8 @@ the count orders the words, ties by their hash. The table does not grow with the
 Words are 64-bit codes, so sets are compared exactly but for a chance of about 2 ** -56 per
 pair of words.
 
-Texts are split into words once. The sorted codes of all lines are written, each code once to a
-file's dictionary; words are counted, classes formed and sets compared from there. Sides of joins
+Texts are split into words once. The sorted codes of all lines are written; words are counted,
+classes formed and sets compared from there. Sides of joins
 with few rows, as counted, are broadcast, and with more both sides are shuffled.
 
 Defined results: every row has one result row; NULL and empty texts have no lines; lines
@@ -63,14 +64,13 @@ BROADCAST_PLACES = 500_000
 SPARE_OF = 64
 #: A code leads the classes that have it if there are more of them.
 LED_FROM = 64
-#: Different words of a file of lines are held once up to this size.
-DICTIONARY_BYTES = 16 << 20
-#: How codes are written: numbers of dictionary entries hardly compress, and nothing looks for codes by their least and greatest.
+#: How codes are written: compression finds most words that come again, for less time than a dictionary takes,
+#: and nothing looks for codes by their least and greatest.
 CODES_FILE = {
-    "parquet.dictionary.page.size": str(DICTIONARY_BYTES),
+    "parquet.enable.dictionary": "false",
     "parquet.column.statistics.enabled": "false",
     "parquet.size.statistics.enabled": "false",
-    "compression": "none",
+    "compression": "zstd",
 }
 
 
@@ -151,15 +151,15 @@ def rarity(coded: DataFrame) -> Column:
     size = 1 << SKETCH_BITS
     entry = F.col("word").bitwiseAND(F.lit(size - 1)).cast("int")
     counted = coded.select(F.explode("words").alias("word")).groupBy(entry.alias("entry")).agg(F.count(F.lit(1)).alias("n"))
-    coded = counted.select("entry", F.least(F.lit(_TOP), F.floor(F.log2("n") * 4)).cast("int").alias("rank"))
-    ranks = [0] * size
-    # at most ``size`` numbers, in rows of at most 1024
-    held = F.collect_list(F.struct("entry", "rank")).alias("held")
-    for row in coded.groupBy(F.shiftright("entry", 10).alias("block")).agg(held).toLocalIterator():
-        for e, r in row["held"]:
-            ranks[e] = r
+    ranked = counted.select("entry", F.shiftleft(F.least(F.lit(_TOP), F.floor(F.log2("n") * 4)), _CODE_BITS).alias("rank"))
+    unused = coded.sparkSession.range(size).select(F.col("id").cast("int").alias("entry"), F.lit(0).cast("bigint").alias("rank"))
+    # at most ``size`` numbers, in rows of 1024
+    every = ranked.unionByName(unused).groupBy("entry").agg(F.max("rank").alias("rank"))
+    block = F.sort_array(F.collect_list(F.struct("entry", "rank"))).alias("held")
+    rows = every.groupBy(F.shiftright("entry", 10).alias("block")).agg(block).select("block", F.col("held.rank").alias("ranks"))
+    whole = F.sort_array(F.collect_list(F.struct("block", "ranks")))
     # a subquery of one row: as a literal the table would be part of every text of the plan that the driver holds
-    return coded.sparkSession.createDataFrame([([r << _CODE_BITS for r in ranks],)], "ranks array<bigint>").scalar()
+    return keep(rows.agg(F.flatten(whole["ranks"]).alias("ranks")), "line_ranks").scalar()
 
 
 def ordered(words: Column, ranks: Column) -> Column:
@@ -188,8 +188,10 @@ def prefix_length(n: Column, percent: int) -> Column:
 
 def classes_of(lines: DataFrame) -> DataFrame:
     """``class, at, rows, n, bits, low, high, prefix``: earliest place, lines, and words of each class."""
-    same = (F.first(c).alias(c) for c in ("n", "bits", "low", "high", "prefix"))
-    return lines.groupBy("class").agg(F.min(placed()).alias("at"), F.count(F.lit(1)).alias("rows"), *same)
+    same = ("n", "bits", "low", "high", "prefix")
+    first = F.min(F.struct(placed().alias("at"), *same)).alias("first")
+    grouped = lines.groupBy("class").agg(first, F.count(F.lit(1)).alias("rows"))
+    return grouped.select("class", "first.at", "rows", *(F.col(f"first.{c}").alias(c) for c in same))
 
 
 def _bounded(percent: int, n_a: Column | str = "n_a", n_b: Column | str = "n_b") -> Column:
@@ -314,19 +316,18 @@ def earliest_matches(coded: DataFrame, classes: DataFrame, percent: int) -> Data
 def judged_texts(documents: DataFrame, percent: int) -> DataFrame:
     """``doc_id, source, n_lines, n_removed, removed`` of every text of an id with lines of words."""
     coded = keep(coded_lines(documents), "lines", **CODES_FILE)
-    classes = keep(classes_of(keyed_lines(coded, rarity(coded), percent)), "line_classes")
+    classes = keep(classes_of(keyed_lines(coded, rarity(coded), percent)), "line_classes", **CODES_FILE)
     least = earliest_matches(coded, classes, percent)
     drop(classes)
     lines = coded.select("doc_id", "source", "place", "class")
     gone = F.coalesce(placed() > F.col("least"), F.lit(False))
     judged = lines.join(few(least), "class", "left").select("doc_id", "source", "place", gone.alias("gone"))
-    # copies of a row give each of their lines as often; a place counts once
-    judged = judged.repartition("doc_id", "source").groupBy("doc_id", "source", "place").agg(F.max("gone").alias("gone"))
-    return judged.groupBy("doc_id", "source").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.count(F.when(F.col("gone"), 1)).alias("n_removed"),
-        F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("place")))).alias("removed"),
-    )
+    # copies of a row give each of their lines as often; a place counts once. Lines of a text stand together,
+    # so that their places are gathered before they are shuffled
+    removed = F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("place"))))
+    texts = judged.groupBy("doc_id", "source").agg(F.collect_set("place").alias("all"), removed.alias("removed"))
+    size = lambda c: F.size(c).cast("bigint")
+    return texts.select("doc_id", "source", size("all").alias("n_lines"), size("removed").alias("n_removed"), "removed")
 
 
 def removed_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
