@@ -288,7 +288,8 @@ def similar_classes(coded: DataFrame, classes: DataFrame, pairs: DataFrame, perc
     of = lambda s: sets.select(F.col("class").alias(s), F.col("words").alias(f"words_{s}"))
     full = pairs.join(of("b"), "b").join(of("a"), "a")
     shared = F.size(F.array_intersect("words_a", "words_b"))
-    similar = 100 * shared >= percent * (F.size("words_a") + F.size("words_b") - shared)
+    # shared words are named once, as a filter would find them each time
+    similar = (100 + percent) * shared >= percent * (F.size("words_a") + F.size("words_b"))
     links = keep(full.where(similar).select(*pairs.columns), "line_links")
     drop(firsts)
     drop(ends)
